@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ngram_join, packing, source_mixing, token_counts, toxicity, url_filter, vector_dedup, vector_search
+from . import html_extraction, ngram_join, packing, source_mixing, token_counts, toxicity, url_filter, vector_dedup, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
@@ -69,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_source_mixing, op4_toxicity, op6_ann_search, op7_url_filter, op8_token_counts, op9_ngram_jaccard_join, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_source_mixing, op4_toxicity, op5_html_extraction, op6_ann_search, op7_url_filter, op8_token_counts, op9_ngram_jaccard_join, op10_packing, pipeline)}
 
 ORACLES = {
     "op2_source_mixing": r"""
