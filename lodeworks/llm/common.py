@@ -87,25 +87,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _forest(batches):
+    """Joins the edges of one partition: each node but a root with its root, the smallest node it reaches there."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while up.get(top, top) != top:
+            top = up[top]
+        while up.get(x, x) != top:
+            up[x], x = top, up[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            up[max(a, b)] = min(a, b)
+    pairs = [(root(x), x) for x in up if root(x) != x]
+    if pairs:
+        low, high = zip(*pairs, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["u", "v"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (node, comp), comp the smallest node.
 
-    Each round sends every node to the first node of its closed neighbourhood and contracts the graph. The order is
-    the numbers' own in the first round and a fresh hash in later ones, so long chains shrink by a constant factor.
-    Only partial aggregates and joins are used: a hub's edges are never gathered in one place.
+    Each round first joins what it can inside each partition, then sends every node to the first node of its closed
+    neighbourhood and contracts the graph. The order is the numbers' own in even rounds and a fresh hash in odd ones, so
+    long chains shrink by a constant factor. A hub's edges are never gathered in one place, and a partition holds
+    no more edges than Spark deals to it.
     """
-    live = cut(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    labels = cut(live.select(F.col("u").alias("node")).union(live.select("v")).distinct().withColumn("comp", F.col("node")))
+    live = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    live = cut(live.distinct().mapInArrow(_forest, "u long, v long"))
+    labels = None
     for turn in range(rounds):
-        if live.isEmpty():
-            break
-        rank = (lambda c: F.struct(c.alias("k"), c.alias("x"))) if turn == 0 else (lambda c, s=turn: F.struct(F.xxhash64(c, F.lit(s)).alias("k"), c.alias("x")))
+        rank = (lambda c: F.struct(c.alias("k"), c.alias("x"))) if turn % 2 == 0 else (lambda c, s=turn: F.struct(F.xxhash64(c, F.lit(s)).alias("k"), c.alias("x")))
         both = live.union(live.select("v", "u"))
-        up = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best")).select("u", F.least(F.col("best"), rank(F.col("u")))["x"].alias("p"))
+        up = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best")).select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["x"].alias("p"))
         up = cut(up)
-        labels = cut(labels.join(up, labels.comp == up.u, "left").select("node", F.coalesce("p", "comp").alias("comp")))
-        a, b = up.select(F.col("u").alias("u"), F.col("p").alias("pu")), up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        live = cut(live.join(a, "u").join(b, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct())
+        if labels is None:
+            labels = up.select("node", F.col("p").alias("comp"))
+        else:
+            labels = cut(labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        a, b = up.select(F.col("node").alias("u"), F.col("p").alias("pu")), up.select(F.col("node").alias("v"), F.col("p").alias("pv"))
+        live = live.join(a, "u").join(b, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
+        live = cut(live.distinct().mapInArrow(_forest, "u long, v long"))
+        if live.isEmpty():
+            break
     else:
         raise RuntimeError("components did not settle")
     low = labels.groupBy("comp").agg(F.min("node").alias("low"))

@@ -198,26 +198,22 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return met.select("u", "v", "nu", "nv", "cu", "cv").mapInArrow(run, "u long, v long")
 
 
-def link_classes(sets: DataFrame, threshold: int, stars: int = 2) -> DataFrame:
+def link_classes(sets: DataFrame, threshold: int) -> DataFrame:
     """Components (node, comp) of the classes under all links.
 
-    Rounds of stars come first: each class is compared with one other of its prefix lists, so a large group of near
-    copies falls together after as many comparisons as it has members. Then every candidate pair of classes that are
+    Two stars come first: each class is compared with the first class of its prefix lists by number and by hash, so a
+    large group of near copies falls together after twice as many comparisons as it has members. Then every candidate pair of classes that are
     not joined yet is counted over the prefix lists and verified; pairs inside a component could add nothing.
     """
     listed = cut(sets.select("cls", "matches", F.explode("prefix").alias("code")))
-    edges = comp = None
-    for turn in range(stars):
-        key = F.col("cls") if turn == 0 else F.xxhash64("cls", F.lit(turn))
-        now = listed if comp is None else listed.join(comp, listed.cls == comp.node, "left").select("cls", "code", F.coalesce("comp", "cls").alias("comp"))
-        now = now if comp is not None else now.withColumn("comp", F.col("cls"))
-        # of each list the first class, and the first one of another component than that one's
-        heads = now.groupBy("code").agg(F.min(F.struct(key.alias("k"), "cls", "comp")).alias("head"))
-        pairs = now.join(heads, "code").where("comp <> head.comp").groupBy("cls").agg(F.min("head").alias("head"))
-        pairs = pairs.select(F.least("cls", "head.cls").alias("u"), F.greatest("cls", "head.cls").alias("v")).distinct()
-        found = cut(verify(pairs, sets, threshold))
-        edges = found if edges is None else edges.union(found)
-        comp = cut(components(edges))
+    stars = None
+    for key in (F.col("cls"), F.xxhash64("cls", F.lit(1))):
+        heads = listed.groupBy("code").agg(F.min(F.struct(key.alias("k"), F.col("cls").alias("x"))).alias("head"))
+        pairs = listed.join(heads, "code").where("cls <> head.x").groupBy("cls").agg(F.min("head")["x"].alias("x"))
+        pairs = pairs.select(F.least("cls", "x").alias("u"), F.greatest("cls", "x").alias("v"))
+        stars = pairs if stars is None else stars.union(pairs)
+    edges = cut(verify(stars.distinct(), sets, threshold))
+    comp = components(edges)
     now = cut(listed.join(comp, listed.cls == comp.node, "left").select("cls", "matches", "code", F.coalesce("comp", "cls").alias("comp")))
     # the component with most classes in a list meets only the others there
     by_comp = now.groupBy("code", "comp").agg(F.count("*").alias("many"))
@@ -243,7 +239,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bucket
     posted = docs.select("doc_id", "text").mapInArrow(post(buckets, words), POSTED)
     gathered = cut(posted.groupBy("bucket").applyInArrow(gather, GATHERED))
     info = gathered.where("codes is null").select("doc_id", "n", "cls")
-    sets = cut(gathered.where("codes is not null").groupBy("cls").applyInArrow(sign(threshold), SIGNED))
+    shared = gathered.where("codes is not null")
+    # a prefix reaches shared shingles only if the class shares all but one of those that a partner needs
+    may = shared.groupBy("cls").agg(F.sum(F.length("freqs") / 4).alias("m"), F.max("n").alias("n")).where(f"m + 1 >= floor(({threshold} * n + 99) / 100)").select("cls")
+    sets = cut(shared.join(may, "cls", "left_semi").groupBy("cls").applyInArrow(sign(threshold), SIGNED))
     comp = cut(link_classes(sets, threshold))
     info = info.join(comp, F.expr("cls = node and n > 0"), "left").withColumn("key", F.when(F.expr("n > 0 and doc_id is not null"), F.coalesce("comp", "cls")))
     low = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
