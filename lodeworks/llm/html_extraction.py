@@ -325,7 +325,7 @@ def train(pages: int = 400, seed: int = 3) -> Trees:
 
 OPEN, IN, OUT = 0, 1, 2
 #: Log odds that a part of an article isn't of it, and that a box without text of its own opens a smaller article.
-LEAVE, PASS = -2.5, 0.0
+LEAVE, PASS = -4.5, 0.0
 
 
 def decode(nodes: list[Node], logits: np.ndarray) -> list[int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extraction, ngram_join, packing, source_mixing, token_counts, toxicity, url_filter, vector_dedup, vector_search
+from . import html_extraction, ngram_join, ngram_lm, packing, source_mixing, token_counts, toxicity, url_filter, vector_dedup, vector_search
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.learn_and_score(table(spark, sf_dir, "documents"), F.coalesce(fold(7), F.lit(0)) == 2)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_texts(docs, toxicity_model(spark, docs, sf_dir))
@@ -73,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_source_mixing, op4_toxicity, op5_html_extraction, op6_ann_search, op7_url_filter, op8_token_counts, op9_ngram_jaccard_join, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_source_mixing, op3_lm_scoring, op4_toxicity, op5_html_extraction, op6_ann_search, op7_url_filter, op8_token_counts, op9_ngram_jaccard_join, op10_packing, pipeline)}
 
 ORACLES = {
     "op2_source_mixing": r"""
