@@ -1,4 +1,591 @@
-"""Registered queries of the reference's operators."""
+"""Registered queries over the tables, each with the SQL that must give the same rows where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids, rules, tables, text, vectors
+from ..operators import chunking, delta, graph, search
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+CHAR_WINDOWS = """
+char_windows AS (
+  SELECT doc_id, lang, k AS chunk_index, substr(text, (k * 720 + 1)::INT, 800) AS chunk_text
+  FROM documents, range(0, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(0, ceil((length(text) - 800) / 720.0))::BIGINT + 1 END) r(k))"""
+
+
+@query(f"WITH {CHAR_WINDOWS} SELECT doc_id, chunk_index::BIGINT AS chunk_index, chunk_text, sha256(chunk_text) AS chunk_hash FROM char_windows")
+def chunk_char_window(spark, d):
+    c = chunking.exploded(t(spark, d, "documents"), chunking.char_windows(F.col("text")), "doc_id")
+    return c.select("doc_id", F.col("chunk_index").cast("long"), "chunk_text", ids.content_hash(F.col("chunk_text")).alias("chunk_hash"))
+
+
+WORD_WINDOWS = rf"""
+w AS (SELECT doc_id, {STRIP.format('text')} AS s, list_filter(string_split_regex({STRIP.format('text')}, '\s+'), lambda x: x <> '') AS w FROM documents),
+word_windows AS (
+  SELECT doc_id, k AS chunk_index, CASE WHEN len(w) <= 400 THEN s ELSE array_to_string(w[k * 320 + 1 : k * 320 + 400], ' ') END AS chunk_text
+  FROM w, range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, ceil((len(w) - 400) / 320.0))::BIGINT + 1 END) r(k))"""
+
+
+@query(f"WITH {WORD_WINDOWS} SELECT doc_id, chunk_index::BIGINT AS chunk_index, chunk_text FROM word_windows")
+def chunk_word_window(spark, d):
+    c = chunking.exploded(t(spark, d, "documents"), chunking.word_windows(F.col("text"), 400, 80), "doc_id")
+    return c.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, {STRIP.format('text')} AS whole, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS s FROM documents)
+SELECT doc_id, k::BIGINT AS chunk_index, CASE WHEN len(s) <= 10 THEN whole ELSE array_to_string(s[k * 8 + 1 : k * 8 + 10], ' ') END AS chunk_text
+FROM s, range(0, CASE WHEN len(s) <= 10 THEN 1 ELSE ceil((len(s) - 10) / 8.0)::BIGINT + 1 END) r(k)""")
+def chunk_sentence_window(spark, d):
+    c = chunking.exploded(t(spark, d, "documents"), chunking.sentence_windows(F.col("text")), "doc_id")
+    return c.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, lang, {STRIP.format('text')} AS text FROM documents)
+SELECT 'doc_' || doc_id || '_' || k AS chunk_id, c AS chunk_text_original, '[Document: doc_' || doc_id || ']' || chr(10) || c AS chunk_text_embedded,
+       CASE WHEN lang IS NULL OR lang = '' THEN 'EN' WHEN lower(lang) LIKE 'zh%' THEN 'ZH-TW' ELSE upper(lang) END AS language, sha256(c) AS chunk_hash
+FROM (SELECT doc_id, lang, k, substr(text, (k * 720 + 1)::INT, 800) AS c FROM s, range(0, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(0, ceil((length(text) - 800) / 720.0))::BIGINT + 1 END) r(k))""")
+def chunk_passthrough_rows(spark, d):
+    stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    c = chunking.exploded(t(spark, d, "documents"), chunking.char_windows(text.strip(F.col("text"))), "doc_id", "lang")
+    return c.select(F.concat_ws("_", stem, "chunk_index").alias("chunk_id"), F.col("chunk_text").alias("chunk_text_original"), F.concat(text.context_prefix(stem), F.lit("\n"), "chunk_text").alias("chunk_text_embedded"), text.language_tag(F.col("lang")).alias("language"), ids.content_hash(F.col("chunk_text")).alias("chunk_hash"))
+
+
+@query(f"WITH {WORD_WINDOWS} SELECT doc_id, count(*)::BIGINT AS chunks, sum(length(chunk_text))::BIGINT AS chars FROM word_windows GROUP BY doc_id")
+def chunk_graph_text_stats(spark, d):
+    w = F.explode(chunking.word_windows(F.col("text"), 400, 80)).alias("c")
+    return t(spark, d, "documents").select("doc_id", w).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("c")).alias("chars"))
+
+
+def stored_rows(spark, d) -> DataFrame:
+    """Rows of the chunk table: id, doc_id, text, metadata as JSON."""
+    name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    c = chunking.exploded(t(spark, d, "documents"), chunking.char_windows(F.col("text")), "doc_id", "lang")
+    meta = F.struct(name.alias("source"), F.col("chunk_index"), F.lit("text").alias("chunk_type"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_title"), text.language_tag(F.col("lang")).alias("language"), ids.content_hash(F.col("chunk_text")).alias("chunk_hash"))
+    return c.select(F.concat_ws("#", name, "chunk_index").alias("id"), name.alias("doc_id"), F.col("chunk_text").alias("text"), F.to_json(meta, {"ignoreNullFields": "false"}).alias("metadata"))
+
+
+META = "source string, chunk_index long, chunk_type string, page_number int, section_title string, language string, chunk_hash string"
+
+
+@query(f"""WITH {CHAR_WINDOWS} SELECT 'doc_' || doc_id || '.txt#' || chunk_index AS id, 'doc_' || doc_id || '.txt' AS doc_id, chunk_text AS text, chunk_index::BIGINT AS chunk_index, 'text' AS chunk_type, upper(lang) AS language, sha256(chunk_text) AS chunk_hash FROM char_windows""")
+def chunk_rows_to_store(spark, d):
+    m = F.from_json("metadata", META).alias("m")
+    return stored_rows(spark, d).select("id", "doc_id", "text", m).select("id", "doc_id", "text", "m.chunk_index", "m.chunk_type", "m.language", "m.chunk_hash")
+
+
+@query(f"""WITH {CHAR_WINDOWS} SELECT chunk_index::BIGINT AS chunk_index, 'text' AS chunk_type, upper(lang) AS language, chunk_text AS text FROM char_windows WHERE doc_id = 5 ORDER BY chunk_index""")
+def document_chunks_lookup(spark, d):
+    rows = stored_rows(spark, d).where(F.col("doc_id") == "doc_5.txt").withColumn("m", F.from_json("metadata", META))
+    return rows.select(F.coalesce("m.chunk_index", F.lit(0)).alias("chunk_index"), "m.chunk_type", "m.language", "text").orderBy("chunk_index")
+
+
+HTML = r"regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')"
+
+
+@query(rf"""WITH p AS (SELECT page_id, trim({HTML}) AS s FROM pages) SELECT page_id, k::BIGINT AS chunk_index, substr(s, (k * 720 + 1)::INT, 800) AS chunk_text
+FROM p, range(0, CASE WHEN length(s) = 0 THEN 0 ELSE greatest(0, ceil((length(s) - 800) / 720.0))::BIGINT + 1 END) r(k)""")
+def html_passthrough_chunks(spark, d):
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", r"<(script|style)[^>]*>[^<]*</(script|style)>", " "), r"<[^>]*>", " "), r"\s+", " ")
+    p = t(spark, d, "pages").withColumn("s", F.trim(bare))
+    c = chunking.exploded(p, chunking.char_windows(F.col("s")), "page_id")
+    return c.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query("""
+WITH a AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND lag(turn) OVER w IS NOT NULL THEN 0 ELSE 1 END AS fresh FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM a)
+SELECT conv_id, grp::BIGINT AS grp, min(role) AS section_title, count(*)::BIGINT AS elements, string_agg(text, chr(10) ORDER BY turn) AS text FROM b GROUP BY conv_id, grp""")
+def element_grouping(spark, d):
+    e = chunking.element_groups(t(spark, d, "conversations"), "conv_id", "turn", F.lit("paragraph"), F.col("role"))
+    return e.groupBy("conv_id", "grp").agg(F.min("role").alias("section_title"), F.count("*").alias("elements"), chunking.ordered_join("turn", "text", "\n").alias("text"))
+
+
+@query()
+def short_chunk_merge(spark, d):
+    return chunking.merge_short(t(spark, d, "conversations").withColumn("short", F.substring("text", 1, 60)), "conv_id", "turn", "short", "role")
+
+
+WARNED = "CASE WHEN turn % 3 <> 1 THEN 'WARNING ' || turn ELSE text END"
+
+
+@query(rf"""
+WITH c AS (SELECT conv_id, turn, {WARNED} AS text FROM conversations),
+a AS (SELECT *, length({STRIP.format('text')}) < 50 AND regexp_matches(text, '\b(DANGER|WARNING|CAUTION|NOTICE|NOTE)\b') AND lead(turn) OVER w IS NOT NULL AS warn FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT *, sum((NOT warn)::INT) OVER (PARTITION BY conv_id ORDER BY turn) - (NOT warn)::INT AS run FROM a),
+e AS (SELECT *, warn AND (row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1) % 2 = 0 AS head FROM b),
+f AS (SELECT *, lag(head) OVER w AS taken, lag(text) OVER w AS before FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN taken THEN {STRIP.format('before')} || chr(10) || {STRIP.format('text')} ELSE text END AS text FROM f WHERE NOT head""")
+def warning_header_merge(spark, d):
+    c = t(spark, d, "conversations").select("conv_id", "turn", F.expr(WARNED).alias("text"))
+    return chunking.merge_warnings(c, "conv_id", "turn", "text")
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {STRIP.format('x')} <> '') AS l FROM documents)
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), chr(10)) AS text FROM a""")
+def consecutive_line_dedup(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.dedup_lines(F.col("text")).alias("text"))
+
+
+REPLY = "CASE turn % 3 WHEN 0 THEN 'Sure, here it is:' || chr(10) || 'Below is the text' || chr(10) || text WHEN 1 THEN ' Certainly!' ELSE text END"
+
+
+@query(rf"""
+WITH a AS (SELECT conv_id, turn, string_split({REPLY}, chr(10)) AS l FROM conversations),
+b AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(lower({STRIP.format('x')}), '^(here''s|here is|sure|certainly|of course|below is|below are|the following)')), false) AS first FROM a)
+SELECT conv_id, turn, CASE WHEN first IS NULL OR first = 0 THEN '' ELSE {STRIP.format("array_to_string(l[first:], chr(10))")} END AS text FROM b""")
+def preamble_strip(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", text.strip_preamble(F.expr(REPLY.replace("chr(10)", "char(10)"))).alias("text"))
+
+
+NATION_TABLE = """
+rows AS (SELECT r_regionkey, r_name, string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || r_name || ' |', chr(10) ORDER BY n_nationkey) AS body FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL),
+rendered AS (SELECT r_regionkey, '| key | nation | region |' || chr(10) || '| --- | --- | --- |' || chr(10) || body AS md FROM rows)"""
+
+
+def rendered(spark, d) -> DataFrame:
+    """A Markdown table of nations for each region."""
+    n = t(spark, d, "nation").join(F.broadcast(t(spark, d, "region")), F.expr("n_regionkey = r_regionkey"))
+    row = F.array(F.col("n_nationkey").cast("string"), "n_name", "r_name")
+    g = n.groupBy("r_regionkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    return g.select("r_regionkey", tables.rows_to_markdown(F.concat(F.array(F.array(F.lit("key"), F.lit("nation"), F.lit("region"))), "rows")).alias("md"))
+
+
+@query(f"WITH {NATION_TABLE} SELECT r_regionkey, md FROM rendered")
+def table_markdown_render(spark, d):
+    return rendered(spark, d)
+
+
+@query(rf"""WITH {NATION_TABLE},
+l AS (SELECT r_regionkey, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM rendered),
+k AS (SELECT *, row_number() OVER (PARTITION BY r_regionkey ORDER BY i) - 1 AS row_index FROM l WHERE line LIKE '|%' AND NOT regexp_matches(line, '^[|\-:+ ]+$')),
+n AS (SELECT r_regionkey, count(*) AS n FROM k GROUP BY ALL)
+SELECT r_regionkey, row_index::BIGINT AS row_index, trim(split_part(line, '|', 2)) AS c1, trim(split_part(line, '|', 3)) AS c2, trim(split_part(line, '|', 4)) AS c3, n::BIGINT AS n_rows, 3::BIGINT AS n_cols,
+       CASE WHEN n >= 16 THEN 'HARD' WHEN n >= 9 THEN 'MEDIUM' ELSE 'EASY' END AS difficulty FROM k JOIN n USING (r_regionkey)""")
+def table_markdown_parse(spark, d):
+    md = F.col("md")
+    r = rendered(spark, d).withColumn("rows", tables.markdown_to_rows(md))
+    n_rows, n_cols = F.size("rows"), tables.dimensions(md)[1]
+    r = r.select("r_regionkey", F.posexplode("rows").alias("row_index", "c"), n_rows.cast("long").alias("n_rows"), n_cols.cast("long").alias("n_cols"), rules.difficulty(n_rows, n_cols).alias("difficulty"))
+    return r.select("r_regionkey", F.col("row_index").cast("long"), F.col("c")[0].alias("c1"), F.col("c")[1].alias("c2"), F.col("c")[2].alias("c3"), "n_rows", "n_cols", "difficulty")
+
+
+KINDS = "CASE r_regionkey WHEN 0 THEN replace(md, 'nation', 'question') WHEN 1 THEN replace(md, 'N', '?') WHEN 2 THEN replace(md, 'NATION', repeat('long', 20)) ELSE md END"
+
+
+@query(f"""WITH {NATION_TABLE} SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'faq' WHEN 1 THEN 'faq' WHEN 2 THEN 'general' ELSE 'spec' END AS table_type FROM rendered""")
+def table_type_classify(spark, d):
+    r = rendered(spark, d).withColumn("md", F.expr(KINDS))
+    return r.select("r_regionkey", tables.table_type(F.col("md"), tables.dimensions(F.col("md"))[1]).alias("table_type"))
+
+
+@query()
+def table_split_rows(spark, d):
+    s = t(spark, d, "supplier").groupBy("s_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.array(x["s_suppkey"].cast("string"), x["s_name"])).alias("rows"))
+    md = tables.rows_to_markdown(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), "rows"))
+    return s.select("s_nationkey", F.posexplode(tables.split_rows(md, 180)).alias("part", "md"))
+
+
+@query(rf"""
+WITH q AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations)
+SELECT conv_id, turn, 'Q: ' || {STRIP.format('text')} || chr(10) || 'A: ' || {STRIP.format('a')} AS text FROM q WHERE turn % 2 = 0 AND a IS NOT NULL AND {STRIP.format('text')} <> '' AND {STRIP.format('a')} <> ''""")
+def faq_rows(spark, d):
+    q = t(spark, d, "conversations").withColumn("a", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("turn % 2 = 0 and a is not null")
+    q = q.select("conv_id", "turn", tables.faq_text(F.array(F.lit("No"), F.lit("Question"), F.lit("Answer")), F.array(F.col("turn").cast("string"), "text", "a")).alias("text"))
+    return q.where("text like 'Q:%'")
+
+
+BOXED = "CASE doc_id % 4 WHEN 0 THEN text || '┌──┐' WHEN 1 THEN '─' || substr(text, 1, 4) || '│' WHEN 2 THEN '─ ─ ─' || text ELSE text END"
+
+
+@query(f"""WITH b AS (SELECT doc_id, {BOXED} AS s FROM documents) SELECT doc_id, regexp_matches(s, '[─-╿]{{3}}') OR (length(s) > 0 AND (length(s) - length(regexp_replace(s, '[─-╿]', '', 'g'))) / length(s) > 0.15) AS ascii_table FROM b""")
+def ascii_table_detect(spark, d):
+    return t(spark, d, "documents").select("doc_id", tables.has_box_drawing(F.expr(BOXED)).alias("ascii_table"))
+
+
+METRIC = "CASE p_partkey % 4 WHEN 0 THEN 'Delay (Hybrid Shutdown, Unit second)' WHEN 1 THEN 'Weight unit: kg, net' WHEN 2 THEN 'Size UNIT = mm)' ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Hybrid Shutdown, second' WHEN 1 THEN 'kg' WHEN 2 THEN 'mm' END AS unit FROM part")
+def unit_hint(spark, d):
+    return t(spark, d, "part").select("p_partkey", text.unit_hint(F.expr(METRIC)).alias("unit"))
+
+
+CELLS = """
+brands AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS entity FROM (SELECT DISTINCT p_brand FROM part)),
+cells AS (SELECT entity, p_brand, p_type AS metric, dense_rank() OVER (ORDER BY p_type) - 1 AS m, count(*)::VARCHAR AS value FROM part JOIN brands USING (p_brand) GROUP BY entity, p_brand, p_type)"""
+
+
+def cells(spark, d) -> DataFrame:
+    """A wide grid as cells: brands are entities, part types are metrics, values are counts. Few brands and types."""
+    g = t(spark, d, "part").groupBy("p_brand", F.col("p_type").alias("metric")).agg(F.count("*").cast("string").alias("value"))
+    rank = lambda c: (F.dense_rank().over(Window.orderBy(c)) - 1).alias("n")
+    e, m = g.select("p_brand").distinct().select("p_brand", rank("p_brand")), g.select("metric").distinct().select("metric", rank("metric"))
+    return g.join(F.broadcast(e.withColumnRenamed("n", "entity")), "p_brand").join(F.broadcast(m.withColumnRenamed("n", "m")), "metric")
+
+
+@query(f"""WITH {CELLS}, p AS (SELECT *, (row_number() OVER (PARTITION BY entity ORDER BY m) - 1) // 5 AS part FROM cells)
+SELECT entity::BIGINT AS entity, part::BIGINT AS part, 'Entity Profile: ' || min(p_brand) || chr(10) || 'Sheet: part' || chr(10) || 'Source: (unknown)' || chr(10) || chr(10) || string_agg('- ' || metric || ': ' || value, chr(10) ORDER BY m) AS text FROM p GROUP BY entity, part""")
+def massive_entity_profile(spark, d):
+    c = cells(spark, d).withColumn("part", F.floor((F.row_number().over(Window.partitionBy("entity").orderBy("m")) - 1) / 5))
+    head = F.concat(F.lit("Entity Profile: "), F.min("p_brand"), F.lit("\nSheet: part\nSource: (unknown)\n\n"))
+    return c.groupBy(F.col("entity").cast("long"), "part").agg(F.concat(head, chunking.ordered_join("m", F.concat(F.lit("- "), "metric", F.lit(": "), "value"), "\n")).alias("text"))
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT max(entity) + 1 AS n FROM brands), win AS (SELECT s, unnest(range(s, least(s + 4, n))) AS entity FROM n, range(0, n, 3) r(s) WHERE least(s + 4, n) - s >= 2),
+header AS (SELECT s, '| Metric | ' || string_agg(p_brand, ' | ' ORDER BY entity) || ' |' || chr(10) || '| ---' || repeat(' | ---', count(*)) || ' |' AS h FROM win JOIN brands USING (entity) GROUP BY s),
+metrics AS (SELECT DISTINCT m, metric FROM cells WHERE m < 36),
+grid AS (SELECT s, m, metric, string_agg(coalesce(value, ''), ' | ' ORDER BY entity) AS vals, bool_or(value IS NOT NULL) AS filled FROM win CROSS JOIN metrics LEFT JOIN cells USING (entity, m, metric) GROUP BY s, m, metric)
+SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS comparison, h || chr(10) || body AS text FROM (SELECT s, string_agg('| ' || metric || ' | ' || vals || ' |', chr(10) ORDER BY m) AS body FROM grid WHERE filled GROUP BY s) JOIN header USING (s)""")
+def massive_comparison_windows(spark, d):
+    c = cells(spark, d).where("m < 36")
+    brands = c.select("entity", "p_brand").distinct().agg(F.array_sort(F.collect_list(F.struct("entity", "p_brand"))).alias("b"))
+    win = brands.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("b") - 1, F.lit(3)), lambda s: F.struct(s.alias("s"), F.slice("b", s + 1, F.lit(4)).alias("w")))).alias("x")).select("x.s", "x.w").where("size(w) >= 2")
+    by_metric = c.groupBy("m", "metric").agg(F.map_from_entries(F.collect_list(F.struct("entity", "value"))).alias("values"))
+    names = F.transform("w", lambda x: x["p_brand"])
+    vals = F.transform("w", lambda x: F.coalesce(F.try_element_at("values", x["entity"]), F.lit("")))
+    rows = by_metric.crossJoin(F.broadcast(win)).withColumn("vals", vals).where(F.exists("vals", lambda v: v != ""))  # windows are a few rows
+    body = chunking.ordered_join("m", tables.row_line(F.concat(F.array("metric"), "vals")), "\n")
+    out = rows.groupBy("s", "w").agg(body.alias("body"))
+    head = F.concat(tables.row_line(F.concat(F.array(F.lit("Metric")), names)), F.lit("\n"), tables.row_line(F.array_repeat(F.lit("---"), F.size("w") + 1)))
+    return out.select((F.row_number().over(Window.orderBy("s")) - 1).cast("long").alias("comparison"), F.concat(head, F.lit("\n"), "body").alias("text"))
+
+
+@query("SELECT r_regionkey, (CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS header_index FROM region")
+def header_row_pick(spark, d):
+    grid = F.expr("CASE WHEN r_regionkey % 2 = 0 THEN array(array('', '', ''), array('', 'A', 'B'), array('x', '1', '2')) ELSE array(array('', 'A', 'B'), array('x', '1', '2')) END")
+    filled = F.transform(F.slice(grid, 1, 4), lambda r: F.size(F.filter(F.slice(r, 2, 1 << 20), lambda c: c != "")))
+    return t(spark, d, "region").select("r_regionkey", (F.array_position(filled, F.array_max(filled)) - 1).cast("long").alias("header_index"))
+
+
+CAPTION = "CASE p_partkey % 6 WHEN 0 THEN 'This is a flowchart.' WHEN 1 THEN 'A photograph of a pump' WHEN 2 THEN 'System Diagram' WHEN 3 THEN 'This is a certification badge.' WHEN 4 THEN 'a product photo' ELSE p_name END"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size * 2000 < 50000 THEN 'default' ELSE 'flowchart' END WHEN 1 THEN CASE WHEN p_size * 2000 < 50000 THEN 'default' ELSE 'chart' END WHEN 2 THEN CASE WHEN p_size * 2000 < 50000 THEN 'default' ELSE 'architecture' END WHEN 3 THEN 'badge' WHEN 4 THEN 'photo' ELSE 'default' END AS image_type FROM part")
+def caption_type_rules(spark, d):
+    return t(spark, d, "part").select("p_partkey", rules.size_guard(rules.caption_type(F.expr(CAPTION)), F.col("p_size"), F.lit(2000)).alias("image_type"))
+
+
+DOT = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
+
+
+def question(spark, d, vec_id: int = 0) -> list[float]:
+    return list(t(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
+
+
+def literal(v: list[float]):
+    return F.lit([float(x) for x in v])
+
+
+@query(f"SELECT e.vec_id, round({DOT}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {DOT} DESC, e.vec_id LIMIT 5")
+def knn_topk_cosine(spark, d):
+    return search.top_k(t(spark, d, "embeddings"), literal(question(spark, d))).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT e.vec_id FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY {DOT} DESC, e.vec_id LIMIT 5")
+def knn_topk_l2(spark, d):
+    q = literal(question(spark, d))
+    return search.top_k(t(spark, d, "embeddings"), q, score=vectors.l2_distance(F.col("embedding"), q), descending=False).select("vec_id")
+
+
+@query(f"""WITH c AS (SELECT e.vec_id, row_number() OVER (ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 15)
+SELECT vec_id, rank::BIGINT AS rank, (vec_id * 37 % 101)::DOUBLE AS reranker_score FROM c ORDER BY reranker_score DESC, rank LIMIT 5""")
+def knn_overfetch_rerank(spark, d):
+    c = search.top_k(t(spark, d, "embeddings"), literal(question(spark, d)), search.over_fetch(5)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).cast("long"))
+    return search.rerank(c, (F.col("vec_id") * 37 % 101).cast("double"), 5).select("vec_id", "rank", "reranker_score")
+
+
+BATCH = f"""batch AS (SELECT q.vec_id AS query_id, e.vec_id, {DOT} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 20) q QUALIFY rank <= 5)"""
+
+
+def batch(spark, d, k: int = 5) -> DataFrame:
+    e = t(spark, d, "embeddings")
+    return search.batch_top_k(e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), e, k)
+
+
+@query(f"WITH {BATCH} SELECT query_id, vec_id, rank::BIGINT AS rank, round(score, 6) AS score FROM batch")
+def knn_batch_per_query(spark, d):
+    return batch(spark, d).select("query_id", "vec_id", F.col("rank").cast("long"), F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {BATCH} SELECT vec_id, query_id AS first_query FROM batch WHERE query_id < 4 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY query_id, rank) = 1")
+def multi_query_merge(spark, d):
+    return search.first_seen(batch(spark, d).where("query_id < 4"), ("vec_id",), ("query_id", "rank")).select("vec_id", F.col("query_id").alias("first_query"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def l2_normalise(spark, d):
+    return t(spark, d, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"), F.round(vectors.l2_normalise(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query(f"WITH {BATCH}, v AS (SELECT query_id, label, count(*) AS n FROM batch JOIN embeddings USING (vec_id) GROUP BY query_id, label) SELECT query_id, arg_max(label, n * 1000 - label)::BIGINT AS label FROM v GROUP BY query_id")
+def label_majority_of_neighbours(spark, d):
+    v = batch(spark, d).join(t(spark, d, "embeddings").select("vec_id", "label"), "vec_id").groupBy("query_id", "label").agg(F.count("*").alias("n"))
+    return v.groupBy("query_id").agg(F.max_by("label", F.col("n") * 1000 - F.col("label")).cast("long").alias("label"))
+
+
+@query(f"WITH {CHAR_WINDOWS} SELECT 'doc_' || doc_id || '.txt' AS doc_id, chunk_index::BIGINT AS chunk_index, substr(chunk_text, 1, 200) AS excerpt, chunk_text AS full_text FROM char_windows")
+def source_projection(spark, d):
+    index = F.coalesce(F.get_json_object("metadata", "$.chunk_index").cast("long"), F.lit(0))
+    return stored_rows(spark, d).select("doc_id", index.alias("chunk_index"), F.substring("text", 1, 200).alias("excerpt"), F.col("text").alias("full_text"))
+
+
+def star_triples(spark, d) -> DataFrame:
+    """Triples that the star schema states: nations, customers, suppliers and parts."""
+    n, r, c, s, p = (t(spark, d, x) for x in ("nation", "region", "customer", "supplier", "part"))
+    one, some = F.lit(1.0), F.lit(0.7)
+    nr = n.join(F.broadcast(r), F.expr("n_regionkey = r_regionkey"))
+    names = F.broadcast(n.select("n_nationkey", "n_name"))
+    parts = [
+        graph.triple_rows(nr, F.col("n_name"), "Location", "part_of", F.col("r_name"), "Location", one, "nation", F.col("n_nationkey")),
+        graph.triple_rows(c.join(names, F.expr("c_nationkey = n_nationkey")), F.col("c_name"), "Organization", "related_to", F.col("n_name"), "Location", some, "customer", F.col("c_custkey") + 1_000_000),
+        graph.triple_rows(s.join(names, F.expr("s_nationkey = n_nationkey")), F.col("s_name"), "Vendor", "related_to", F.col("n_name"), "Location", some, "supplier", F.col("s_suppkey") + 100_000_000),
+        graph.triple_rows(p, F.col("p_name"), "Product", "is_a", F.col("p_type"), "Concept", F.lit(0.9), "part", F.col("p_partkey") + 200_000_000),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _side(name: str, kind: str) -> str:
+    return f"substr(sha256(lower({name}) || '::' || lower('{kind}')), 1, 16)"
+
+
+def _triples(name: str, selects: list[tuple[str, str, str, str, str, str, str, str]]) -> str:
+    rows = []
+    for table, s, st, p, o, ot, w, seq in selects:
+        doc = table.split()[0]
+        rows.append(f"SELECT substr(sha256('tabular::' || {_side(s, st)} || '::{p}::' || {_side(o, ot)}), 1, 24) AS triple_id, '{doc}' AS source_doc, 'tabular' AS method, {_side(s, st)} AS subject_id, {s} AS subject_name, '{st}' AS subject_type, '{p}' AS predicate, {_side(o, ot)} AS object_id, {o} AS object_name, '{ot}' AS object_type, ({w})::DOUBLE AS weight, ({seq})::BIGINT AS seq FROM {table}")
+    return f"{name} AS ({' UNION ALL '.join(rows)})"
+
+
+STAR = _triples("star", [
+    ("nation JOIN region ON n_regionkey = r_regionkey", "n_name", "Location", "part_of", "r_name", "Location", "1.0", "n_nationkey"),
+    ("customer JOIN nation ON c_nationkey = n_nationkey", "c_name", "Organization", "related_to", "n_name", "Location", "0.7", "c_custkey + 1000000"),
+    ("supplier JOIN nation ON s_nationkey = n_nationkey", "s_name", "Vendor", "related_to", "n_name", "Location", "0.7", "s_suppkey + 100000000"),
+    ("part", "p_name", "Product", "is_a", "p_type", "Concept", "0.9", "p_partkey + 200000000"),
+])
+ORDER = _triples("orderly", [("orders JOIN customer ON o_custkey = c_custkey", "c_name", "Organization", "related_to", "o_orderpriority", "Concept", "(o_orderkey % 10) / 10.0", "o_orderkey")])
+
+
+def order_triples(spark, d) -> DataFrame:
+    o = t(spark, d, "orders").join(t(spark, d, "customer").select("c_custkey", "c_name"), F.expr("o_custkey = c_custkey"))
+    return graph.triple_rows(o, F.col("c_name"), "Organization", "related_to", F.col("o_orderpriority"), "Concept", (F.col("o_orderkey") % 10) / 10.0, "orders", F.col("o_orderkey"))
+
+
+@query(f"WITH {STAR} SELECT * FROM star")
+def triple_build(spark, d):
+    return star_triples(spark, d)
+
+
+@query(f"""WITH {STAR}, b AS (SELECT subject_id AS id, subject_name AS name, subject_type AS type, source_doc, seq * 2 AS ord FROM star UNION ALL SELECT object_id, object_name, object_type, source_doc, seq * 2 + 1 FROM star)
+SELECT lower(name) || '::' || lower(type) AS key, arg_min(id, ord) AS id, arg_min(name, ord) AS name, arg_min(type, ord) AS type, array_to_string(list_sort(list_distinct(list(source_doc))), ',') AS source_doc FROM b GROUP BY key""")
+def triple_node_dedup(spark, d):
+    return graph.nodes(star_triples(spark, d)).drop("at")
+
+
+@query(f"""WITH {ORDER} SELECT subject_id, predicate, object_id, triple_id, weight, seq, min(seq) OVER k AS first_seq FROM orderly WINDOW k AS (PARTITION BY subject_id, predicate, object_id)
+QUALIFY row_number() OVER (PARTITION BY subject_id, predicate, object_id ORDER BY weight DESC, seq) = 1""")
+def triple_edge_dedup(spark, d):
+    return graph.dedup_edges(order_triples(spark, d)).select("subject_id", "predicate", "object_id", "triple_id", "weight", "seq", "first_seq")
+
+
+@query(f"WITH {STAR} SELECT subject_id AS source_id, object_id AS target_id, predicate, weight, source_doc FROM star")
+def triple_to_edge(spark, d):
+    return star_triples(spark, d).select(F.col("subject_id").alias("source_id"), F.col("object_id").alias("target_id"), "predicate", "weight", "source_doc")
+
+
+@query(f"WITH {STAR} SELECT triple_id, subject_name FROM star WHERE source_doc = 'customer' AND method = 'tabular' AND lower(subject_type) = 'organization'")
+def triple_filter_source_method(spark, d):
+    return graph.filter_triples(star_triples(spark, d), source_doc="customer", method="tabular", subject_type="ORGANIZATION", predicate="").select("triple_id", "subject_name")
+
+
+@query(f"WITH {STAR} SELECT triple_id, subject_name, object_name FROM star WHERE lower(object_name) LIKE '%nation_1%'")
+def triple_like_name(spark, d):
+    return graph.filter_triples(star_triples(spark, d), object_name=" NATION_1 ").select("triple_id", "subject_name", "object_name")
+
+
+@query(f"WITH {STAR} SELECT triple_id, subject_name AS s, object_name AS o, object_type AS ot, method FROM star")
+def triple_nested_projection(spark, d):
+    return graph.nested(star_triples(spark, d)).select("triple_id", F.col("subject.name").alias("s"), F.col("object.name").alias("o"), F.col("object.type").alias("ot"), "method")
+
+
+@query(f"""WITH {STAR}, old AS (SELECT * FROM star WHERE seq % 3 <> 0), new AS (SELECT * REPLACE (0.5::DOUBLE AS weight) FROM star WHERE seq % 5 = 0)
+SELECT triple_id, source_doc, weight, seq FROM old WHERE triple_id NOT IN (SELECT triple_id FROM new) UNION ALL SELECT triple_id, source_doc, weight, seq FROM new""")
+def triple_upsert(spark, d):
+    s = star_triples(spark, d)
+    return graph.upsert(s.where("seq % 3 <> 0"), s.where("seq % 5 = 0").withColumn("weight", F.lit(0.5))).select("triple_id", "source_doc", "weight", "seq")
+
+
+@query(f"WITH {STAR} SELECT source_doc, count(*)::BIGINT AS n FROM star WHERE source_doc <> 'part' GROUP BY source_doc")
+def triple_delete_by_source(spark, d):
+    return graph.delete(star_triples(spark, d), "part").groupBy("source_doc").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {STAR}, m AS (SELECT source_doc, CASE WHEN seq % 2 = 0 THEN 'llm' ELSE method END AS method FROM star) SELECT source_doc, method, count(*)::BIGINT AS n FROM m WHERE NOT (source_doc = 'customer' AND method = 'llm') GROUP BY ALL")
+def triple_delete_source_method(spark, d):
+    s = star_triples(spark, d).withColumn("method", F.when(F.col("seq") % 2 == 0, "llm").otherwise(F.col("method")))
+    return graph.delete(s, "customer", "llm").groupBy("source_doc", "method").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {STAR} SELECT DISTINCT name FROM (SELECT subject_name AS name FROM star UNION ALL SELECT object_name FROM star) WHERE name IS NOT NULL")
+def entity_names_distinct(spark, d):
+    s = star_triples(spark, d)
+    return s.select(F.col("subject_name").alias("name")).union(s.select("object_name")).where("name is not null").distinct()
+
+
+ASKED = "which red widget parts ship from NATION_3 today"
+ENTITIES = [w for w in ASKED.split() if len(w) > 3]
+LINES = "subject_name || ' [' || subject_type || '] —' || predicate || '→ ' || object_name || ' [' || object_type || '] (weight=' || printf('%.2f', weight) || ')'"
+CONTEXT = f"""{STAR}, e AS (SELECT unnest({ENTITIES!r}) AS entity, generate_subscripts({ENTITIES!r}, 1) AS pos),
+hits AS (SELECT star.*, pos, 0 AS side FROM star JOIN e ON lower(subject_name) LIKE '%' || lower(entity) || '%' UNION ALL SELECT star.*, pos, 1 FROM star JOIN e ON lower(object_name) LIKE '%' || lower(entity) || '%'),
+context AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY triple_id ORDER BY pos, side, seq) = 1)"""
+
+
+def context(spark, d, asked: str = ASKED) -> DataFrame:
+    """Triples that name a word of the question, in context order."""
+    e = spark.range(1).select(F.posexplode(text.query_tokens(F.lit(asked))).alias("pos", "entity"))
+    return graph.context_rows(e, star_triples(spark, d))
+
+
+@query(f"WITH {CONTEXT} SELECT pos::BIGINT AS pos, side::BIGINT AS side, seq, {LINES} AS line FROM context")
+def graph_context_like(spark, d):
+    return context(spark, d).select((F.col("pos") + 1).cast("long").alias("pos"), F.col("side").cast("long").alias("side"), "seq", graph.format_triple().alias("line"))
+
+
+@query()
+def graph_context_fallback(spark, d):
+    """Only where no name matches: the entity names nearest to the question, and their triples."""
+    from .providers import HashEmbedder
+
+    asked, triples = "zzz unheard-of question", star_triples(spark, d)
+    e = spark.range(1).select(F.posexplode(text.query_tokens(F.lit(asked))).alias("pos", "entity"))
+    direct = graph.context_rows(e, triples)
+    if not direct.isEmpty():
+        return direct.select("triple_id", "pos")
+    embed = HashEmbedder()
+    names = entity_names_distinct(spark, d).withColumn("vector", embed.column(F.col("name")))
+    q = literal(embed.embed([asked])[0])
+    near = names.withColumn("sim", vectors.cosine(F.col("vector"), q)).orderBy(F.desc("sim"), "name").limit(5).where("sim >= 0.5")
+    found = near.select((F.row_number().over(Window.orderBy(F.desc("sim"), "name")) - 1).alias("pos"), F.col("name").alias("entity"))
+    return graph.context_rows(found, triples).select("triple_id", "pos")
+
+
+@query(f"""WITH {CONTEXT}, v AS (SELECT e.vec_id, row_number() OVER (ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 5),
+g AS (SELECT {LINES} AS line, pos, side, seq FROM context ORDER BY pos, side, seq LIMIT 50)
+SELECT 'Vector Search Results:' || chr(10) || (SELECT string_agg('vector ' || vec_id, chr(10) || chr(10) ORDER BY rank) FROM v) || chr(10) || chr(10) || 'Graph Search Results:' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY pos, side, seq) FROM g) AS context""")
+def hybrid_context(spark, d):
+    top = search.top_k(t(spark, d, "embeddings"), literal(question(spark, d))).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+    v = top.agg(chunking.ordered_join("rank", F.concat(F.lit("vector "), F.col("vec_id").cast("string")), "\n\n").alias("v"))
+    g = context(spark, d).select("pos", "side", "seq", graph.format_triple().alias("line")).orderBy("pos", "side", "seq").limit(50)
+    g = g.agg(chunking.ordered_join(F.struct("pos", "side", "seq"), F.col("line"), "\n").alias("g"))
+    return v.crossJoin(F.broadcast(g)).select(F.concat(F.lit("Vector Search Results:\n"), "v", F.lit("\n\nGraph Search Results:\n"), "g").alias("context"))  # one row each
+
+
+SNAPSHOTS = """disk AS (SELECT 'doc_' || doc_id AS name, sha256(text || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS sha256 FROM documents WHERE doc_id % 7 <> 0),
+stored AS (SELECT 'doc_' || doc_id AS name, sha256(text) AS sha256 FROM documents WHERE doc_id % 11 <> 0),
+changes AS (SELECT coalesce(d.name, s.name) AS name, CASE WHEN s.name IS NULL THEN 'new' WHEN d.name IS NULL THEN 'deleted' WHEN d.sha256 <> s.sha256 THEN 'modified' ELSE 'unchanged' END AS status FROM disk d FULL JOIN stored s ON d.name = s.name)"""
+
+
+def snapshots(spark, d) -> tuple[DataFrame, DataFrame]:
+    docs, name = t(spark, d, "documents"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("name")
+    disk = docs.where("doc_id % 7 <> 0").select(name, F.sha2(F.concat("text", F.when(F.col("doc_id") % 5 == 0, "!").otherwise("")), 256).alias("sha256"))
+    return disk, docs.where("doc_id % 11 <> 0").select(name, F.sha2("text", 256).alias("sha256"))
+
+
+@query(f"WITH {SNAPSHOTS} SELECT name, status FROM changes")
+def manifest_delta(spark, d):
+    return delta.delta(*snapshots(spark, d))
+
+
+@query(f"WITH {SNAPSHOTS} SELECT CASE WHEN count(*) > 0 THEN 'new_docs' ELSE 'indexed' END AS index_status FROM changes WHERE status IN ('new', 'modified')")
+def index_status(spark, d):
+    return delta.index_status(*snapshots(spark, d))
+
+
+@query(f"WITH {SNAPSHOTS} SELECT name, sha256 FROM disk WHERE name NOT IN (SELECT name FROM changes WHERE status IN ('new', 'modified') AND length(name) % 2 = 0)")
+def failed_retry_manifest(spark, d):
+    disk, stored = snapshots(spark, d)
+    changes = delta.delta(disk, stored)
+    return delta.next_manifest(disk, changes, changes.where("length(name) % 2 = 1"))
+
+
+@query("SELECT source AS collection, count(*)::BIGINT AS documents FROM documents WHERE n_chars > 0 GROUP BY source")
+def collection_doc_count(spark, d):
+    return t(spark, d, "documents").where("n_chars > 0").groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("documents"))
+
+
+@query(f"WITH {CHAR_WINDOWS} SELECT count(*)::BIGINT AS total_rows, count(DISTINCT doc_id)::BIGINT AS documents FROM char_windows")
+def debug_table_stats(spark, d):
+    return stored_rows(spark, d).agg(F.count("*").alias("total_rows"), F.countDistinct("doc_id").alias("documents"))
+
+
+@query(f"""WITH {CHAR_WINDOWS}, now AS (SELECT doc_id, list_sort(list_distinct(list(sha256(chunk_text || CASE WHEN doc_id % 3 = 0 AND chunk_index = 0 THEN '!' ELSE '' END)))) AS h FROM char_windows GROUP BY doc_id),
+old AS (SELECT doc_id, list_sort(list_distinct(list(sha256(chunk_text)))) AS h FROM char_windows WHERE doc_id % 4 <> 0 GROUP BY doc_id)
+SELECT now.doc_id AS name, coalesce(len(now.h) > 0 AND now.h = old.h, false) AS hit FROM now LEFT JOIN old USING (doc_id)""")
+def embedding_cache_hit(spark, d):
+    c = chunking.exploded(t(spark, d, "documents"), chunking.char_windows(F.col("text")), "doc_id").withColumnRenamed("doc_id", "name")
+    changed = F.concat("chunk_text", F.when((F.col("name") % 3 == 0) & (F.col("chunk_index") == 0), "!").otherwise(""))
+    return delta.cache_hits(c.where("name % 4 <> 0").select("name", ids.content_hash(F.col("chunk_text")).alias("chunk_hash")), c.select("name", ids.content_hash(changed).alias("chunk_hash")))
+
+
+@query(f"WITH {CHAR_WINDOWS} SELECT 'doc_' || doc_id || '.txt' AS doc_id, count(*)::BIGINT AS n, max(chunk_index)::BIGINT AS last_index FROM char_windows GROUP BY ALL")
+def rebuild_from_cache(spark, d):
+    """The chunk table from cached payloads, one array of chunks a file."""
+    cached = stored_rows(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.get_json_object("metadata", "$.chunk_index").cast("int").alias("i"), F.col("text").alias("t")))).alias("chunks"))
+    back = cached.select("doc_id", F.posexplode("chunks").alias("i", "c"))
+    return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("i").cast("long").alias("last_index"))
+
+
+@query("SELECT avg(CASE WHEN doc_id % 5 <> 0 THEN quality END) AS quality, avg(CASE WHEN doc_id % 3 <> 0 THEN toxic END) AS toxic, avg(CASE WHEN doc_id < 0 THEN quality END) AS none FROM labels")
+def eval_metric_means(spark, d):
+    return t(spark, d, "labels").agg(F.avg(F.when(F.col("doc_id") % 5 != 0, F.col("quality"))).alias("quality"), F.avg(F.when(F.col("doc_id") % 3 != 0, F.col("toxic"))).alias("toxic"), F.avg(F.when(F.col("doc_id") < 0, F.col("quality"))).alias("none"))
+
+
+@query(f"SELECT item_id, {STRIP.format('text')} AS question FROM benchmark WHERE {STRIP.format('text')} <> ''")
+def question_set_load(spark, d):
+    return t(spark, d, "benchmark").select("item_id", text.strip(F.col("text")).alias("question")).where("question <> ''")
+
+
+@query(rf"SELECT conv_id, turn, CASE WHEN upper({STRIP.format('text')}) LIKE 'NO%' THEN 'graph' ELSE 'generate' END AS route FROM conversations")
+def adaptive_route(spark, d):
+    return t(spark, d, "conversations").select("conv_id", "turn", F.when(text.needs_graph(F.col("text")), "graph").otherwise("generate").alias("route"))
+
+
+@query(f"WITH {CHAR_WINDOWS} SELECT doc_id, count(*)::BIGINT AS chunks FROM char_windows GROUP BY doc_id")
+def stream_incremental_chunks(spark, d):
+    from ..streaming.ingest import chunk_stream
+
+    return chunk_stream(spark, f"{d}/documents.parquet").groupBy("doc_id").agg(F.count("*").alias("chunks"))
+
+
+@query()
+def rule_svo_triples(spark, d):
+    from .providers import RuleExtractor
+
+    return RuleExtractor().extract(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_doc"), "text"))
