@@ -160,7 +160,7 @@ def prefix_length(n: int, unique: int, freq: np.ndarray, threshold: int) -> tupl
     return best[1], best[2]
 
 
-SIGNED = "cls long, n int, matches int, codes binary, prefix array<long>"
+SIGNED = "cls long, n int, m int, matches int, codes binary, prefix array<long>"
 
 
 def sign(threshold: int):
@@ -171,11 +171,11 @@ def sign(threshold: int):
         freq = np.concatenate([np.frombuffer(f, "<u4") for f in group.column("freqs").to_pylist()])
         order = np.lexsort((code, freq))
         matches, k = prefix_length(n, n - len(code), freq[order], threshold)
-        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64()))])
         if not k:
             return schema.empty_table()
         head = code[order[:k]].astype(np.int64).tolist()
-        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64()))], schema=schema)
+        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([len(code)], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -198,32 +198,49 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return met.select("u", "v", "nu", "nv", "cu", "cv").mapInArrow(run, "u long, v long")
 
 
-def link_classes(sets: DataFrame, threshold: int) -> DataFrame:
+def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int = 6) -> DataFrame:
     """Components (node, comp) of the classes under all links.
 
-    Two stars come first: each class is compared with the first class of its prefix lists by number and by hash, so a
-    large group of near copies falls together after twice as many comparisons as it has members. Then every candidate pair of classes that are
+    In the first rounds each class is compared with a few others that share most of its prefix lists' places, so a large group of
+    near copies falls together after a few comparisons for each member. Then every candidate pair of classes that are
     not joined yet is counted over the prefix lists and verified; pairs inside a component could add nothing.
     """
-    listed = cut(sets.select("cls", "matches", F.explode("prefix").alias("code")))
-    stars = None
-    for key in (F.col("cls"), F.xxhash64("cls", F.lit(1))):
-        heads = listed.groupBy("code").agg(F.min(F.struct(key.alias("k"), F.col("cls").alias("x"))).alias("head"))
-        pairs = listed.join(heads, "code").where("cls <> head.x").groupBy("cls").agg(F.min("head")["x"].alias("x"))
-        pairs = pairs.select(F.least("cls", "x").alias("u"), F.greatest("cls", "x").alias("v"))
-        stars = pairs if stars is None else stars.union(pairs)
-    edges = cut(verify(stars.distinct(), sets, threshold))
-    comp = components(edges)
-    now = cut(listed.join(comp, listed.cls == comp.node, "left").select("cls", "matches", "code", F.coalesce("comp", "cls").alias("comp")))
+    listed = sets.select("cls", "n", "m", "matches", F.size("prefix").alias("p"), F.posexplode("prefix").alias("k", "code"))
+    listed = cut(listed)
+    edges = comp = None
+    by_size = Window.partitionBy("code").orderBy("n", "cls")
+    for turn in range(rounds):
+        # of each list the smallest class, the next smaller one, and those before in an order by hash; of all those that a
+        # class meets so, the ones that it meets most often
+        by_hash = Window.partitionBy("code").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+        some = [F.first("cls").over(by_size), F.lag("cls").over(by_size), *(F.lag("cls", k).over(by_hash) for k in (1, 2, 3))]
+        near = listed.select("cls", *(c.alias(f"c{k}") for k, c in enumerate(some))).select("cls", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(len(some)))))).alias("x")).where("x <> cls")
+        met = near.groupBy("cls", "x").agg(F.count("*").alias("met"))
+        best = Window.partitionBy("cls").orderBy(F.desc("met"), "x")
+        pairs = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= looks).select(F.least("cls", "x").alias("u"), F.greatest("cls", "x").alias("v")).distinct()
+        if comp is not None:
+            a, b = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
+            pairs = pairs.join(a, "u", "left").join(b, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
+        found = cut(verify(pairs, sets, threshold))
+        edges = found if edges is None else edges.union(found)
+        comp = cut(components(edges))
+    now = cut(listed.join(comp, listed.cls == comp.node, "left").select("cls", "n", "m", "matches", "p", "k", "code", F.coalesce("comp", "cls").alias("comp")))
     # the component with most classes in a list meets only the others there
     by_comp = now.groupBy("code", "comp").agg(F.count("*").alias("many"))
     main = by_comp.groupBy("code").agg(F.max(F.struct("many", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("code", "main")
     now = now.join(main, "code")
-    few = now.where("comp <> main").select("code", F.col("cls").alias("u"), F.col("comp").alias("ucomp"), F.col("matches").alias("mu"))
-    every = now.select("code", F.col("cls").alias("v"), F.col("comp").alias("vcomp"), F.col("matches").alias("mv"), (F.col("comp") == F.col("main")).alias("main"))
-    met = few.join(every, "code").where("ucomp <> vcomp and (main or u < v)")
-    met = met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.least("mu", "mv").alias("m")).groupBy("u", "v").agg(F.count("*").alias("met"), F.first("m").alias("m"))
-    found = verify(met.where("met >= m").select("u", "v"), sets, threshold)
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("cls", "n", "m", "matches", "p", "k", "comp")]
+    few = now.where("comp <> main").select("code", *side("u"))
+    every = now.select("code", *side("v"), (F.col("comp") == F.col("main")).alias("main"))
+    # m shingles of a class are shared with any other; k of them come before this one in the common order
+    able = f"(100 + {threshold}) * least(mu, mv) >= {threshold} * (nu + nv) and 100 * least(nu, nv) >= {threshold} * greatest(nu, nv)"
+    reach = f"(100 + {threshold}) * (least(ku, kv) + 1 + least(mu - ku, mv - kv)) >= {threshold} * (nu + nv)"
+    met = few.join(every, "code").where(f"compu <> compv and (main or clsu < clsv) and {able} and {reach}")
+    # common shingles that the prefixes don't show lie behind the prefix that ends first
+    bound = F.max(F.expr(f"{threshold} * (nu + nv) - (100 + {threshold}) * greatest(mu - pu, mv - pv)")).alias("bound")
+    met = met.groupBy(F.least("clsu", "clsv").alias("u"), F.greatest("clsu", "clsv").alias("v")).agg(F.count("*").alias("met"), F.max(F.least("matchesu", "matchesv")).alias("m"), bound)
+    met = met.where(f"met >= m and (100 + {threshold}) * met >= bound")
+    found = verify(met.select("u", "v"), sets, threshold)
     return components(edges.union(found))
 
 
