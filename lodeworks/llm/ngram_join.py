@@ -134,7 +134,7 @@ def gather(group: pa.Table) -> pa.Table:
         order = np.argsort(cls, kind="stable")
         code, cls, freq = code[order], cls[order], freq[order]
         starts = np.flatnonzero(np.diff(cls, prepend=-1))
-        ends = np.append(starts[1:], len(cls))
+        ends = np.append(starts, len(cls))[1:]
         own = cls[starts]
         out.append(pa.table([pa.nulls(len(own), pa.int64()), pa.array(names[own]), pa.array(sizes[first][own]), pa.array([packed(code[a:b], 6) for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([freq[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], schema=GATHERED_ARROW))
     return pa.concat_tables(out) if out else GATHERED_ARROW.empty_table()
