@@ -16,6 +16,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 SALTS = ODD * np.arange(1, 65, dtype=np.uint64)
 #: Shingles are 48-bit hashes, so that one sorts together with a 16-bit document number.
 SHINGLE_BITS, DOC_BITS = 48, 16
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 4
 #: The longest extension of a prefix, and what verifying a candidate costs against reading a posting.
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 
@@ -160,7 +162,15 @@ def prefix_length(n: int, unique: int, freq: np.ndarray, threshold: int) -> tupl
     return best[1], best[2]
 
 
-SIGNED = "cls long, n int, m int, matches int, codes binary, prefix array<long>"
+def parities(code: np.ndarray) -> list[int]:
+    """A bitmap of BITMAP_WORDS words: each bit tells whether an odd number of the codes fall on it.
+
+    Two sets' bitmaps differ in at most as many bits as there are codes that only one of the sets holds."""
+    bits = np.bincount((mix(code + ODD) >> np.uint64(32)).astype(np.int64) % (64 * BITMAP_WORDS), minlength=64 * BITMAP_WORDS) % 2
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+SIGNED = "cls long, n int, m int, matches int, codes binary, prefix array<long>, bits array<long>"
 
 
 def sign(threshold: int):
@@ -171,11 +181,11 @@ def sign(threshold: int):
         freq = np.concatenate([np.frombuffer(f, "<u4") for f in group.column("freqs").to_pylist()])
         order = np.lexsort((code, freq))
         matches, k = prefix_length(n, n - len(code), freq[order], threshold)
-        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
         if not k:
             return schema.empty_table()
         head = code[order[:k]].astype(np.int64).tolist()
-        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([len(code)], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64()))], schema=schema)
+        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([len(code)], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64())), pa.array([parities(code)], pa.list_(pa.int64()))], schema=schema)
 
     return run
 
@@ -203,7 +213,8 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int =
 
     In the first rounds each class is compared with a few others that share most of its prefix lists' places, so a large group of
     near copies falls together after a few comparisons for each member. Then every candidate pair of classes that are
-    not joined yet is counted over the prefix lists and verified; pairs inside a component could add nothing.
+    not joined yet is counted over the prefix lists and verified; pairs inside a component could add nothing. A pair is
+    left out early only where sizes, places or parity bitmaps prove that it is no link.
     """
     listed = sets.select("cls", "n", "m", "matches", F.size("prefix").alias("p"), F.posexplode("prefix").alias("k", "code"))
     listed = cut(listed)
@@ -224,18 +235,23 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int =
         found = cut(verify(pairs, sets, threshold))
         edges = found if edges is None else edges.union(found)
         comp = cut(components(edges))
-    now = cut(listed.join(comp, listed.cls == comp.node, "left").select("cls", "n", "m", "matches", "p", "k", "code", F.coalesce("comp", "cls").alias("comp")))
+    placed = cut(sets.join(comp, sets.cls == comp.node, "left").select("cls", "n", "m", "matches", "prefix", "bits", F.coalesce("comp", "cls").alias("comp")))
+    bits = [F.col("bits")[k].alias(f"bits_{k}_") for k in range(BITMAP_WORDS)]
+    now = placed.select("cls", "n", "m", "matches", F.size("prefix").alias("p"), "comp", *bits, F.posexplode("prefix").alias("k", "code"))
     # the component with most classes in a list meets only the others there
     by_comp = now.groupBy("code", "comp").agg(F.count("*").alias("many"))
     main = by_comp.groupBy("code").agg(F.max(F.struct("many", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1").select("code", "main")
     now = now.join(main, "code")
-    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("cls", "n", "m", "matches", "p", "k", "comp")]
+    side = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("cls", "n", "m", "matches", "p", "k", "comp", *(f"bits_{k}_" for k in range(BITMAP_WORDS)))]
     few = now.where("comp <> main").select("code", *side("u"))
     every = now.select("code", *side("v"), (F.col("comp") == F.col("main")).alias("main"))
     # m shingles of a class are shared with any other; k of them come before this one in the common order
     able = f"(100 + {threshold}) * least(mu, mv) >= {threshold} * (nu + nv) and 100 * least(nu, nv) >= {threshold} * greatest(nu, nv)"
     reach = f"(100 + {threshold}) * (least(ku, kv) + 1 + least(mu - ku, mv - kv)) >= {threshold} * (nu + nv)"
-    met = few.join(every, "code").where(f"compu <> compv and (main or clsu < clsv) and {able} and {reach}")
+    # shingles of only one of the two are at least those that no other class has and the bits in which the bitmaps differ
+    apart = " + ".join(f"bit_count(bits_{k}_u ^ bits_{k}_v)" for k in range(BITMAP_WORDS))
+    close = f"(100 + {threshold}) * (mu + mv - ({apart})) >= 2 * {threshold} * (nu + nv)"
+    met = few.join(every, "code").where(f"compu <> compv and (main or clsu < clsv) and {able} and {reach} and {close}")
     # common shingles that the prefixes don't show lie behind the prefix that ends first
     bound = F.max(F.expr(f"{threshold} * (nu + nv) - (100 + {threshold}) * greatest(mu - pu, mv - pv)")).alias("bound")
     met = met.groupBy(F.least("clsu", "clsv").alias("u"), F.greatest("clsu", "clsv").alias("v")).agg(F.count("*").alias("met"), F.max(F.least("matchesu", "matchesv")).alias("m"), bound)
