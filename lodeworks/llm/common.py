@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker splits into words at a time.
 SLICE_BYTES = 6 << 20
+#: Edges that one task joins in memory, about 100 bytes each.
+FOREST_EDGES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -116,13 +118,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round first joins what it can inside each partition, then sends every node to the first node of its closed
     neighbourhood and contracts the graph. The order is the numbers' own in even rounds and a fresh hash in odd ones, so
-    long chains shrink by a constant factor. A hub's edges are never gathered in one place, and a partition holds
-    no more edges than Spark deals to it.
+    long chains shrink by a constant factor. A hub's edges are never gathered in one place; a partition
+    holds about FOREST_EDGES edges, however many partitions they came in.
     """
     live = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    live = cut(live.distinct().mapInArrow(_forest, "u long, v long"))
     labels = None
     for turn in range(rounds):
+        dealt = cut(live.distinct())
+        left = dealt.count()
+        if not left:
+            break
+        live = cut(dealt.coalesce(-(-left // FOREST_EDGES)).mapInArrow(_forest, "u long, v long"))
         rank = (lambda c: F.struct(c.alias("k"), c.alias("x"))) if turn % 2 == 0 else (lambda c, s=turn: F.struct(F.xxhash64(c, F.lit(s)).alias("k"), c.alias("x")))
         both = live.union(live.select("v", "u"))
         up = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best")).select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["x"].alias("p"))
@@ -133,10 +139,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             labels = cut(labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
         a, b = up.select(F.col("node").alias("u"), F.col("p").alias("pu")), up.select(F.col("node").alias("v"), F.col("p").alias("pv"))
         live = live.join(a, "u").join(b, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
-        live = cut(live.distinct().mapInArrow(_forest, "u long, v long"))
-        if live.isEmpty():
-            break
     else:
         raise RuntimeError("components did not settle")
+    if labels is None:
+        return live.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     low = labels.groupBy("comp").agg(F.min("node").alias("low"))
     return labels.join(low, "comp").select("node", F.col("low").alias("comp"))
