@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -208,7 +210,7 @@ def verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return met.select("u", "v", "nu", "nv", "cu", "cv").mapInArrow(run, "u long, v long")
 
 
-def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int = 6) -> DataFrame:
+def link_classes(sets: DataFrame, threshold: int, rounds: int = 1, looks: int = 6) -> DataFrame:
     """Components (node, comp) of the classes under all links.
 
     In the first rounds each class is compared with a few others that share most of its prefix lists' places, so a large group of
@@ -218,7 +220,7 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int =
     """
     listed = sets.select("cls", "n", "m", "matches", F.size("prefix").alias("p"), F.posexplode("prefix").alias("k", "code"))
     listed = cut(listed)
-    edges = comp = None
+    comp = None
     by_size = Window.partitionBy("code").orderBy("n", "cls")
     for turn in range(rounds):
         # of each list the smallest class, the next smaller one, and those before in an order by hash; of all those that a
@@ -233,8 +235,8 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int =
             a, b = comp.select(F.col("node").alias("u"), F.col("comp").alias("cu")), comp.select(F.col("node").alias("v"), F.col("comp").alias("cv"))
             pairs = pairs.join(a, "u", "left").join(b, "v", "left").where("coalesce(cu, u) <> coalesce(cv, v)").select("u", "v")
         found = cut(verify(pairs, sets, threshold))
-        edges = found if edges is None else edges.union(found)
-        comp = cut(components(edges))
+        stars = [] if comp is None else [comp.select("node", "comp")]
+        comp = cut(components(reduce(DataFrame.union, stars, found)))
     placed = cut(sets.join(comp, sets.cls == comp.node, "left").select("cls", "n", "m", "matches", "prefix", "bits", F.coalesce("comp", "cls").alias("comp")))
     bits = [F.col("bits")[k].alias(f"bits_{k}_") for k in range(BITMAP_WORDS)]
     now = placed.select("cls", "n", "m", "matches", F.size("prefix").alias("p"), "comp", *bits, F.posexplode("prefix").alias("k", "code"))
@@ -257,7 +259,7 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 2, looks: int =
     met = met.groupBy(F.least("clsu", "clsv").alias("u"), F.greatest("clsu", "clsv").alias("v")).agg(F.count("*").alias("met"), F.max(F.least("matchesu", "matchesv")).alias("m"), bound)
     met = met.where(f"met >= m and (100 + {threshold}) * met >= bound")
     found = verify(met.select("u", "v"), sets, threshold)
-    return components(edges.union(found))
+    return components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bucket_bytes: int = 8 << 20) -> DataFrame:
