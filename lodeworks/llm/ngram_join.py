@@ -172,7 +172,7 @@ def parities(code: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
 
 
-SIGNED = "cls long, n int, m int, matches int, codes binary, prefix array<long>, bits array<long>"
+SIGNED = "cls long, n int, m int, matches int, codes binary, prefix array<long>, bits array<long>, common double"
 
 
 def sign(threshold: int):
@@ -183,11 +183,11 @@ def sign(threshold: int):
         freq = np.concatenate([np.frombuffer(f, "<u4") for f in group.column("freqs").to_pylist()])
         order = np.lexsort((code, freq))
         matches, k = prefix_length(n, n - len(code), freq[order], threshold)
-        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("common", pa.float64())])
         if not k:
             return schema.empty_table()
         head = code[order[:k]].astype(np.int64).tolist()
-        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([len(code)], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64())), pa.array([parities(code)], pa.list_(pa.int64()))], schema=schema)
+        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([len(code)], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64())), pa.array([parities(code)], pa.list_(pa.int64())), pa.array([float(freq.sum()) / n])], schema=schema)
 
     return run
 
@@ -218,15 +218,16 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 1, looks: int =
     not joined yet is counted over the prefix lists and verified; pairs inside a component could add nothing. A pair is
     left out early only where sizes, places or parity bitmaps prove that it is no link.
     """
-    listed = sets.select("cls", "n", "m", "matches", F.size("prefix").alias("p"), F.posexplode("prefix").alias("k", "code"))
+    listed = sets.select("cls", "common", F.explode("prefix").alias("code"))
     listed = cut(listed)
     comp = None
-    by_size = Window.partitionBy("code").orderBy("n", "cls")
+    by_common = Window.partitionBy("code").orderBy(F.desc("common"), "cls")
     for turn in range(rounds):
-        # of each list the smallest class, the next smaller one, and those before in an order by hash; of all those that a
-        # class meets so, the ones that it meets most often
+        # of each list the class whose shingles are the most common ones (what a group's members were copied from, as edits
+        # are rare), the next such one, and those before in an order by hash; of all those that a class meets so, the ones
+        # that it meets most often
         by_hash = Window.partitionBy("code").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
-        some = [F.first("cls").over(by_size), F.lag("cls").over(by_size), *(F.lag("cls", k).over(by_hash) for k in (1, 2, 3))]
+        some = [F.first("cls").over(by_common), F.lag("cls").over(by_common), *(F.lag("cls", k).over(by_hash) for k in (1, 2, 3))]
         near = listed.select("cls", *(c.alias(f"c{k}") for k, c in enumerate(some))).select("cls", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(len(some)))))).alias("x")).where("x <> cls")
         met = near.groupBy("cls", "x").agg(F.count("*").alias("met"))
         best = Window.partitionBy("cls").orderBy(F.desc("met"), "x")
