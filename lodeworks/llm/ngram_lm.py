@@ -21,8 +21,8 @@ from .ngram_join import packed, unpacked
 
 #: The end of a text is a token of its own; no word has a space in it.
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(" end"))
-#: n-grams of order 2 and 3 seen less often are left to the lower order; what each kept count is lowered by.
-LEAST, DISCOUNT = 2, 0.6
+#: What each count of a pair or triple is lowered by; those seen once are kept, so it is less than 1.
+DISCOUNT = 0.6
 ONE = np.uint64(1)
 
 
@@ -155,9 +155,9 @@ def quantised(x: np.ndarray, codes: int = 256) -> tuple[np.ndarray, np.ndarray]:
     return code, (total / np.maximum(1, np.bincount(code, minlength=codes))).astype(np.float32)
 
 
-def write_level(store: Store, name: str, keys: np.ndarray, counts: np.ndarray, contexts: int, span: int, context_counts: np.ndarray) -> None:
+def write_level(store: Store, name: str, keys: np.ndarray, counts: np.ndarray, contexts: int, span: int, context_counts: np.ndarray, keep_counts: bool = False) -> None:
     """One shard of a level: keys context * span + successor, rising; pointers to each context's first successor; discounted
-    probabilities, and what each context leaves to the lower order."""
+    probabilities, and what each context leaves to the lower order; the counts if the next level needs them."""
     ctx = (keys // np.uint64(span)).astype(np.int64)
     share = (counts - DISCOUNT) / context_counts[ctx]
     left = 1 - np.bincount(ctx, share, contexts)
@@ -165,7 +165,7 @@ def write_level(store: Store, name: str, keys: np.ndarray, counts: np.ndarray, c
     code, book = quantised(np.log10(share))
     left_code, left_book = quantised(np.log10(np.clip(left, 1e-9, 1)))
     parts = {f"keys.{k}": v for k, v in EliasFano.of(keys).arrays().items()} | {f"pointers.{k}": v for k, v in EliasFano.of(pointers).arrays().items()}
-    for k, v in (parts | {"code": code, "book": book, "left_code": left_code, "left_book": left_book, "counts": counts.astype(np.uint32)}).items():
+    for k, v in (parts | {"code": code, "book": book, "left_code": left_code, "left_book": left_book} | ({"counts": counts.astype(np.min_scalar_type(counts.max(initial=0)))} if keep_counts else {})).items():
         store.put(f"{name}.{k}", v)
 
 
@@ -176,7 +176,7 @@ class Shard:
             return EliasFano(n, bits, *(store.get(f"{name}.{what}.{k}") for k in ("low", "high", "before")))
 
         self.keys, self.pointers = coded("keys"), coded("pointers")
-        self.code, self.left_code, self.counts = (store.get(f"{name}.{k}") for k in ("code", "left_code", "counts"))
+        self.code, self.left_code = (store.get(f"{name}.{k}") for k in ("code", "left_code"))
         self.book, self.left_book = (10.0 ** store.get(f"{name}.{k}").astype(np.float64) for k in ("book", "left_book"))
 
 
@@ -315,20 +315,17 @@ def counted(keys: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), COUNTED_ARROW.types, strict=True)], schema=COUNTED_ARROW)
 
 
-def merged(group: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray]:
+def merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys = np.concatenate([unpacked(k, 8) for k in group.column("keys").to_pylist()])
     counts = np.concatenate([large(c) for c in group.column("counts").to_pylist()])
     keys, inverse = np.unique(keys, return_inverse=True)
     counts = np.bincount(inverse, counts, len(keys)).astype(np.int64)
-    return keys[counts >= least], counts[counts >= least]
+    return keys, counts
 
 
-def merge(least: int):
-    def run(group: pa.Table) -> pa.Table:
-        keys, counts = merged(group, least)
-        return pa.table([group.column("bucket")[:1], group.column("slot")[:1], pa.array([packed(keys, 8)], pa.binary()), pa.array([small(counts)], pa.binary())], schema=COUNTED_ARROW)
-
-    return run
+def merge(group: pa.Table) -> pa.Table:
+    keys, counts = merged(group)
+    return pa.table([group.column("bucket")[:1], group.column("slot")[:1], pa.array([packed(keys, 8)], pa.binary()), pa.array([small(counts)], pa.binary())], schema=COUNTED_ARROW)
 
 
 def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
@@ -349,7 +346,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
                 yield counted(hashes, hash_bucket(hashes, buckets))
 
     def write_words(group: pa.Table) -> pa.Table:
-        keys, counts = merged(group, 1)
+        keys, counts = merged(group)
         b, store = group.column("bucket")[0].as_py(), Store(levels.uri)
         store.put(f"1-{b}.hash", keys)
         store.put(f"1-{b}.count", counts)
@@ -361,7 +358,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
     def collect(df: DataFrame) -> list:
         return df.groupBy("bucket").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.max("most").alias("most")).collect()
 
-    words = collect(texts.mapInArrow(count_words, COUNTED).groupBy("bucket", "slot").applyInArrow(merge(1), COUNTED).groupBy("bucket").applyInArrow(write_words, DONE_DDL))
+    words = collect(texts.mapInArrow(count_words, COUNTED).groupBy("bucket", "slot").applyInArrow(merge, COUNTED).groupBy("bucket").applyInArrow(write_words, DONE_DDL))
     levels = Levels(levels.uri, buckets, offsets({r["bucket"]: r["n"] for r in words}), sum(r["total"] for r in words))
     if not levels.tokens:
         return levels
@@ -377,16 +374,16 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
                 yield counted((place * levels.vocabulary + b).astype(np.uint64), bucket)
 
     def write_pairs(group: pa.Table) -> pa.Table:
-        keys, counts = merged(group, 1)
+        keys, counts = merged(group)
         b, first = group.column("bucket")[0].as_py(), levels.words
         contexts = first[b + 1] - first[b]
-        write_level(Store(levels.uri), f"2-{b}", keys, counts, contexts, levels.vocabulary, np.asarray(opened_words(levels.uri, b)[1], float))
+        write_level(Store(levels.uri), f"2-{b}", keys, counts, contexts, levels.vocabulary, np.asarray(opened_words(levels.uri, b)[1], float), True)
         most = np.bincount((keys // np.uint64(levels.vocabulary)).astype(np.int64), minlength=1).max() if len(keys) else 0
         return pa.table({"bucket": [b], "n": [len(keys)], "total": [0], "most": [int(most)]}, schema=DONE)
 
     # every bucket with words has a shard, if an empty one
     none = spark.createDataFrame([(b, 0, packed(np.zeros(0, np.uint64), 8), small(np.zeros(0))) for b in range(buckets) if levels.words[b + 1] > levels.words[b]], COUNTED)
-    pairs = collect(texts.mapInArrow(count_pairs, COUNTED).groupBy("bucket", "slot").applyInArrow(merge(LEAST), COUNTED).unionByName(none).groupBy("bucket").applyInArrow(write_pairs, DONE_DDL))
+    pairs = collect(texts.mapInArrow(count_pairs, COUNTED).groupBy("bucket", "slot").applyInArrow(merge, COUNTED).unionByName(none).groupBy("bucket").applyInArrow(write_pairs, DONE_DDL))
     levels = Levels(levels.uri, buckets, levels.words, levels.tokens, offsets({r["bucket"]: r["n"] for r in pairs}), 1 + max(r["most"] for r in pairs))
 
     def count_triples(batches):
@@ -402,13 +399,13 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
                 yield counted((place * levels.span + relative[follow + 1]).astype(np.uint64), bucket)
 
     def write_triples(group: pa.Table) -> pa.Table:
-        keys, counts = merged(group, 1)
+        keys, counts = merged(group)
         b = group.column("bucket")[0].as_py()
         pair_counts = np.asarray(Store(levels.uri).get(f"2-{b}.counts"), float)
         write_level(Store(levels.uri), f"3-{b}", keys, counts, len(pair_counts), levels.span, pair_counts)
         return pa.table({"bucket": [b], "n": [len(keys)], "total": [0], "most": [0]}, schema=DONE)
 
-    collect(texts.mapInArrow(count_triples, COUNTED).groupBy("bucket", "slot").applyInArrow(merge(LEAST), COUNTED).unionByName(none).groupBy("bucket").applyInArrow(write_triples, DONE_DDL))
+    collect(texts.mapInArrow(count_triples, COUNTED).groupBy("bucket", "slot").applyInArrow(merge, COUNTED).unionByName(none).groupBy("bucket").applyInArrow(write_triples, DONE_DDL))
     return levels
 
 

@@ -151,6 +151,33 @@ def test_language_model(spark, docs):
         assert r["score"] < 0
 
 
+def test_language_model_counts_all(spark):
+    """Pairs and triples seen once count too: the score is that of discounted counts of all n-grams."""
+    train = [(0, "a b c d"), (1, "a b d c a"), (2, "x y z")]
+    rows = spark.createDataFrame([*train, (10, "a b c"), (11, "x y z"), (12, "y q a")], "doc_id long, text string")
+    seen = [{}, {}, {}]
+    for _, t in train:
+        w = [*t.split(), " end"]
+        for k in range(3):
+            for j in range(len(w) - k):
+                g = tuple(w[j : j + k + 1])
+                seen[k][g] = seen[k].get(g, 0) + 1
+    n, v = sum(seen[0].values()), len(seen[0])
+
+    def prob(g):
+        if len(g) == 1:
+            return (seen[0].get(g, 0) + 1) / (n + v + 1)
+        lower, context = prob(g[1:]), seen[len(g) - 2].get(g[:-1], 0)
+        if not context:
+            return lower
+        after = [c for h, c in seen[len(g) - 1].items() if h[:-1] == g[:-1]]
+        return max(0, seen[len(g) - 1].get(g, 0) - ngram_lm.DISCOUNT) / context + (1 - sum(c - ngram_lm.DISCOUNT for c in after) / context) * lower
+
+    for r in ngram_lm.learn_and_score(rows, F.col("doc_id") >= 10).collect():
+        w = [*dict(train + [(10, "a b c"), (11, "x y z"), (12, "y q a")])[r["doc_id"]].split(), " end"]
+        assert math.isclose(r["score"], sum(math.log10(prob(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))), abs_tol=1e-3)
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for most in (100, 10**6, 10**12):
