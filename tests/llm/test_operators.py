@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,15 @@ def test_toxicity(spark):
     assert {r["doc_id"]: r["score"] > 0.5 for r in toxicity.score_texts(docs, model).collect()} == {1: False, 2: False, 3: True, None: False}
 
 
+def test_toxicity_spaced():
+    """Spacing is decoded together with stand-ins, repetition and noise."""
+    evidence = toxicity.Evidence(toxicity.Model({"=idiot": 5.0, "=stupid": 4.0}, {}))
+    texts = ["you 1 d 1 0 t now", "i d d i i o t", "an id iot, he", "st up id", "i . d ! o t", "is stu pid", "i i d i o t s", "is id", "this idea", "i d e a", ""]
+    got = [toxicity.text_evidence(pa.RecordBatch.from_arrays([pa.array([t])], names=["text"]), evidence)[0] for t in texts]
+    assert [g[0] for g in got] == [5.0, 5.0, 5.0, 4.0, 5.0, 4.0, 5.0, 0.0, 0.0, 0.0, 0.0]
+    assert all(g[2] == (g[0] > 0) for g in got)
+
+
 def test_html():
     page = '<html><head><title>x</title></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav><div class="ad">Buy</div><article><h1>Title here</h1><p>One  &amp; two,\nthree words of prose that go on for a while.<p>More of it, and then some more of the same.</article><footer>&copy; f</footer></body></html>'
     nodes = html_extraction.walk(html_extraction.parse(page))
