@@ -210,6 +210,15 @@ def test_toxicity_spaced():
     assert all(g[2] == (g[0] > 0) for g in got)
 
 
+def test_toxicity_long_words():
+    """Words of any length are decoded, those joined by symbols too."""
+    model = toxicity.Model({"=idiot": 5.0}, {})
+    words_ = ["idi" + "o" * 40 + "t", "y.o.u._.a.r.e._.a.n._.i.d.i.o.t._.a.n.d._.s.o.o.n", "you_are_an_idiot_and_that_is_all_there_is_to_say", "b3d5" * 30]
+    assert toxicity.Evidence(model).of(words_).tolist() == [5.0, 5.0, 5.0, 0.0]
+    letters = "abcde" * 60
+    assert letters in toxicity.decode(letters + ".", model)
+
+
 def test_html():
     page = '<html><head><title>x</title></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav><div class="ad">Buy</div><article><h1>Title here</h1><p>One  &amp; two,\nthree words of prose that go on for a while.<p>More of it, and then some more of the same.</article><footer>&copy; f</footer></body></html>'
     nodes = html_extraction.walk(html_extraction.parse(page))
