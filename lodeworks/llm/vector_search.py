@@ -36,6 +36,25 @@ def centroids(x: np.ndarray, lists: int, steps: int = 8, seed: int = 5) -> np.nd
     return c
 
 
+def probes_for(x: np.ndarray, centre: np.ndarray, k: int, recall: float, asked: int = 256, seed: int = 3) -> int:
+    """Lists that a query must probe so that its k largest inner products are in them as often as recall tells, measured on a
+    sample's lifted vectors x. Lifting takes a query's last dimension away."""
+    rng = np.random.default_rng(seed)
+    pick = rng.choice(len(x), min(asked, len(x)), replace=False)
+    q = x[pick].copy()
+    q[:, -1] = 0
+    score = q @ x.T
+    score[np.arange(len(pick)), pick] = -np.inf
+    near = np.argpartition(-score, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)] if len(x) > 1 else np.zeros((len(pick), 0), int)
+    if not near.size:
+        return len(centre)
+    weight = (centre * centre).sum(axis=1)
+    home = np.concatenate([(weight - 2 * (x[lo : lo + 4096] @ centre.T)).argmin(axis=1) for lo in range(0, len(x), 4096)])
+    place = np.argsort(np.argsort(weight - 2 * (q @ centre.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort(np.take_along_axis(place, home[near], axis=1), axis=None)
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
 def scan(x: np.ndarray, q: np.ndarray, limit: np.ndarray, doubt: float = DOUBT, columns: int = COLUMNS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, candidate) that no test abandons. After d of D rotated columns the distance is estimated as
     partial * D / d; the hypothesis that it is within limit (squared) is rejected beyond (1 + doubt / sqrt d)^2 of it."""
@@ -92,12 +111,13 @@ def probe(k: int, turn: np.ndarray, top: float, pairs: int = 2_000_000):
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, list_rows: int = 400, most_lists: int = 1024, probe_share: float = 0.5, block_rows: int = 4096, query_rows: int = 2048) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, list_rows: int = 400, most_lists: int = 1024, probe_share: float = 0.5, block_rows: int = 4096, query_rows: int = 2048, recall: float = 0.95) -> DataFrame:
     """For each query (query_id, embedding) its k candidates (vec_id, embedding) of largest inner product that the probed lists
     hold, itself left out: query_id, rank, vec_id, score. Ties go to the smaller vec_id.
 
     The lists' centres are fitted on at most `sample` vectors chosen by a hash; every vector is indexed. A query scans its nearest
-    list whole, which gives the distance to beat, then its other probed lists (probe_share of all). Long lists and many
+    list whole, which gives the distance to beat, then its other probed lists: probe_share of all, or as many more as a
+    sample shows to hold the share `recall` of true neighbours. Long lists and many
     queries are dealt in blocks. Vectors that are null, zero or hold null or non-finite components, rows without an id, and
     vectors of another length than the most common one (ties: the longest) take no part; rows that repeat a vec_id count
     once, with the least embedding. Rank is 1, 2, ...; fewer rows where there are fewer candidates; none without rows.
@@ -113,9 +133,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     turn = rotation(dim + 1)
     lists = int(min(most_lists, max(1, rows // list_rows)))
-    centre = centroids(lift(matrix(drawn.column("embedding")), top), lists)
+    fitted = lift(matrix(drawn.column("embedding")), top)
+    centre = centroids(fitted, lists)
     weight = (centre * centre).sum(axis=1)
-    probes = max(1, int(np.ceil(probe_share * len(centre))))
+    probes = max(1, int(np.ceil(probe_share * len(centre))), probes_for(fitted, centre, k, recall))
 
     def nearest(many: int, query: bool):
         def run(batches):

@@ -262,6 +262,31 @@ def test_vectors(spark):
     assert all(math.isclose(r["score"], float(every[r["query_id"]] @ every[r["vec_id"]]), abs_tol=1e-9) for r in found)
 
 
+@pytest.mark.parametrize("rows", [None, 6000])
+def test_search_recall(spark, rows):
+    """With the registered parameters at least 0.9 of the true neighbours are found, on sf0.1 and on random vectors."""
+    if rows is None:
+        sf = "/root/testdata/sf0.1"
+        vectors, found = queries.table(spark, sf, "embeddings"), queries.op6_ann_search(spark, sf)
+    else:
+        x = np.random.default_rng(rows).standard_normal((rows, 64))
+        x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+        vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
+        found = vector_search.search(vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    have = vectors.toPandas().sort_values("vec_id")
+    ids, m = have["vec_id"].to_numpy(), np.array(have["embedding"].to_list(), np.float64)
+    got, hit, total = {}, 0, 0
+    for r in found.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    for at in np.flatnonzero(ids % 20 == 0):
+        score = m @ m[at]
+        score[at] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        hit, total = hit + len(best & got[ids[at]]), total + len(best)
+    print(rows, "recall", hit / total)
+    assert hit >= 0.9 * total
+
+
 def test_urls(spark):
     urls = ["http://A.example.org/es/1", "https://x.example.org/en/12?q", "http://b.com/de/9", "http://b.com/fr/9#x", "ftp://c.net", None, "none", "http://d.org", "http://org/x", "http://b.com/de/10/x", "http://b.com/xx/1"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
