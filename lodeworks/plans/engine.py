@@ -87,7 +87,7 @@ class Collection:
     def graph_context(self, asked: str) -> str:
         e = self.spark.range(1).select(F.posexplode(query_tokens(F.lit(asked))).alias("pos", "entity"))
         rows = graph.context_rows(e, self.triples.read().withColumn("seq", F.xxhash64("triple_id")))
-        return "\n".join(r["line"] for r in rows.orderBy("pos", "side", "seq").select(graph.format_triple().alias("line")).limit(200).collect())
+        return "\n".join(r["line"] for r in rows.orderBy("pos", "side", "seq").select(graph.format_triple().alias("line")).collect())
 
     def answer(self, asked: str, method: str = "hybrid", k: int = 5) -> dict:
         """Context and answer; of a graph question the answer is the context. Raises while files wait to be indexed."""

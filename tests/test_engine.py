@@ -1,6 +1,9 @@
 """A collection from a folder of files: index, change, answer."""
 
-from lodeworks.plans.engine import Collection
+from pyspark.sql import functions as F
+
+from lodeworks.operators import graph
+from lodeworks.plans.engine import TRIPLES, Collection
 from lodeworks.sources import files
 
 
@@ -31,3 +34,12 @@ def test_csv(spark, tmp_path):
     rows = files.csv_elements(files.scan(spark, f"file://{tmp_path}")).orderBy("seq").collect()
     assert [r["type"] for r in rows] == ["heading", "table"]
     assert rows[1]["table_rows"] == [["Metric", "A", "B"], ["x", "1", "2"], ["y", "3", "4"]]
+
+
+def test_graph_context_whole(spark, tmp_path):
+    """Every triple that matches is in the context."""
+    c = Collection(spark, f"file://{tmp_path}/root", f"file://{tmp_path}")
+    n = F.col("id").cast("string")
+    rows = spark.range(300).select(*({"triple_id": n, "subject_name": F.concat(F.lit("sensor "), n), "predicate": F.lit("has"), "object_name": F.concat(F.lit("x"), n), "weight": F.lit(1.0)}.get(f.name, F.lit("c")).cast(f.dataType).alias(f.name) for f in TRIPLES))
+    c.triples.replace(rows.select(*graph.TRIPLE))
+    assert len(c.graph_context("which sensor").split("\n")) == 300
