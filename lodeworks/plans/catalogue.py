@@ -126,7 +126,7 @@ def element_grouping(spark, d):
 
 @query()
 def short_chunk_merge(spark, d):
-    return chunking.merge_short(t(spark, d, "conversations").withColumn("short", F.substring("text", 1, 60)), "conv_id", "turn", "short", "role")
+    return chunking.merge_short(t(spark, d, "conversations"), "conv_id", "turn", "text", "role")
 
 
 WARNED = "CASE WHEN turn % 3 <> 1 THEN 'WARNING ' || turn ELSE text END"

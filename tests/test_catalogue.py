@@ -27,3 +27,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 1
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_short_chunk_merge(spark):
+    """Whole texts, as a plain fold in Python merges them."""
+    want = []
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
+    for conv in {r["conv_id"] for r in rows}:
+        now = None
+        for r in sorted((r for r in rows if r["conv_id"] == conv), key=lambda r: r["turn"]):
+            text = r["text"].strip()
+            short = len(text) < 80 and "\n" not in text
+            if short and now and now["short"] and now["role"] == r["role"] and now["total"] + 3 * now["merged"] + len(text) < 400:
+                now["text"], now["merged"], now["total"] = now["text"].strip() + " | " + text, now["merged"] + 1, now["total"] + len(text)
+                continue
+            now = {"conv": conv, "first": r["turn"], "text": r["text"], "merged": 1, "total": len(text), "role": r["role"], "short": short}
+            want.append(now)
+    got = catalogue.QUERIES["short_chunk_merge"](spark, SF).collect()
+    assert max(len(r["text"]) for r in got) > 400
+    assert sorted(map(tuple, got)) == sorted((w["conv"], w["first"], w["text"], w["merged"]) for w in want)
