@@ -42,23 +42,31 @@ class Collection:
         return delta.index_status(files.manifest(files.scan(self.spark, self.data)), self.manifest.read(), self.manifest.version() is not None).first()["index_status"]
 
     def index(self, mode: str = "all", force: bool = False) -> dict[str, int]:
-        """Loads what is new or modified, purges what is modified or deleted, stores the manifest; what fails to load is tried again."""
+        """Loads what is new or modified, purges what is modified or deleted, stores the manifest. What fails to load, blank files and
+        formats without a reader among it, is counted as failed, stays out of the manifest and is tried again."""
         if mode not in ("vector", "graph", "all"):
             raise ValueError(f"unknown mode {mode}")
         found = files.scan(self.spark, self.data)
         disk = files.manifest(found)
         changes = disk.select("name", F.lit("modified").alias("status")) if force else delta.delta(disk, self.manifest.read())
         changes = changes.where("status <> 'unchanged'").persist()
+        held = [changes]
         try:
             counts = {r["status"]: r["count"] for r in changes.groupBy("status").count().collect()}
             if not counts:
                 return {}
             changed, gone = changes.where("status in ('new', 'modified')"), changes.where("status in ('modified', 'deleted')")
-            loaded = files.texts(found.join(changed, "name", "left_semi"))
+            fresh = found.join(changed, "name", "left_semi")
+            loaded = files.texts(fresh).withColumn("kind", F.lit("text")).unionByName(files.csv_texts(fresh).withColumn("kind", F.lit("table"))).persist()
+            held.append(loaded)
+            for r in changed.join(loaded, "name", "left_anti").groupBy("status").count().collect():
+                counts[r["status"]] -= r["count"]
+                counts["failed"] = counts.get("failed", 0) + r["count"]
+            counts = {k: n for k, n in counts.items() if n}
             if mode in ("vector", "all"):
-                parts = chunking.exploded(loaded.withColumn("doc_id", F.col("name")), chunking.char_windows(F.col("text"), self.size, self.overlap), "doc_id", "stem")
+                parts = chunking.exploded(loaded.withColumn("doc_id", F.col("name")), chunking.char_windows(F.col("text"), self.size, self.overlap), "doc_id", "stem", "kind")
                 embedded = F.concat(context_prefix(F.col("stem")), F.lit("\n"), "chunk_text")
-                meta = F.to_json(F.struct(F.col("doc_id").alias("source"), "chunk_index", F.lit("text").alias("chunk_type"), content_hash(F.col("chunk_text")).alias("chunk_hash")))
+                meta = F.to_json(F.struct(F.col("doc_id").alias("source"), "chunk_index", F.col("kind").alias("chunk_type"), content_hash(F.col("chunk_text")).alias("chunk_hash")))
                 rows = parts.select(F.concat_ws("#", "doc_id", "chunk_index").alias("id"), "doc_id", embedded.alias("text"), self.embedder.column(embedded).alias("vector"), meta.alias("metadata"))
                 kept = self.chunks.read().join(gone.select(F.col("name").alias("doc_id")), "doc_id", "left_anti")
                 self.chunks.replace(kept.unionByName(rows))
@@ -71,11 +79,12 @@ class Collection:
                 best = t.groupBy("triple_id").agg(F.max_by(F.struct(*(c for c in graph.TRIPLE if c != "triple_id")), "weight").alias("x")).select("triple_id", "x.*")
                 kept = self.triples.read().join(gone.select(F.col("name").alias("source_doc")), "source_doc", "left_anti")
                 self.triples.replace(graph.upsert(kept.select(*graph.TRIPLE), best.select(*graph.TRIPLE)))
-            self.manifest.replace(disk if force else delta.next_manifest(disk, changes, changed))
+            self.manifest.replace(delta.next_manifest(disk, changes, loaded))
             self.state.set_flags(vector_indexed=True if mode != "graph" else None, graph_indexed=True if mode != "vector" else None)
             return counts
         finally:
-            changes.unpersist()
+            for df in held:
+                df.unpersist()
 
     def search(self, asked: str, k: int = 5) -> DataFrame:
         q = F.lit([float(x) for x in self.embedder.embed([asked])[0]])

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import rows_to_markdown
 from ..functions.text import stem, suffix
 
 #: Suffixes by the way that they are read.
@@ -66,3 +67,8 @@ def csv_elements(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["name", "seq", "type", "text", "sheet_name", "table_rows"])
 
     return files.where(suffix(F.col("name")) == ".csv").select("name", "content").mapInPandas(run, ELEMENTS)
+
+
+def csv_texts(files: DataFrame) -> DataFrame:
+    """(name, stem, text) of CSV files with rows: their table in Markdown."""
+    return csv_elements(files).where("type = 'table'").select("name", stem(F.col("name")).alias("stem"), rows_to_markdown(F.col("table_rows")).alias("text"))

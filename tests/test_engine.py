@@ -36,6 +36,26 @@ def test_csv(spark, tmp_path):
     assert rows[1]["table_rows"] == [["Metric", "A", "B"], ["x", "1", "2"], ["y", "3", "4"]]
 
 
+def test_index_failed(spark, tmp_path):
+    """CSV files are indexed; what gives no text is tried again."""
+    data = tmp_path / "data"
+    data.mkdir()
+    (data / "a.txt").write_text("Short text.")
+    (data / "t.csv").write_text("pump;speed\nalpha;17\nbeta;19\n")
+    (data / "blank.txt").write_text("  ")
+    (data / "p.pdf").write_bytes(b"%PDF")
+    c = Collection(spark, f"file://{tmp_path}/root", f"file://{data}")
+    assert c.index() == {"new": 2, "failed": 2}
+    rows = {r["doc_id"]: r for r in c.chunks.read().collect()}
+    assert set(rows) == {"a.txt", "t.csv"}
+    assert all(x in rows["t.csv"]["text"] for x in ("pump", "beta", "19")) and '"table"' in rows["t.csv"]["metadata"]
+    assert sorted(r["name"] for r in c.manifest.read().collect()) == ["a.txt", "t.csv"]
+    assert c.index() == {"failed": 2}
+    (data / "blank.txt").write_text("Not blank.")
+    assert c.index() == {"new": 1, "failed": 1}
+    assert c.chunks.read().count() == 3
+
+
 def test_graph_context_whole(spark, tmp_path):
     """Every triple that matches is in the context."""
     c = Collection(spark, f"file://{tmp_path}/root", f"file://{tmp_path}")
