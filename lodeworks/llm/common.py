@@ -18,9 +18,11 @@ FOREST_EDGES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; in local mode one of our own where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -39,6 +41,13 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def bucket_count(size: int, each: int, least: int = 24, knee: int = 4096) -> int:
+    """Buckets for size bytes of input: one for each bytes up to knee buckets, then growing with the root of the size, so that a
+    slice's share of a bucket doesn't shrink to nothing. There is no upper limit. Where the optimiser has no estimate, knee."""
+    wanted = max(least, size // each) if size < 1 << 60 else knee
+    return int(wanted if wanted <= knee else (knee * wanted) ** 0.5)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Slices of batch with about limit bytes of text each; a longer text stands alone. Null texts become empty."""
     at = batch.schema.get_field_index(column)

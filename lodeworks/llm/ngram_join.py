@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, input_bytes, mix, split_words, text_slices, word_codes, word_hashes
+from .common import bucket_count, components, cut, input_bytes, mix, split_words, text_slices, word_codes, word_hashes
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: One salt for each place in a shingle.
@@ -34,7 +34,7 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
     first = np.zeros(len(hashes), bool)
     first[(np.cumsum(counts) - counts)[counts > 0]] = True
     code = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(hashes))):
         here = rest > k
         code[: len(hashes) - k] += np.where(here[: len(hashes) - k], mix(hashes[k:] + SALTS[k]), np.uint64(0))
     size = np.minimum(rest, n).astype(np.uint64)
@@ -57,12 +57,25 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
 
 
 POSTED = "bucket int, kind int, ids binary, sizes binary, codes binary, docs binary"
+POSTED_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("codes", pa.binary()), ("docs", pa.binary())])
+
+
+def class_names(code: np.ndarray, doc: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each document's set of shingles."""
+    order = np.argsort(doc, kind="stable")
+    total = np.zeros(len(size), np.uint64)
+    if len(order):
+        total[size > 0] = np.add.reduceat(mix(code[order] + ODD), (np.cumsum(size) - size)[size > 0])
+    return mix(total ^ mix(size.astype(np.uint64))).view(np.int64)
 
 
 def post(buckets: int, n: int):
-    """Per slice of texts: postings by shingle range (kind 1), and what each document is (kind 0) by its class.
+    """Per slice of texts: postings by shingle range (kind 1), and what each document is (kind 0), dealt by a hash of its row.
+
+    A class is a set of shingles, named by a 64-bit hash of it; exact copies are of one class. Of a slice each class posts
+    its shingles once, and no bucket gathers a class's documents, however many they are."""
 
-    A class is a set of shingles, named by a 64-bit hash of it; exact copies are of one class."""
+    bounds = np.array([(b << SHINGLE_BITS) // buckets for b in range(buckets + 1)], np.uint64)
 
     def run(batches):
         for batch in batches:
@@ -73,32 +86,32 @@ def post(buckets: int, n: int):
                 doc = (both & np.uint64((1 << DOC_BITS) - 1)).astype(np.uint16)
                 code = both >> np.uint64(DOC_BITS)
                 size = np.bincount(doc, minlength=len(counts)).astype(np.int64)
-                order = np.argsort(doc, kind="stable")
-                total = np.zeros(len(counts), np.uint64)
-                if len(order):
-                    total[size > 0] = np.add.reduceat(mix(code[order] + ODD), (np.cumsum(size) - size)[size > 0])
-                name = mix(total ^ mix(size.astype(np.uint64))).view(np.int64)
-                ids = part.column("doc_id").cast(pa.int64())
-                home = (name.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-                at = np.searchsorted(code, (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(SHINGLE_BITS)) // np.uint64(buckets))
+                name = class_names(code, doc, size)
+                lone = np.zeros(len(counts), bool)  # the first document of each class in this slice
+                lone[np.unique(name, return_index=True)[1]] = True
+                code, doc = code[lone[doc]], doc[lone[doc]]
+                at = np.searchsorted(code, bounds)
                 rows = []
                 for b in np.flatnonzero(np.diff(at)).tolist():
-                    d = doc[at[b] : at[b + 1]]
-                    own, local = np.unique(d, return_inverse=True)
-                    rows.append((b, 1, name[own].tobytes(), size[own].astype("<i4").tobytes(), packed(code[at[b] : at[b + 1]], 6), local.astype("<u2").tobytes()))
+                    own, local = np.unique(doc[at[b] : at[b + 1]], return_inverse=True)
+                    sizes = size[own].astype("<i4").tobytes()
+                    rows.append((b, 1, name[own].tobytes(), sizes, packed(code[at[b] : at[b + 1]], 6), local.astype("<u2").tobytes()))
+                ids = part.column("doc_id").cast(pa.int64())
                 known = np.array(ids.is_valid())
                 id_values = np.array(pc.fill_null(ids, 0))
-                for b in np.unique(home).tolist():
-                    k = np.flatnonzero(home == b)
-                    rows.append((b, 0, id_values[k].tobytes(), size[k].astype("<i4").tobytes(), name[k].tobytes(), known[k].tobytes()))
-                types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in POSTED.split(", ")])
+                marks = part.column("mark").to_numpy(zero_copy_only=False)
+                home = (mix(id_values.view(np.uint64) + ODD * marks.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                for k in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
+                    told = np.column_stack([name[k], marks[k]]).tobytes()
+                    rows.append((int(home[k[0]]), 0, id_values[k].tobytes(), size[k].astype("<i4").tobytes(), told, known[k].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), POSTED_ARROW.types, strict=True)], schema=POSTED_ARROW)
 
     return run
 
 
-GATHERED = "doc_id long, cls long, n int, codes binary, freqs binary"
-GATHERED_ARROW = pa.schema([("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("freqs", pa.binary())])
+GATHERED = "doc_id long, mark long, cls long, n int, codes binary, freqs binary"
+GATHERED_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("codes", pa.binary()), ("freqs", pa.binary())])
 
 
 def gather(group: pa.Table) -> pa.Table:
@@ -108,11 +121,12 @@ def gather(group: pa.Table) -> pa.Table:
     out = []
     info = [k for k, kind in enumerate(kinds) if kind == 0]
     if info:
-        ids, names = (np.frombuffer(b"".join(cols[c][k] for k in info), np.int64) for c in ("ids", "codes"))
+        ids = np.frombuffer(b"".join(cols["ids"][k] for k in info), np.int64)
+        names, marks = np.frombuffer(b"".join(cols["codes"][k] for k in info), np.int64).reshape(-1, 2).T
         sizes = np.frombuffer(b"".join(cols["sizes"][k] for k in info), np.int32)
         known = np.frombuffer(b"".join(cols["docs"][k] for k in info), bool)
         null = pa.nulls(len(ids), pa.binary())
-        out.append(pa.table([pa.array(ids, mask=~known), pa.array(names), pa.array(sizes), null, null], schema=GATHERED_ARROW))
+        out.append(pa.table([pa.array(ids, mask=~known), pa.array(marks), pa.array(names), pa.array(sizes), null, null], schema=GATHERED_ARROW))
     code, cls, names, sizes, base = [], [], [], [], 0
     for k, kind in enumerate(kinds):
         if kind:
@@ -140,7 +154,10 @@ def gather(group: pa.Table) -> pa.Table:
         starts = np.flatnonzero(np.diff(cls, prepend=-1))
         ends = np.append(starts, len(cls))[1:]
         own = cls[starts]
-        out.append(pa.table([pa.nulls(len(own), pa.int64()), pa.array(names[own]), pa.array(sizes[first][own]), pa.array([packed(code[a:b], 6) for a, b in zip(starts, ends, strict=True)], pa.binary()), pa.array([freq[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())], schema=GATHERED_ARROW))
+        codes = pa.array([packed(code[a:b], 6) for a, b in zip(starts, ends, strict=True)], pa.binary())
+        freqs = pa.array([freq[a:b].astype("<u4").tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())
+        none = pa.nulls(len(own), pa.int64())
+        out.append(pa.table([none, none, pa.array(names[own]), pa.array(sizes[first][own]), codes, freqs], schema=GATHERED_ARROW))
     return pa.concat_tables(out) if out else GATHERED_ARROW.empty_table()
 
 
@@ -263,33 +280,56 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 1, looks: int =
     return components(comp.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, bucket_bytes: int = 8 << 20) -> DataFrame:
+def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as (doc_id, mark, n, cls), mark a hash of the text, and the components (node, comp) of their classes."""
+    marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    buckets = bucket_count(input_bytes(docs), bucket_bytes)
+    posted = marked.mapInArrow(post(buckets, words), POSTED)
+    gathered = cut(posted.groupBy("bucket").applyInArrow(gather, GATHERED))
+    shared = gathered.where("codes is not null")
+    # a prefix reaches shared shingles only if the class shares all but one of those that a partner needs
+    may = shared.groupBy("cls").agg(F.sum(F.length("freqs") / 4).alias("m"), F.max("n").alias("n"))
+    may = may.where(f"m + 1 >= floor(({threshold} * n + 99) / 100)").select("cls")
+    sets = cut(shared.join(may, "cls", "left_semi").groupBy("cls").applyInArrow(sign(threshold), SIGNED))
+    return gathered.where("codes is null").select("doc_id", "mark", "n", "cls"), cut(link_classes(sets, threshold))
+
+
+def lowest(rows: DataFrame, comp: DataFrame, first: Column) -> DataFrame:
+    """(cls, low) for each class of rows with shingles: the least value of first in its component. Copies are folded into
+    their class by partial aggregation before anything is joined."""
+    own = rows.where("n > 0").groupBy("cls").agg(F.min(first).alias("own"))
+    placed = own.join(comp, F.expr("cls = node"), "left").select("cls", "own", F.coalesce("comp", "cls").alias("comp"))
+    low = placed.groupBy("comp").agg(F.min("own").alias("low"))
+    return placed.join(low, "comp").select("cls", "low")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, **options) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
     Documents link when the Jaccard similarity of their sets of word shingles is threshold / 100 or more. An inverted index is built by
     ranges of shingle hashes; only shingles of two classes or more come back to their class, which then picks its prefix.
     Null and empty texts have no shingles and link with nothing; exact copies are one class and link whatever their number;
-    a null doc_id stands for itself alone; rows that repeat a doc_id share it; no rows give no rows.
+    a null doc_id stands for itself alone; rows that repeat a doc_id share it; no rows give no rows. Other columns don't matter.
     """
-    buckets = int(min(1 << 15, max(24, input_bytes(docs) // bucket_bytes)))
-    posted = docs.select("doc_id", "text").mapInArrow(post(buckets, words), POSTED)
-    gathered = cut(posted.groupBy("bucket").applyInArrow(gather, GATHERED))
-    info = gathered.where("codes is null").select("doc_id", "n", "cls")
-    shared = gathered.where("codes is not null")
-    # a prefix reaches shared shingles only if the class shares all but one of those that a partner needs
-    may = shared.groupBy("cls").agg(F.sum(F.length("freqs") / 4).alias("m"), F.max("n").alias("n")).where(f"m + 1 >= floor(({threshold} * n + 99) / 100)").select("cls")
-    sets = cut(shared.join(may, "cls", "left_semi").groupBy("cls").applyInArrow(sign(threshold), SIGNED))
-    comp = cut(link_classes(sets, threshold))
-    info = info.join(comp, F.expr("cls = node and n > 0"), "left").withColumn("key", F.when(F.expr("n > 0 and doc_id is not null"), F.coalesce("comp", "cls")))
-    low = info.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("low"))
-    return info.join(low, "key", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without those that a smaller doc_id of their component stands for. Rows that repeat a doc_id that stays are one
-    document: the row with the first text stays."""
-    low = near_duplicates(docs, **options).where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    kept = docs.alias("d").join(low.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.asc_nulls_last("text"))
-    known = kept.where("doc_id is not null").withColumn("row_", F.row_number().over(first)).where("row_ = 1").drop("row_")
-    return known.unionByName(kept.where("doc_id is null"))
+    rows, comp = classes(docs, words, threshold, **options)
+    low = lowest(rows, comp, F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.col("low"))
+    linked = rows.where("n > 0").join(low, "cls").select("doc_id", "n", component.alias("component_id"))
+    every = linked.union(rows.where("n = 0").select("doc_id", "n", "doc_id"))
+    return every.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: int = 80, **options) -> DataFrame:
+    """docs, with their columns, but of each component of linked texts only one row: that of the smallest doc_id (null last),
+    of the least hash of its text among those. Rows are told apart by doc_id and text, so rows that repeat a doc_id with another
+    text are documents of their own. Texts without words link with nothing and all stay."""
+    rows, comp = classes(docs, words, threshold, **options)
+    row = F.struct(F.col("doc_id").isNull().alias("lost"), F.col("doc_id").alias("doc_id"), F.col("mark").alias("mark"))
+    chosen = lowest(rows, comp, row).select("low.doc_id", "low.mark").distinct()
+    own = docs.columns
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("mark"))
+    spoken = F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = whole.where(spoken).alias("d").join(chosen.alias("k"), F.expr("d.doc_id <=> k.doc_id and d.mark = k.mark"), "left_semi")
+    same = Window.partitionBy("doc_id", "mark").orderBy("mark")  # rows alike in both are copies of each other
+    kept = kept.withColumn("turn", F.row_number().over(same)).where("turn = 1")
+    return kept.select("row").unionByName(whole.where(~spoken).select("row")).select("row.*")
