@@ -16,13 +16,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, shared_dir, split_words, text_slices, word_codes, word_hashes
+from .common import bucket_count, input_bytes, shared_dir, split_words, text_slices, word_codes, word_hashes
 from .ngram_join import packed, unpacked
 
 #: The end of a text is a token of its own; no word has a space in it.
 END_HASH = np.uint64(xxhash.xxh3_64_intdigest(" end"))
 #: What each count of a pair or triple is lowered by; those seen once are kept, so it is less than 1.
 DISCOUNT = 0.6
+#: Bytes of shards that a worker holds where they can't be mapped.
+READ_BYTES = 256 << 20
 ONE = np.uint64(1)
 
 
@@ -178,6 +180,7 @@ class Shard:
         self.keys, self.pointers = coded("keys"), coded("pointers")
         self.code, self.left_code = (store.get(f"{name}.{k}") for k in ("code", "left_code"))
         self.book, self.left_book = (10.0 ** store.get(f"{name}.{k}").astype(np.float64) for k in ("book", "left_book"))
+        self.bytes = sum(a.nbytes for e in (self.keys, self.pointers) for a in (e.low, e.high, e.before)) + self.code.nbytes + self.left_code.nbytes
 
 
 @dataclass(frozen=True)
@@ -196,7 +199,7 @@ class Levels:
         return self.words[-1]
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=64)
 def opened_words(uri: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
     store = Store(uri)
     return store.get(f"1-{bucket}.hash"), store.get(f"1-{bucket}.count")
@@ -206,13 +209,17 @@ class Reader:
     """The levels as one worker sees them."""
 
     def __init__(self, levels: Levels):
-        self.at, self.shards = levels, {}
+        self.at, self.shards, self.store = levels, {}, Store(levels.uri)
 
     def shard(self, level: int, bucket: int) -> Shard:
+        """A shard, read or mapped when it is first asked for. What is read whole (READ_BYTES at most) goes, oldest use first."""
         key = (level, bucket)
-        if key not in self.shards:
-            self.shards[key] = Shard(Store(self.at.uri), f"{level}-{bucket}")
-        return self.shards[key]
+        found = self.shards.pop(key, None) or Shard(self.store, f"{level}-{bucket}")
+        self.shards[key] = found
+        if self.store.path is None:
+            while len(self.shards) > 1 and sum(s.bytes for s in self.shards.values()) > READ_BYTES:
+                self.shards.pop(next(iter(self.shards)))
+        return found
 
     @staticmethod
     def by_bucket(bucket: np.ndarray):
@@ -335,7 +342,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
     few numbers for each bucket. No texts give a trie without words.
     """
     spark = docs.sparkSession
-    buckets = int(min(1 << 14, max(16, input_bytes(docs) // bucket_bytes)))
+    buckets = bucket_count(input_bytes(docs), bucket_bytes, 16)
     levels = Levels(f"{shared_dir(spark).rstrip('/')}/trie-{uuid.uuid4().hex}", buckets)
     texts = docs.select("text")
 
