@@ -78,53 +78,69 @@ FOUND = "query_id long, vec_id long, score double"
 FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
-def probe(k: int, turn: np.ndarray, top: float, pairs: int = 2_000_000):
-    """The k best candidates of one block of a list for each query that probes it."""
+def best_of(k: int, qi: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of each query's k best candidates, ties to smaller ids, and their ranks from 0."""
+    order = np.lexsort((ids, -score, qi))
+    first = np.flatnonzero(np.diff(qi[order], prepend=-1))
+    rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.append(first, len(qi))))
+    return order[rank < k], rank[rank < k]
+
+
+def probe(k: int, turn: np.ndarray, top: float, pairs: int = 2_000_000, opening: int = 64):
+    """The k best candidates of one block of a list for each query that probes it.
+
+    The candidates come in growing steps: what the first ones reach, or what a query reached before, is what the tests hold
+    the next ones against."""
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(rows) or not len(asked):
             return FOUND_ARROW.empty_table()
-        raw, want = matrix(rows.column("embedding")), matrix(asked.column("embedding"))
+        raw, every = matrix(rows.column("embedding")), matrix(asked.column("embedding"))
         ids, names = rows.column("vec_id").to_numpy(), asked.column("query_id").to_numpy()
-        x, q = lift(raw, top) @ turn, lift(want, top, True) @ turn
-        norm = (want * want).sum(axis=1) / top**2
-        worst = asked.column("worst").to_numpy(zero_copy_only=False).astype(np.float64)
-        limit = np.where(np.isnan(worst), np.inf, norm + 1 - 2 * worst / top**2 + 1e-9)
-        out = []
-        step = max(1, pairs // len(ids))
-        for at in range(0, len(names), step):
-            qi, xi = scan(x, q[at : at + step], limit[at : at + step])
-            qi = qi + at
-            keep = names[qi] != ids[xi]
-            qi, xi = qi[keep], xi[keep]
-            score = np.empty(len(qi))
-            for lo in range(0, len(qi), 200_000):
-                score[lo : lo + 200_000] = np.einsum("ij,ij->i", want[qi[lo : lo + 200_000]], raw[xi[lo : lo + 200_000]])
-            order = np.lexsort((ids[xi], -score, qi))
-            qi, xi, score = qi[order], xi[order], score[order]
-            first = np.flatnonzero(np.diff(qi, prepend=-1))
-            rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.append(first, len(qi))))
-            best = rank < k
-            out.append((names[qi[best]], ids[xi[best]], score[best]))
+        x, turned = lift(raw, top) @ turn, lift(every, top, True) @ turn
+        known = asked.column("worst").to_numpy(zero_copy_only=False).astype(np.float64)
+        out, many = [], max(1, pairs // len(ids))
+        for lo in range(0, len(names), many):
+            want, q, worst = every[lo : lo + many], turned[lo : lo + many], np.nan_to_num(known[lo : lo + many], nan=-np.inf)
+            norm = (want * want).sum(axis=1) / top**2
+            qi, xi, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            at, step = 0, opening
+            while at < len(ids):
+                a, b = scan(x[at : at + step], q, norm + 1 - 2 * worst / top**2 + 1e-9)
+                b = b + at
+                keep = names[lo + a] != ids[b]
+                a, b = a[keep], b[keep]
+                s = np.empty(len(a))
+                for c in range(0, len(a), 200_000):
+                    s[c : c + 200_000] = np.einsum("ij,ij->i", want[a[c : c + 200_000]], raw[b[c : c + 200_000]])
+                qi, xi, score = np.concatenate([qi, a]), np.concatenate([xi, b]), np.concatenate([score, s])
+                best, rank = best_of(k, qi, ids[xi], score)
+                qi, xi, score = qi[best], xi[best], score[best]
+                last = rank == k - 1
+                worst[qi[last]] = np.maximum(worst[qi[last]], score[last])
+                at, step = at + step, step * 4
+            out.append((names[lo + qi], ids[xi], score))
         return pa.table([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=FOUND_ARROW)
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, list_rows: int = 400, most_lists: int = 1024, probe_share: float = 0.5, block_rows: int = 4096, query_rows: int = 2048, recall: float = 0.95) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20_000, block_rows: int = 4096, query_rows: int = 2048, recall: float = 0.97) -> DataFrame:
     """For each query (query_id, embedding) its k candidates (vec_id, embedding) of largest inner product that the probed lists
     hold, itself left out: query_id, rank, vec_id, score. Ties go to the smaller vec_id.
 
-    The lists' centres are fitted on at most `sample` vectors chosen by a hash; every vector is indexed. A query scans its nearest
-    list whole, which gives the distance to beat, then its other probed lists: probe_share of all, or as many more as a
-    sample shows to hold the share `recall` of true neighbours. Long lists and many
-    queries are dealt in blocks. Vectors that are null, zero or hold null or non-finite components, rows without an id, and
-    vectors of another length than the most common one (ties: the longest) take no part; rows that repeat a vec_id count
-    once, with the least embedding. Rank is 1, 2, ...; fewer rows where there are fewer candidates; none without rows.
+    The lists are as many as the root of the rows, at most a tenth of the `sample` vectors (chosen by a hash) that their
+    centres are fitted on; every vector is indexed. A query scans its nearest list first, which gives the distance to beat, then
+    as many lists as the sample shows to hold the share `recall` of true neighbours. Long lists are dealt in blocks, and each
+    goes out once for every query_rows of the queries that probe it. Vectors that are null, zero or hold null or non-finite
+    components, rows without an id, and vectors of another length than the most common one (ties: the longest) take no part;
+    rows that repeat a vec_id count once, with the least embedding. Rank is 1, 2, ...; fewer rows where there are fewer
+    candidates; none without rows.
     """
     good = vectors.where(usable() & F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     good = cut(good.select("vec_id", "embedding", F.size("embedding").alias("dim")))
-    dims = good.groupBy("dim").agg(F.count("*").alias("rows"), F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("top")).orderBy(F.desc("rows"), F.desc("dim")).limit(1).collect()
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    dims = good.groupBy("dim").agg(F.count("*").alias("rows"), F.max(length).alias("top")).orderBy(F.desc("rows"), F.desc("dim")).limit(1).collect()
     if not dims:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, rows, top = dims[0]["dim"], dims[0]["rows"], dims[0]["top"]
@@ -132,11 +148,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20
     asked = queries.where(usable() & F.col("query_id").isNotNull() & (F.size("embedding") == dim)).groupBy("query_id").agg(F.min("embedding").alias("embedding"))
     drawn = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()
     turn = rotation(dim + 1)
-    lists = int(min(most_lists, max(1, rows // list_rows)))
     fitted = lift(matrix(drawn.column("embedding")), top)
-    centre = centroids(fitted, lists)
+    centre = centroids(fitted, max(1, min(int(rows**0.5), sample // 10)))
     weight = (centre * centre).sum(axis=1)
-    probes = max(1, int(np.ceil(probe_share * len(centre))), probes_for(fitted, centre, k, recall))
+    probes = probes_for(fitted, centre, k, recall)
 
     def nearest(many: int, query: bool):
         def run(batches):
@@ -149,24 +164,28 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = 20
         return run
 
     kind = good.schema["embedding"].dataType.simpleString()
-    listed = good.mapInArrow(nearest(1, False), f"vec_id long, embedding {kind}, lists array<int>").select("vec_id", "embedding", F.col("lists")[0].alias("list"))
-    listed = cut(listed)
-    blocks = listed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    listed = good.mapInArrow(nearest(1, False), f"vec_id long, embedding {kind}, lists array<int>")
+    listed = cut(listed.select("vec_id", "embedding", F.col("lists")[0].alias("list")))
+    blocks = listed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))  # a row a list
     listed = listed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    asked = asked.mapInArrow(nearest(probes, True), f"query_id long, embedding {queries.schema['embedding'].dataType.simpleString()}, lists array<int>")
-    parts = max(1, -(-rows // (20 * query_rows)))  # groups of queries, if a twentieth of the rows asks
-    asked = cut(asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")))
+    asked = cut(asked.mapInArrow(nearest(probes, True), f"query_id long, embedding {queries.schema['embedding'].dataType.simpleString()}, lists array<int>"))
 
     def scanned(wanted: DataFrame) -> DataFrame:
+        """The candidates of (query_id, embedding, worst, list)."""
         key = ["list", "block", "part"]
-        to = wanted.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows_ = listed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select(*key, "vec_id", "embedding")
-        return rows_.groupBy(*key).cogroup(to.select(*(F.col(c).alias(c) for c in (*key, "query_id", "embedding", "worst"))).groupBy(*key)).applyInArrow(probe(k, turn, top), FOUND)
-
-    first = cut(scanned(asked.select("query_id", "embedding", "part", F.col("lists")[0].alias("list"), F.lit(None).cast("double").alias("worst"))))
+        parts = wanted.groupBy("list").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("parts"))
+        each = blocks.join(parts, "list")  # a row a list
+        to = wanted.join(F.broadcast(each), "list").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
+        to = to.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sent = listed.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        sent = sent.select(*key, "vec_id", "embedding").groupBy(*key)
+        return sent.cogroup(to.select(*key, "query_id", "embedding", "worst").groupBy(*key)).applyInArrow(probe(k, turn, top), FOUND)
+
+    first = cut(scanned(asked.select("query_id", "embedding", F.col("lists")[0].alias("list"), F.lit(None).cast("double").alias("worst"))))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     worst = ranked.where(F.col("rank") == k).select("query_id", F.col("score").alias("worst"))
-    rest = asked.where(F.size("lists") > 1).join(worst, "query_id", "left").select("query_id", "embedding", "part", "worst", F.explode(F.slice("lists", 2, probes)).alias("list"))
+    rest = asked.where(F.size("lists") > 1).join(worst, "query_id", "left")
+    rest = rest.select("query_id", "embedding", "worst", F.explode(F.slice("lists", 2, probes)).alias("list"))
     every = first.union(scanned(rest))
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
