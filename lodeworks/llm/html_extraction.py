@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -16,9 +17,10 @@ from .common import text_slices
 
 #: Fixed sets of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+RAW = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Elements that are blocks of their own; all others, unknown ones too, are part of the text around them.
+BLOCK = CLOSES_P | frozenset("html head body li dt dd tr td th thead tbody tfoot caption figcaption summary legend button select optgroup option input dialog link meta base".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BARRIER = frozenset("table ul ol dl div article section body html td th li".split())
 #: Never text of an article.
@@ -71,7 +73,7 @@ def parse(page: str) -> Node:
         if closing:
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            elif tag not in INLINE:
+            elif tag in BLOCK or "-" in tag:
                 up = at
                 while up is not root and up.tag != tag:
                     if tag == "p" and up.tag in BARRIER:
@@ -86,7 +88,7 @@ def parse(page: str) -> Node:
             stop = lowered.find("</" + tag, pos)
             pos = end if stop < 0 else stop
             continue
-        if tag in INLINE:
+        if tag not in BLOCK and "-" not in tag:
             if tag == "a":
                 anchors += 1
             elif tag == "br":
@@ -122,16 +124,27 @@ def walk(root: Node) -> list[Node]:
 
 
 TAGS = ("p", "li", "ul", "ol", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "table", "td", "h1", "h2", "h3", "blockquote", "pre", "body", "html", "figure", "dl")
-#: Attribute tokens are features by name where known, else by one of a few hash buckets.
-HINTS = ("nav", "menu", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "banner", "cookie", "notice", "promo", "sponsor", "comment", "comments", "reply", "related", "share", "social", "breadcrumb", "form", "newsletter", "login", "popup", "article", "content", "post", "entry", "main", "body", "story", "text", "page")
-COUNTS = 16
-WIDTH = COUNTS + len(TAGS) + 2 * len(HINTS)
+#: Attribute tokens are features by name where known, else by one of BUCKETS hash buckets.
+HINTS = (
+    "nav", "menu", "header", "footer", "sidebar", "aside", "ad", "ads", "advert", "banner", "cookie", "notice", "promo", "sponsor",
+    "comment", "comments", "reply", "related", "share", "social", "breadcrumb", "form", "newsletter", "login", "popup",
+    "article", "content", "post", "entry", "main", "body", "story", "text", "page",
+)
+COUNTS, BUCKETS = 16, 16
+WORDS = len(HINTS) + BUCKETS
+WIDTH = COUNTS + len(TAGS) + 2 * WORDS
 
 
 TAG_AT = {t: COUNTS + i for i, t in enumerate(TAGS)}
 HINT_AT = {w: COUNTS + len(TAGS) + i for i, w in enumerate(HINTS)}
 
 
+def token_place(word: str) -> int:
+    """The feature of an attribute token."""
+    at = HINT_AT.get(word)
+    return COUNTS + len(TAGS) + len(HINTS) + zlib.crc32(word.encode()) % BUCKETS if at is None else at
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """Subtree sizes and densities, depth, siblings, tags, attribute tokens of the node and of those above it."""
     n = len(nodes)
@@ -148,20 +161,22 @@ def features(nodes: list[Node]) -> np.ndarray:
     alike: dict[tuple[int, str], int] = {}
     for k, node in enumerate(nodes):
         alike[up[k], node.tag] = alike.get((up[k], node.tag), 0) + 1
-    raw = np.array([(text[k], x.text, links[k], commas[k], tags[k], paras[k], x.depth, len(x.children), alike[up[k], x.tag]) for k, x in enumerate(nodes)], np.float32)
+    told = ((text[k], x.text, links[k], commas[k], tags[k], paras[k], x.depth, len(x.children), alike[up[k], x.tag]) for k, x in enumerate(nodes))
+    raw = np.array(list(told), np.float32)
     u = np.array(up)
     size, mine, linked, marks, count, para, depth, kids, same = raw.T
     x = np.zeros((n, WIDTH), np.float32)
     ones, around = np.maximum(1, size), np.maximum(1, kids[u])
-    x[:, :COUNTS] = np.column_stack([np.log1p(size), np.log1p(mine), linked / ones, size / count, size / ones[0], marks / ones, depth, around, same / around, count, para, kids, size / ones[u], np.log1p(size[u]), (linked / ones)[u], para[u]])
+    sizes = [np.log1p(size), np.log1p(mine), linked / ones, size / count, size / ones[0], marks / ones, depth]
+    family = [around, same / around, count, para, kids, size / ones[u], np.log1p(size[u]), (linked / ones)[u], para[u]]
+    x[:, :COUNTS] = np.column_stack(sizes + family)
     for k, node in enumerate(nodes):
         at = TAG_AT.get(node.tag)
         if at:
             x[k, at] = 1
         for w in node.words:
-            if w in HINT_AT:
-                x[k, HINT_AT[w]] = 1
-    own, above = slice(COUNTS + len(TAGS), COUNTS + len(TAGS) + len(HINTS)), slice(WIDTH - len(HINTS), WIDTH)
+            x[k, token_place(w)] = 1
+    own, above = slice(COUNTS + len(TAGS), COUNTS + len(TAGS) + WORDS), slice(WIDTH - WORDS, WIDTH)
     if x[:, own].any():
         for k in range(1, n):
             np.maximum(x[up[k], own], x[up[k], above], out=x[k, above])
@@ -244,7 +259,12 @@ def sample_page(rnd: random.Random) -> tuple[str, set[str]]:
         if rnd.random() < 0.6:
             return f"<{tag}>{body}</{tag}>"
         t = rnd.choice(["div", "section", tag])
-        return f'<{t} {rnd.choice(["class", "id"])}="{rnd.choice(names.split())}">{body}</{t}>'
+        return f'<{t} {rnd.choice(["class", "id"])}="{noise(rnd.choice(names.split()))}">{body}</{t}>'
+
+    def noise(names: str) -> str:
+        """names, at times among tokens that say nothing."""
+        more = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 7))) for _ in range(rnd.choice([0, 0, 1, 2]))]
+        return " ".join(rnd.sample([names, *more], len(more) + 1))
 
     def junk() -> str:
         kind = rnd.randrange(8)
@@ -295,7 +315,7 @@ def sample_page(rnd: random.Random) -> tuple[str, set[str]]:
     elif case < 0.65:
         inner = f"<main>{inner}</main>"
     elif case < 0.95:
-        inner = f'<div {rnd.choice(["class", "id"])}="{rnd.choice(["article", "content", "post", "entry", "main", "story", "post-body", "entry-content", "page-content"])}">{inner}</div>'
+        inner = f'<div {rnd.choice(["class", "id"])}="{noise(rnd.choice(["article", "content", "post", "entry", "main", "story", "post-body", "entry-content", "page-content"]))}">{inner}</div>'
     before = [box("header", "header banner", f"<p>{block(1, 6)}</p>")] * (rnd.random() < 0.4) + [box("nav", "nav menu navigation", f"<ul>{links(2, 9)}</ul>")] * (rnd.random() < 0.8)
     after = [box("footer", "footer bottom-footer", rnd.choice([f"&copy; {block(2, 25)}", f"<p>{block(2, 25)}</p>"]))] * (rnd.random() < 0.85)
     extra = [junk() for _ in range(rnd.randint(0, 4))]
