@@ -26,6 +26,9 @@ DISCOUNT = 0.6
 #: Bytes of shards that a worker holds where they can't be mapped.
 READ_BYTES = 256 << 20
 ONE = np.uint64(1)
+#: One in every byte, the high bit of every byte, and the place of the r-th one of each byte at 8 * byte + r.
+BYTES, HIGHS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+SELECT = np.array([([k for k in range(8) if byte >> k & 1] + [0] * 8)[r] for byte in range(256) for r in range(8)], np.int64)
 
 
 class Store:
@@ -105,15 +108,14 @@ class EliasFano:
 
     @staticmethod
     def _nth(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-        """Place of the k-th one of each word."""
-        word, k, at = word.copy(), k.copy(), np.zeros(len(k), np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.int64)
-            go = k >= ones
-            k -= np.where(go, ones, 0)
-            at += np.where(go, width, 0)
-            word = np.where(go, word >> np.uint64(width), word)
-        return at
+        """Place of the k-th one of each word: first its byte, by the ones of all bytes up to each, then a table."""
+        x = word - ((word >> ONE) & np.uint64(0x5555555555555555))
+        x = (x & np.uint64(0x3333333333333333)) + ((x >> np.uint64(2)) & np.uint64(0x3333333333333333))
+        upto = ((x + (x >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * BYTES
+        k = k.astype(np.uint64)
+        shift = np.bitwise_count((k * BYTES | HIGHS) - upto & HIGHS).astype(np.uint64) << np.uint64(3)
+        rest = k - ((upto << np.uint64(8)) >> shift & np.uint64(255))
+        return shift.astype(np.int64) + SELECT[(word >> shift & np.uint64(255)) << np.uint64(3) | rest]
 
     def get(self, i: np.ndarray) -> np.ndarray:
         word = np.searchsorted(self.before, i, side="right") - 1
@@ -121,15 +123,16 @@ class EliasFano:
         return ((bit - i).astype(np.uint64) << np.uint64(self.bits)) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Place of each x, -1 where it isn't there: a successor search among the numbers with x's high bits."""
+        """Place of each x, -1 where it isn't there: a successor search among the numbers with x's high bits. Rising x are fastest."""
         out = np.full(len(x), -1, np.int64)
         if not self.n:
             return out
         top = (x >> np.uint64(self.bits)).astype(np.int64)
         live = np.flatnonzero(top < self.zeros[-1])
         t = top[live]
-        lo = np.where(t > 0, self._zero(np.maximum(t - 1, 0)) + 1 - t, 0)  # numbers with smaller high bits
-        end = self._zero(t) - t
+        before = np.where(t > 0, self._zero(np.maximum(t - 1, 0)), -1)  # the zero that ends what has smaller high bits
+        lo = before + 1 - t
+        end = lo + self._ones(before + 1, t)
         want = x[live] & ((ONE << np.uint64(self.bits)) - ONE)
         hi, busy = end.copy(), np.flatnonzero(lo < end)
         while len(busy):
@@ -148,6 +151,14 @@ class EliasFano:
         word = np.searchsorted(self.zeros, t, side="right") - 1
         return word * 64 + self._nth(~self.high[word], t - self.zeros[word])
 
+    def _ones(self, bit: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """How many ones stand in a row from a bit on; the t-th zero ends them."""
+        part = self.high[bit >> 6] >> (bit & 63).astype(np.uint64)
+        run = np.bitwise_count(part ^ (part + ONE)).astype(np.int64) - 1
+        over = np.flatnonzero((bit & 63) + run >= 64)  # the row goes on in the next word
+        run[over] = self._zero(t[over]) - bit[over]
+        return run
+
 
 def quantised(x: np.ndarray, codes: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Codes of one byte, and the means of x for each: bins of equal numbers of values."""
@@ -247,35 +258,49 @@ class Reader:
         b = np.searchsorted(np.array(self.at.words), word, side="right") - 1
         return b, word - np.array(self.at.words)[b]
 
+    @staticmethod
+    def distinct(first: np.ndarray, second: np.ndarray, span: int):
+        """Distinct pairs in rising order (second may be -1), and where each given one is among them."""
+        key, place = np.unique(first * (span + 1) + (second + 1), return_inverse=True)
+        return key // (span + 1), key % (span + 1) - 1, place
+
+    @staticmethod
+    def runs(starts: tuple[int, ...], rising: np.ndarray):
+        """(k, slice) of the rising numbers from starts[k] up to starts[k + 1]."""
+        edges = np.searchsorted(rising, np.array(starts))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            yield k, slice(int(edges[k]), int(edges[k + 1]))
+
     def pairs(self, a: np.ndarray, b: np.ndarray):
         """Of word pairs with a known: number of the bigram (-1: none), its place behind its context's pointer, its
-        probability, and what the context leaves."""
+        probability, and what the context leaves. Each distinct pair is looked up once, in the order of the keys."""
+        a, b, place = self.distinct(a, b, self.at.vocabulary)
         number, relative = np.full(len(a), -1, np.int64), np.full(len(a), -1, np.int64)
         share, left = np.zeros(len(a)), np.ones(len(a))
-        bucket, place = self.context(a)
-        for k, rows in self.by_bucket(bucket):
-            s = self.shard(2, k)
-            left[rows] = s.left_book[s.left_code[place[rows]]]
-            rows = rows[b[rows] >= 0]
-            i = s.keys.find((place[rows] * self.at.vocabulary + b[rows]).astype(np.uint64))
-            rows, i = rows[i >= 0], i[i >= 0]
-            number[rows] = self.at.pairs[k] + i
-            relative[rows] = i - s.pointers.get(place[rows]).astype(np.int64)
-            share[rows] = s.book[s.code[i]]
-        return number, relative, share, left
+        for k, rows in self.runs(self.at.words, a):
+            s, ctx, nxt = self.shard(2, k), a[rows] - self.at.words[k], b[rows]
+            left[rows] = s.left_book[s.left_code[ctx]]
+            known = np.flatnonzero(nxt >= 0)
+            i = s.keys.find((ctx[known] * self.at.vocabulary + nxt[known]).astype(np.uint64))
+            known, i = known[i >= 0], i[i >= 0]
+            at = known + rows.start
+            number[at] = self.at.pairs[k] + i
+            owner, back = np.unique(ctx[known], return_inverse=True)
+            relative[at] = i - s.pointers.get(owner).astype(np.int64)[back]
+            share[at] = s.book[s.code[i]]
+        return number[place], relative[place], share[place], left[place]
 
     def triples(self, pair: np.ndarray, relative: np.ndarray):
         """Of bigrams followed by a context-relative successor (-1: none): probability, and what the bigram leaves."""
+        pair, relative, place = self.distinct(pair, relative, self.at.span)
         share, left = np.zeros(len(pair)), np.ones(len(pair))
-        bucket = np.searchsorted(np.array(self.at.pairs), pair, side="right") - 1
-        place = pair - np.array(self.at.pairs)[bucket]
-        for k, rows in self.by_bucket(bucket):
-            s = self.shard(3, k)
-            left[rows] = s.left_book[s.left_code[place[rows]]]
-            rows = rows[relative[rows] >= 0]
-            i = s.keys.find((place[rows] * self.at.span + relative[rows]).astype(np.uint64))
-            share[rows[i >= 0]] = s.book[s.code[i[i >= 0]]]
-        return share, left
+        for k, rows in self.runs(self.at.pairs, pair):
+            s, ctx, nxt = self.shard(3, k), pair[rows] - self.at.pairs[k], relative[rows]
+            left[rows] = s.left_book[s.left_code[ctx]]
+            known = np.flatnonzero(nxt >= 0)
+            i = s.keys.find((ctx[known] * self.at.span + nxt[known]).astype(np.uint64))
+            share[known[i >= 0] + rows.start] = s.book[s.code[i[i >= 0]]]
+        return share[place], left[place]
 
 
 def hash_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
