@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import ngram_join, source_mixing
+from lodeworks.llm import ngram_join, queries, source_mixing, toxicity, url_filter, vector_dedup, vector_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -61,3 +61,174 @@ def test_apply_mix_rows(spark):
         assert all(r[c] == c for c in names)
     assert {k: v for k, v in want.items() if v} == got
     assert all(v == math.floor(next(r["target"] for r in plan if r["source"] == k)) for k, v in want.items())
+
+
+def test_toxicity_many_letters(spark):
+    """Word features stay whatever the number of trigrams, and each limit warns by itself."""
+    rnd = random.Random(3)
+    rows = [(k, " ".join("".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(3)) for _ in range(12)) + (" idiot" if k % 4 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    with pytest.warns(UserWarning, match="trigrams"):
+        model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), most_trigrams=500)
+    assert "=idiot" in model.weights
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in toxicity.score_texts(docs, model).collect())
+
+
+def test_drop_toxic_columns(spark):
+    """Any column names and types; null texts stay null."""
+    model = toxicity.Model({"=idiot": 5.0}, {}, np.array([-3.0, 1, 0, 0, 0]))
+    docs = spark.createDataFrame([(1, "an idiot"), (2, None), (3, "fine")], "doc_id long, text string")
+    docs = docs.withColumns({"score": F.lit(9), "score_own": F.lit(8), "rest": F.lit(7), "odd": F.struct(F.lit(1).alias("a b,c: d"))})
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.schema.simpleString() == docs.schema.simpleString()
+    assert sorted((r["doc_id"], r["text"], r["score"], r["odd"][0]) for r in kept.collect()) == [(2, None, 9, 1), (3, "fine", 9, 1)]
+
+
+def brute_links(x, labels):
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    return (u @ u.T >= 0.93) & (labels[:, None] == labels[None, :]) & ~np.eye(len(x), dtype=bool)
+
+
+def test_pivots_of_real_labels(spark):
+    """A table like the real one, planted links among it: several cells a label, hot copies, ties and repeated ids; links as by brute
+    force."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 64)).astype(np.float32)
+    x[100:200] = x[:100] + 0.2 * rng.standard_normal((100, 64)).astype(np.float32)
+    x[200:500] = x[0]  # a hot group of copies
+    labels = np.where(np.arange(900) < 600, 0, 1)
+    rows = [(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, labels, strict=True))]
+    df = spark.createDataFrame(rows + rows[:5], "vec_id long, embedding array<float>, label int")
+    linked = brute_links(x, labels)
+    got = vector_dedup.near_duplicate_vectors(df, block_rows=64).collect()
+    assert len(got) == 905
+    up = list(range(900))
+    for a, b in zip(*np.nonzero(linked), strict=True):
+        while up[a] != a:
+            a = up[a]
+        while up[b] != b:
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    root = lambda i: i if up[i] == i else root(up[i])
+    for r in got:
+        assert (r["n_links"], r["component_id"], r["kept"]) == (linked[r["vec_id"]].sum(), root(r["vec_id"]), root(r["vec_id"]) == r["vec_id"])
+    kept = df.where("vec_id >= 500").select("vec_id", "label", "embedding", F.size("embedding").alias("dim"), F.lit(1).alias("copies"))
+    cells = vector_dedup.in_cells(kept.withColumn("label", F.col("label").cast("long")), 0.93, np.float32, 1000).groupBy("label").agg(F.countDistinct("cell").alias("n")).collect()
+    assert all(r["n"] >= 3 for r in cells)
+
+
+def test_pivots_grow(spark):
+    """Clustered vectors have more pivots than random ones, as replication stays small."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((40, 32))
+    near = (centre[np.arange(3000) % 40] + 0.05 * rng.standard_normal((3000, 32))).astype(np.float32)
+    df = spark.createDataFrame([(i, 0, v.tolist(), 32, 1) for i, v in enumerate(near)], "vec_id long, label long, embedding array<float>, dim int, copies long")
+    dealt = vector_dedup.in_cells(df, 0.93, np.float32, 1000).collect()
+    assert len({r["cell"] for r in dealt}) > 6
+    assert len(dealt) < 3 * 3000
+
+
+@pytest.mark.parametrize("query", ["op1_embedding_near_dup", "op5_html_extraction", "op6_ann_search", "op7_url_filter", "op8_token_counts", "op3_lm_scoring", "op9_ngram_jaccard_join", "op10_packing", "op2_source_mixing"])
+def test_empty_table(spark, query, tmp_path):
+    for name in ("documents", "embeddings", "pages", "labels"):
+        queries.table(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = queries.QUERIES[query](spark, str(tmp_path))
+    assert out.count() == 0
+
+
+def test_ann_ties_and_lists(spark):
+    """Ties go to smaller ids; a hot list of equal vectors; repeated ids count once; the tests abandon candidates in one list too."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((300, 16)).astype(np.float32)
+    x[100:250] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = df.where("vec_id in (0, 20, 280)").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for r in vector_search.search(df, asked, block_rows=64).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    d = x.astype(np.float64)
+    for q, found in got.items():
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-float(d[q] @ d[i]), i))[:20]
+        found = sorted(found)
+        assert [r for r, _, _ in found] == list(range(1, 21))
+        assert [v for _, v, _ in found] == [v for _, v, _ in sorted(found, key=lambda f: (-f[2], f[1]))]
+        assert len({v for _, v, _ in found} & set(want)) >= 18
+    assert [v for _, v, _ in sorted(got[0])] == list(range(100, 120))
+    a, b = vector_search.scan(d, d[:1], np.array([1.0]))
+    assert len(a) < 300
+
+
+def naive_tree(urls, tree):
+    """Verdicts of a list of (host, path, label or None) by the rules of the tree, one node at a time."""
+    every = (sum(x[2] == "block" for x in urls) + 1) / (sum(x[2] is not None for x in urls) + 2)
+    counts = lambda rows: (sum(x[2] is not None for x in rows), sum(x[2] == "block" for x in rows))
+
+    def far(j, b, all_j, all_b):
+        rest, other = all_j - j, all_b - b
+        if j == 0 or rest == 0:
+            return False
+        p, noise = all_b / all_j, 1 / j + 1 / rest
+        gap = abs(b / j - other / rest) - noise / 2
+        return gap > 0 and gap >= tree.differ * math.sqrt(p * (1 - p) * noise)
+
+    out = {}
+
+    def walk(rows, depth, p):
+        branch = {}
+        for x in rows:
+            parts = re.sub("^/", "", x[1]).split("/")
+            branch.setdefault(parts[depth] if depth < len(parts) else None, []).append(x)
+        all_j, all_b = counts(rows)
+        way = {}
+        for s, xs in branch.items():
+            j, b = counts(xs)
+            if far(j, b, all_j, all_b):
+                way[s] = "*+" if b * all_j > all_b * j else "*-"
+        variable = len(branch) >= tree.values and len(branch) >= tree.share * len(rows)
+        child = {}
+        for s, xs in branch.items():
+            alike = [t for t in way if way[t] == way.get(s)]
+            j2, b2 = counts([x for t in alike for x in branch[t]])
+            if s is None:
+                name = ""
+            elif s in way and len(alike) > 1 and not far(*counts(xs), j2, b2):
+                name = way[s]
+            elif s in way:
+                name = s
+            else:
+                name = "*" if (all_j and len(branch) > 1) or variable else s
+            child.setdefault(name, []).extend(xs)
+        for xs in child.values():
+            j, b = counts(xs)
+            q = (b + tree.prior * p) / (j + tree.prior)
+            distinct = {x[1] for x in xs}
+            on = [x for x in xs if len(distinct) > 1 and depth + 1 <= len(re.sub("^/", "", x[1]).split("/"))]
+            for x in xs:
+                out[x[0], x[1]] = q
+            if on:
+                walk(on, depth + 1, q)
+
+    for host in {x[0] for x in urls}:
+        rows = [x for x in urls if x[0] == host]
+        j, b = counts(rows)
+        walk(rows, 0, (b + tree.prior * every) / (j + tree.prior))
+    return out
+
+
+def test_url_tree(spark):
+    """Purities as by a plain recursion, on hosts with variable, deep, merged and blocked branches; the method blocks too."""
+    rnd = random.Random(8)
+    urls = [f"http://h{rnd.randrange(3)}.example.org/{rnd.choice(['es', 'en', 'fr', 'it'])}/{rnd.choice(['1', '2', 'a'])}{rnd.randrange(40)}/{rnd.choice(['x', 'y'])}" for _ in range(600)]
+    urls += [f"http://shop.com/de/{k}/p" for k in range(60)] + ["http://shop.com/xx/1/p", "http://shop.com/xx/2/p"]
+    urls += [f"http://deep.net/a/b/c/d/e/f/g/{k}/h" for k in range(30)] + ["http://deep.net/a/b", "http://deep.net/a/b/", "http://shop.com/*/1", None, "x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "t": F.lit(2), "p": F.lit(3)})
+    got = url_filter.judge(df).collect()
+    rows = [(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in got]
+    want = naive_tree(rows, url_filter.Tree())
+    for r in got:
+        assert math.isclose(r["purity"], want[r["host"], r["path"]], rel_tol=1e-9), (r, want[r["host"], r["path"]])
+        assert r["rule"] or r["verdict"] == ("block" if r["purity"] >= 0.8 else "allow")
+    by = {r["path"]: r for r in got if r["host"] == "shop.com"}
+    assert by["/xx/1/p"]["rule"] is None and by["/xx/1/p"]["verdict"] == "block"
+    assert any(r["template"].startswith("/a/b/c/d/e/f/g/*") for r in got if r["host"] == "deep.net")

@@ -247,13 +247,13 @@ def test_vectors(spark):
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
     links = [(a, b) for a in range(400) for b in range(a) if a % 3 == b % 3 and u[a] @ u[b] >= 0.93]
     comp = component(400, links)
-    got = {r["vec_id"]: r for r in vector_dedup.near_duplicate_vectors(df, cell_rows=40, block_rows=16).collect()}
+    got = {r["vec_id"]: r for r in vector_dedup.near_duplicate_vectors(df, block_rows=16, salt_rows=50).collect()}
     assert len(got) == 406
     for i in range(400):
         assert (got[i]["component_id"], got[i]["n_links"]) == (comp[i], sum(i in p for p in links))
     assert all(got[i]["n_links"] == 0 for i in (900, 901, 902, 903, 904, None))
     asked = df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    found = vector_search.search(df, asked, list_rows=50, block_rows=30, query_rows=8).collect()
+    found = vector_search.search(df, asked, block_rows=30, query_rows=8).collect()
     every, hit = {**{i: x[i].astype(np.float64) for i in range(400)}, 904: x[0].astype(np.float64)}, 0
     for q in (i for i in every if i % 20 == 0):
         order = sorted((i for i in every if i != q), key=lambda i: (-float(every[q] @ every[i]), i))[:20]
