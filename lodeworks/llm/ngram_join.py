@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, components, cut, input_bytes, mix, split_words, text_slices, word_codes, word_hashes
+from .common import bucket_count, components, cut, hashes_of, input_bytes, mix, split_words, text_slices
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: One salt for each place in a shingle.
@@ -81,8 +81,7 @@ def post(buckets: int, n: int):
         for batch in batches:
             for part in text_slices(batch):
                 words, counts = split_words(part.column("text"))
-                codes, distinct = word_codes(words)
-                both = shingles(word_hashes(distinct)[codes], counts, n)
+                both = shingles(hashes_of(words), counts, n)
                 doc = (both & np.uint64((1 << DOC_BITS) - 1)).astype(np.uint16)
                 code = both >> np.uint64(DOC_BITS)
                 size = np.bincount(doc, minlength=len(counts)).astype(np.int64)

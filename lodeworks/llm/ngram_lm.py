@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, input_bytes, shared_dir, split_words, text_slices, word_codes, word_hashes
+from .common import bucket_count, hashes_of, input_bytes, shared_dir, split_words, text_slices
 from .ngram_join import packed, unpacked
 
 #: The end of a text is a token of its own; no word has a space in it.
@@ -232,32 +232,20 @@ class Reader:
                 self.shards.pop(next(iter(self.shards)))
         return found
 
-    @staticmethod
-    def by_bucket(bucket: np.ndarray):
-        order = np.argsort(bucket, kind="stable")
-        ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
-        start = 0
-        for end in ends.tolist():
-            yield int(bucket[order[start]]), order[start:end]
-            start = end
-
-    def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and counts of words."""
-        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
-        for b, rows in self.by_bucket(hash_bucket(hashes, self.at.buckets)):
-            if self.at.words[b + 1] > self.at.words[b]:
+    def word_ids(self, rising: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (-1: unknown) and counts of words by their rising hashes."""
+        ids, counts = np.full(len(rising), -1, np.int64), np.zeros(len(rising), np.int64)
+        edges = np.searchsorted(hash_bucket(rising, self.at.buckets), np.arange(self.at.buckets + 1))
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            if self.at.words and self.at.words[b + 1] > self.at.words[b]:
+                rows = slice(edges[b], edges[b + 1])
                 known, count = opened_words(self.at.uri, b)
-                i = np.minimum(np.searchsorted(known, hashes[rows]), len(known) - 1)
-                hit = known[i] == hashes[rows]
-                ids[rows[hit]] = self.at.words[b] + i[hit]
-                counts[rows[hit]] = count[i[hit]]
+                i = np.minimum(np.searchsorted(known, rising[rows]), len(known) - 1)
+                hit = known[i] == rising[rows]
+                ids[rows] = np.where(hit, self.at.words[b] + i, -1)
+                counts[rows] = np.where(hit, count[i], 0)
         return ids, counts
 
-    def context(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shard and place there of words as contexts."""
-        b = np.searchsorted(np.array(self.at.words), word, side="right") - 1
-        return b, word - np.array(self.at.words)[b]
-
     @staticmethod
     def distinct(first: np.ndarray, second: np.ndarray, span: int):
         """Distinct pairs in rising order (second may be -1), and where each given one is among them."""
@@ -271,23 +259,35 @@ class Reader:
         for k in np.flatnonzero(np.diff(edges)).tolist():
             yield k, slice(int(edges[k]), int(edges[k + 1]))
 
+    def found(self, k: int, ctx: np.ndarray, nxt: np.ndarray):
+        """Of rising contexts and successors of one shard those that are there: which, their places, and places behind the pointer."""
+        s, known = self.shard(2, k), np.flatnonzero(nxt >= 0)
+        i = s.keys.find((ctx[known] * self.at.vocabulary + nxt[known]).astype(np.uint64))
+        known, i = known[i >= 0], i[i >= 0]
+        owner, back = np.unique(ctx[known], return_inverse=True)
+        return known, i, i - s.pointers.get(owner).astype(np.int64)[back]
+
+    def numbers(self, a: np.ndarray, b: np.ndarray):
+        """Of word pairs with a known: number of the bigram (-1: none), and its place behind its context's pointer."""
+        a, b, place = self.distinct(a, b, self.at.vocabulary)
+        number, relative = np.full(len(a), -1, np.int64), np.full(len(a), -1, np.int64)
+        for k, rows in self.runs(self.at.words, a):
+            known, i, behind = self.found(k, a[rows] - self.at.words[k], b[rows])
+            number[known + rows.start], relative[known + rows.start] = self.at.pairs[k] + i, behind
+        return number[place], relative[place]
+
     def pairs(self, a: np.ndarray, b: np.ndarray):
-        """Of word pairs with a known: number of the bigram (-1: none), its place behind its context's pointer, its
-        probability, and what the context leaves. Each distinct pair is looked up once, in the order of the keys."""
+        """As numbers, with the bigram's probability and what the context leaves. Each distinct pair is looked up once, in the order
+        of the keys."""
         a, b, place = self.distinct(a, b, self.at.vocabulary)
         number, relative = np.full(len(a), -1, np.int64), np.full(len(a), -1, np.int64)
         share, left = np.zeros(len(a)), np.ones(len(a))
         for k, rows in self.runs(self.at.words, a):
-            s, ctx, nxt = self.shard(2, k), a[rows] - self.at.words[k], b[rows]
+            s, ctx = self.shard(2, k), a[rows] - self.at.words[k]
             left[rows] = s.left_book[s.left_code[ctx]]
-            known = np.flatnonzero(nxt >= 0)
-            i = s.keys.find((ctx[known] * self.at.vocabulary + nxt[known]).astype(np.uint64))
-            known, i = known[i >= 0], i[i >= 0]
+            known, i, behind = self.found(k, ctx, b[rows])
             at = known + rows.start
-            number[at] = self.at.pairs[k] + i
-            owner, back = np.unique(ctx[known], return_inverse=True)
-            relative[at] = i - s.pointers.get(owner).astype(np.int64)[back]
-            share[at] = s.book[s.code[i]]
+            number[at], relative[at], share[at] = self.at.pairs[k] + i, behind, s.book[s.code[i]]
         return number[place], relative[place], share[place], left[place]
 
     def triples(self, pair: np.ndarray, relative: np.ndarray):
@@ -315,14 +315,14 @@ def with_ends(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def tokens_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     words, counts = split_words(part.column("text"))
-    codes, distinct = word_codes(words)
-    return with_ends(word_hashes(distinct)[codes], counts)
+    return with_ends(hashes_of(words), counts)
 
 
 COUNTED = "bucket int, slot int, keys binary, counts binary"
 COUNTED_ARROW = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 #: A bucket's keys are first merged in so many parts, so that a frequent context is never gathered from all slices in one task.
-SLOTS = 4
+SLOT_BITS = 2
+SLOTS = 1 << SLOT_BITS
 
 
 def small(x: np.ndarray) -> bytes:
@@ -333,18 +333,29 @@ def large(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u8")
 
 
-def counted(keys: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-    """Distinct keys of a slice with counts, by bucket and slot. The keys of a bucket need not be neighbours."""
-    order = np.lexsort((keys, bucket))
-    keys, bucket = keys[order], bucket[order]
-    new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (bucket[1:] != bucket[:-1])])) if len(keys) else np.zeros(0, np.int64)
+def counted(keys: np.ndarray, bucket_of, local) -> pa.RecordBatch:
+    """Distinct keys of a slice with counts, by bucket and slot. bucket_of rises with the keys; local gives a bucket's own keys."""
+    keys = np.sort(keys)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     count = np.diff(np.append(new, len(keys))).astype(np.uint64)
-    keys, bucket = keys[new], bucket[new]
-    slot = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(62)).astype(np.int64)
+    keys = keys[new]
+    bucket = bucket_of(keys)
     rows = []
-    for b, at in Reader.by_bucket(bucket * SLOTS + slot):
-        rows.append((b // SLOTS, b % SLOTS, packed(keys[at], 8), small(count[at])))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((), (), (), ()), COUNTED_ARROW.types, strict=True)], schema=COUNTED_ARROW)
+    for at in np.split(np.arange(len(keys)), np.flatnonzero(np.diff(bucket)) + 1) if len(keys) else []:
+        b, own, many = int(bucket[at[0]]), local(keys[at], int(bucket[at[0]])).astype(np.uint64), count[at]
+        slot = own * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)
+        for k in range(SLOTS):
+            here = slot == k
+            if here.any():
+                rows.append((b, k, packed(own[here], 8), small(many[here])))
+    cols = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, COUNTED_ARROW.types, strict=True)], schema=COUNTED_ARROW)
+
+
+def placed(starts: tuple[int, ...], span: int):
+    """bucket_of and local for keys context * span + successor, where bucket k has the contexts from starts[k] on."""
+    first = np.array(starts, np.int64)
+    return lambda keys: np.searchsorted(first, keys // span, side="right") - 1, lambda keys, b: keys - first[b] * span
 
 
 def merged(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -375,7 +386,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
         for batch in batches:
             for part in text_slices(batch):
                 hashes, _ = tokens_of(part)
-                yield counted(hashes, hash_bucket(hashes, buckets))
+                yield counted(hashes, lambda keys: hash_bucket(keys, buckets), lambda keys, b: keys)
 
     def write_words(group: pa.Table) -> pa.Table:
         keys, counts = merged(group)
@@ -401,9 +412,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
             for part in text_slices(batch):
                 ids, doc = known_ids(reader, part)
                 same = doc[1:] == doc[:-1]
-                a, b = ids[:-1][same], ids[1:][same]
-                bucket, place = reader.context(a)
-                yield counted((place * levels.vocabulary + b).astype(np.uint64), bucket)
+                yield counted(ids[:-1][same] * levels.vocabulary + ids[1:][same], *placed(levels.words, levels.vocabulary))
 
     def write_pairs(group: pa.Table) -> pa.Table:
         keys, counts = merged(group)
@@ -424,11 +433,9 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
             for part in text_slices(batch):
                 ids, doc = known_ids(reader, part)
                 same = np.flatnonzero(doc[1:] == doc[:-1])
-                number, relative, _, _ = reader.pairs(ids[same], ids[same + 1])
+                number, relative = reader.numbers(ids[same], ids[same + 1])
                 follow = np.flatnonzero((np.diff(same) == 1) & (number[:-1] >= 0) & (relative[1:] >= 0))
-                bucket = np.searchsorted(np.array(levels.pairs), number[follow], side="right") - 1
-                place = number[follow] - np.array(levels.pairs)[bucket]
-                yield counted((place * levels.span + relative[follow + 1]).astype(np.uint64), bucket)
+                yield counted(number[follow] * levels.span + relative[follow + 1], *placed(levels.pairs, levels.span))
 
     def write_triples(group: pa.Table) -> pa.Table:
         keys, counts = merged(group)
@@ -452,12 +459,10 @@ def known_ids(reader: Reader, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndar
 
 def ids_and_counts(reader: Reader, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids and counts of all tokens, ends among them, and the text of each."""
-    words, counts = split_words(part.column("text"))
-    codes, distinct = word_codes(words)
-    ids, seen = reader.word_ids(np.append(word_hashes(distinct), END_HASH))
-    ends = np.cumsum(counts)
-    codes = np.insert(codes, ends, len(distinct))
-    return ids[codes], seen[codes], np.repeat(np.arange(len(counts)), counts + 1)
+    hashes, doc = tokens_of(part)
+    distinct, codes = np.unique(hashes, return_inverse=True)
+    ids, seen = reader.word_ids(distinct)
+    return ids[codes], seen[codes], doc
 
 
 def score(docs: DataFrame, levels: Levels, held_out: Column) -> DataFrame:
