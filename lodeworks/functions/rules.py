@@ -24,22 +24,37 @@ COMPLEX_TYPES, LEAST_AREA = ("flowchart", "architecture", "chart", "table", "tim
 #: Closed lists of the graph.
 ENTITY_TYPES = ("Person", "Organization", "Location", "Date", "Event", "Concept", "Device", "Component", "Specification", "Protocol", "Interface", "Software", "Standard", "Error", "Configuration", "Product", "Version", "Vendor", "Other")
 RELATION_TYPES = ("is_a", "part_of", "causes", "governs", "opposes", "related_to", "supports_protocol", "certified_by")
-#: Lemmas of verbs for each relation; any other verb relates.
-VERBS = {
-    "is_a": "be represent define describe classify",
-    "part_of": "contain include comprise consist embed integrate",
-    "causes": "cause trigger generate produce lead result create",
-    "governs": "govern control manage regulate handle operate oversee",
-    "supports_protocol": "support implement use utilize communicate",
-    "certified_by": "certify comply conform meet satisfy",
-    "opposes": "oppose conflict contradict prevent",
-    "related_to": "connect link associate relate measure detect monitor transmit receive send convert provide",
-}
-#: Entity labels of a recogniser and what they are here; any other is Other.
-LABELS = {
-    "Person": "PERSON PER", "Organization": "ORG NORP", "Location": "GPE LOC FAC", "Date": "DATE TIME", "Event": "EVENT", "Product": "PRODUCT",
-    "Concept": "WORK_OF_ART", "Standard": "LAW STANDARD", "Software": "LANGUAGE SOFTWARE", "Device": "DEVICE", "Component": "COMPONENT", "Protocol": "PROTOCOL",
-    "Error": "ERROR", "Version": "VERSION", "Vendor": "VENDOR", "Interface": "INTERFACE", "Configuration": "CONFIGURATION", "Specification": "SPECIFICATION",
+#: The relation that the lemma of a verb means; any other verb relates.
+RELATION_OF_VERB = {
+    "be": "is_a", "represent": "is_a", "define": "is_a", "describe": "is_a", "classify": "is_a",
+    "contain": "part_of", "include": "part_of", "comprise": "part_of", "consist": "part_of", "embed": "part_of", "integrate": "part_of",
+    "cause": "causes", "trigger": "causes", "generate": "causes", "produce": "causes", "lead": "causes", "result": "causes", "create": "causes",
+    "govern": "governs", "control": "governs", "manage": "governs", "regulate": "governs", "handle": "governs", "operate": "governs", "oversee": "governs",
+    "support": "supports_protocol", "implement": "supports_protocol", "use": "supports_protocol", "utilize": "supports_protocol", "communicate": "supports_protocol",
+    "certify": "certified_by", "comply": "certified_by", "conform": "certified_by", "meet": "certified_by", "satisfy": "certified_by",
+    "oppose": "opposes", "conflict": "opposes", "contradict": "opposes", "prevent": "opposes",
+    "connect": "related_to", "link": "related_to", "associate": "related_to", "relate": "related_to", "measure": "related_to", "detect": "related_to", "monitor": "related_to", "transmit": "related_to", "receive": "related_to", "send": "related_to", "convert": "related_to", "provide": "related_to",
+}
+#: The entity type that the label of a recogniser means; any other is Other.
+TYPE_OF_LABEL = {
+    "PERSON": "Person", "PER": "Person",
+    "ORG": "Organization", "NORP": "Organization",
+    "GPE": "Location", "LOC": "Location", "FAC": "Location",
+    "DATE": "Date", "TIME": "Date",
+    "EVENT": "Event",
+    "PRODUCT": "Product",
+    "WORK_OF_ART": "Concept",
+    "LAW": "Standard", "STANDARD": "Standard",
+    "LANGUAGE": "Software", "SOFTWARE": "Software",
+    "DEVICE": "Device",
+    "COMPONENT": "Component",
+    "PROTOCOL": "Protocol",
+    "ERROR": "Error",
+    "VERSION": "Version",
+    "VENDOR": "Vendor",
+    "INTERFACE": "Interface",
+    "CONFIGURATION": "Configuration",
+    "SPECIFICATION": "Specification",
 }
 #: Labels that are no entities.
 SKIPPED_LABELS = ("CARDINAL", "ORDINAL", "QUANTITY", "MONEY", "PERCENT")
@@ -59,17 +74,17 @@ def size_guard(kind: Column, width: Column, height: Column) -> Column:
     return F.when(kind.isin(*COMPLEX_TYPES) & (width * height < LEAST_AREA), "default").otherwise(kind)
 
 
-def _lookup(key: Column, table: dict[str, str], default: str) -> Column:
-    pairs = [(F.lit(w), F.lit(k)) for k, ws in table.items() for w in ws.split()]
-    return F.coalesce(F.try_element_at(F.create_map(*chain.from_iterable(pairs)), key), F.lit(default))
+def lookup(key: Column, table: dict[str, str], default: str) -> Column:
+    pairs = F.create_map(*map(F.lit, chain.from_iterable(table.items())))
+    return F.coalesce(F.try_element_at(pairs, key), F.lit(default))
 
 
 def relation_of(lemma: Column) -> Column:
-    return _lookup(F.lower(lemma), VERBS, "related_to")
+    return lookup(F.lower(lemma), RELATION_OF_VERB, "related_to")
 
 
 def entity_type_of(label: Column) -> Column:
-    return _lookup(label, LABELS, "Other")
+    return lookup(label, TYPE_OF_LABEL, "Other")
 
 
 def difficulty(rows: Column, cols: Column) -> Column:

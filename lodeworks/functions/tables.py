@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import let, strip
 
 FAQ_WORDS = ("question", "answer", "q&a", "faq", "| q |", "| a |")
 Q_HEADERS = ("q", "question", "questions", "問題")
@@ -26,6 +26,19 @@ def rows_to_markdown(rows: Column) -> Column:
     return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))), "\n"))
 
 
+def grid_to_markdown(item: dict) -> str:
+    """The table of a converted document's item; its text where it has no grid or a broken one."""
+    try:
+        rows = [[cell.get("text") or "" for cell in row] for row in item.get("data", {}).get("grid", [])]
+    except (AttributeError, TypeError):
+        rows = []
+    if not rows:
+        return item.get("text") or ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join([*r, *[""] * (width - len(r))]) + " |" for r in rows]
+    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+
+
 def lines_of(md: Column) -> Column:
     return F.transform(F.split(md, "\n"), strip)
 
@@ -66,6 +79,34 @@ def table_type(md: Column, cols: Column) -> Column:
     return F.when(F.size(content) == 0, "general").when(asks, "faq").when(some & (share > 0.3), "faq").when((cols >= 3) & some & (F.size(cells) > 0) & (mean < 30), "spec").otherwise("general")
 
 
+def faq_rows(md: Column) -> Column:
+    """headers and rows of a table: rows are as wide as the headers, and lines that don't begin with a bar go on with the last filled
+    cell of the row above."""
+    unit = "struct<headers:array<string>,rows:array<array<string>>>"
+    start = F.struct(F.array().cast("array<string>").alias("headers"), F.array().cast("array<array<string>>").alias("rows")).cast(unit)
+
+    def add(s: Column, line: Column) -> Column:
+        width = F.size(s["headers"])
+
+        def row(cells: Column) -> Column:
+            wide = F.slice(F.concat(cells, F.array_repeat(F.lit(""), F.greatest(width - F.size(cells), F.lit(0)))), 1, width)
+            first = F.struct(cells.alias("headers"), s["rows"].alias("rows"))
+            return F.when(F.size(cells) == 0, s).when(width == 0, first).otherwise(F.struct(s["headers"].alias("headers"), F.concat(s["rows"], F.array(wide)).alias("rows")))
+
+        def more(said: Column) -> Column:
+            last = F.try_element_at(s["rows"], F.lit(-1))
+            at = F.array_max(F.filter(F.transform(last, lambda c, i: F.when(c != "", i)), lambda i: i.isNotNull()))
+            longer = F.transform(last, lambda c, i: F.when(i == at, F.concat(c, F.lit("\n"), said)).otherwise(c))
+            rows = F.concat(F.slice(s["rows"], 1, F.greatest(F.size(s["rows"]) - 1, F.lit(0))), F.array(longer))
+            return F.when((F.size(s["rows"]) == 0) | (said == ""), s).otherwise(F.struct(s["headers"].alias("headers"), rows.alias("rows")))
+
+        tail = strip(F.regexp_replace(line, r"[| ]+$", ""))
+        return F.when(line.startswith("|"), let(cells_of(line), row)).otherwise(let(tail, more))
+
+    kept = F.filter(lines_of(md), lambda x: (x != "") & ~(x.startswith("|") & is_rule(x)))
+    return F.aggregate(kept, start, add)
+
+
 def faq_text(headers: Column, row: Column) -> Column:
     """Q and A of a row by its headers' names (the last that fits), else by place; blank if there is no answer."""
 

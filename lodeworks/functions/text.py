@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ PREAMBLES = ("here's", "here is", "sure", "certainly", "of course", "below is",
 ECHOES = ("read all text in this image", "output each text item", "no explanations", "extract every visible text string", "one item per line", "nothing else")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, worked out once for a row however often body uses it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends (trim only takes spaces)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -40,6 +47,31 @@ def context_prefix(stem: Column, section: Column | None = None, page: Column | N
     return F.concat(F.lit("["), F.concat_ws(" | ", *parts), F.lit("]"))
 
 
+#: Function words that tell languages apart, a few of each.
+LANGUAGE_WORDS = {
+    "de": ("der", "die", "und", "das", "nicht", "ist", "mit", "ein", "den", "von"),
+    "en": ("the", "and", "of", "to", "is", "in", "that", "for", "it", "with"),
+    "es": ("el", "la", "que", "de", "los", "y", "en", "una", "por", "con"),
+    "fr": ("le", "les", "des", "et", "est", "une", "que", "dans", "pour", "pas"),
+}
+
+
+def detect_language(c: Column) -> Column:
+    """A guess of the language code from letters and function words; en where nothing tells. A stand-in for a detector."""
+
+    def hits(tokens: Column, code: str) -> Column:
+        known = F.filter(tokens, lambda w: w.isin(*LANGUAGE_WORDS[code]))
+        return F.struct(F.size(known).alias("n"), F.lit(code).alias("code"))
+
+    def most(tokens: Column) -> Column:
+        best = F.greatest(*(hits(tokens, code) for code in LANGUAGE_WORDS))
+        return F.when(best["n"] > 0, best["code"]).otherwise("en")
+
+    han = F.length(F.regexp_replace(c, r"[^\p{IsHan}]", ""))
+    kana = c.rlike(r"[\p{IsHiragana}\p{IsKatakana}]")
+    return F.when(kana, "ja").when(han * 5 >= F.length(c), F.when(han > 0, "zh").otherwise("en")).otherwise(let(words(F.lower(c)), most))
+
+
 def language_tag(code: Column) -> Column:
     """Upper-case code; any Chinese is ZH-TW, none is EN."""
     return F.when(code.isNull() | (code == ""), "EN").when(F.lower(code).startswith("zh"), "ZH-TW").otherwise(F.upper(code))
@@ -47,28 +79,34 @@ def language_tag(code: Column) -> Column:
 
 def strip_preamble(c: Column) -> Column:
     """Without the leading lines that open with a preamble."""
-    lines = F.split(c, "\n")
-    start = lambda line: F.lower(strip(line))
-    opens = lambda line: F.array_contains(F.transform(F.array(*map(F.lit, PREAMBLES)), lambda p: F.startswith(start(line), p)), True)
-    kept = F.filter(F.transform(F.sequence(F.lit(1), F.size(lines)), lambda i: F.when(~opens(F.element_at(lines, i)), i)), lambda i: i.isNotNull())
-    first = F.try_element_at(kept, F.lit(1))
-    return F.when(first.isNull(), "").otherwise(strip(F.array_join(F.slice(lines, F.coalesce(first, F.lit(1)), F.size(lines)), "\n")))
+
+    def opens(line: Column) -> Column:
+        return F.exists(F.array(*map(F.lit, PREAMBLES)), lambda p: F.startswith(line, p))
+
+    def rest(lines: Column) -> Column:
+        plain = F.transform(lines, lambda line: ~let(F.lower(strip(line)), opens))
+        first = F.array_position(plain, True)
+        return F.when(first == 0, "").otherwise(strip(F.array_join(F.slice(lines, F.greatest(first, F.lit(1)).cast("int"), F.size(lines)), "\n")))
+
+    return let(F.split(c, "\n"), rest)
 
 
 def dedup_lines(c: Column) -> Column:
     """Without blank lines and without lines that equal the one kept before."""
     lines = F.filter(F.split(c, "\n"), lambda line: strip(line) != "")
-    return F.array_join(F.filter(lines, lambda line, i: (i == 0) | (line != F.get(lines, i - 1))), "\n")
+    return F.array_join(let(lines, lambda kept: F.filter(kept, lambda line, i: (i == 0) | (line != F.get(kept, i - 1)))), "\n")
 
 
 def is_echo(c: Column) -> Column:
     return sum((F.lower(c).contains(p).cast("int") for p in ECHOES), F.lit(0)) >= 2
 
 
-def language_free_json(c: Column) -> Column:
-    """The JSON array in a model's reply: fences dropped, first [ to last ]."""
-    bare = F.regexp_replace(c, r"```[a-z]*", "")
-    return F.regexp_extract(bare, r"(?s)\[.*\]", 0)
+def json_array(reply: Column) -> Column:
+    """The JSON array in a model's reply: without fences, from the first [ to the last ]; null if there is none."""
+    bare = strip(F.regexp_replace(strip(F.regexp_replace(reply, r"```[a-z]*", "")), r"^`+|`+$", ""))
+    found = F.regexp_extract(bare, r"(?s)\[.*\]", 0)
+    # a reply that is an object as a whole is no list, whatever lists it holds
+    return F.when((found != "") & ~(bare.startswith("{") & F.try_parse_json(bare).isNotNull()), found)
 
 
 def stem(name: Column) -> Column:
@@ -86,6 +124,22 @@ def is_garbage_entity(name: Column) -> Column:
     return (F.length(s) < 3) | s.startswith("#") | s.contains("|") | s.contains("\n") | (letters < 2) | F.regexp_replace(s, r"[,.\-]", "").rlike(r"^\p{Nd}+$")
 
 
+def title_label(name: Column) -> Column:
+    """A node's name as a label: underscores to spaces, each word with a capital."""
+    return F.initcap(F.regexp_replace(name, "_", " "))
+
+
+def first_lines(reply: Column, n: int) -> Column:
+    """The first n lines of a reply that aren't blank, stripped."""
+    return F.slice(F.filter(F.transform(F.split(reply, "\n"), strip), lambda x: x != ""), 1, n)
+
+
+def data_uri_bytes(uri: Column) -> Column:
+    """The bytes of a base64 data URI; null for anything else."""
+    body = F.regexp_extract(uri, r"(?s)^data:[^,]*,(.*)$", 1)
+    return F.when(uri.startswith("data:") & uri.contains(","), F.try_to_binary(body, F.lit("base64")))
+
+
 def needs_graph(reply: Column) -> Column:
     return F.upper(strip(reply)).startswith("NO")
 

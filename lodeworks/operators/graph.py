@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import node_id, node_key, triple_id
 from ..functions.text import normalise_space
+from ..functions.vectors import cosine
 
 TRIPLE = ("triple_id", "source_doc", "method", "subject_id", "subject_name", "subject_type", "predicate", "object_id", "object_name", "object_type", "weight")
 
@@ -21,18 +22,52 @@ def triple_rows(df: DataFrame, subject: Column, subject_type: str, predicate: st
     )
 
 
-def nodes(triples: DataFrame) -> DataFrame:
-    """One row per (name, type) key: the node seen first, and all its sources."""
-    sides = [triples.select(F.col(f"{x}_id").alias("id"), F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type"), "source_doc", (F.col("seq") * 2 + k).alias("at")) for k, x in enumerate(("subject", "object"))]
-    both = sides[0].unionByName(sides[1]).withColumn("key", node_key(F.col("name"), F.col("type")))
-    return both.groupBy("key").agg(F.min_by(F.struct("id", "name", "type"), "at").alias("n"), F.array_join(F.array_sort(F.collect_set("source_doc")), ",").alias("source_doc"), F.min("at").alias("at")).select("key", "n.id", "n.name", "n.type", "source_doc", "at")
+def sides(triples: DataFrame, *keep: str) -> DataFrame:
+    """Nodes as they come: id, name, type, source_doc, specs, key, at, subjects before objects of the same triple."""
+    specs = lambda x: F.col(f"{x}_specs") if f"{x}_specs" in triples.columns else F.lit(None).cast("map<string,string>")
+    parts = [
+        triples.select(*keep, F.col(f"{x}_id").alias("id"), F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type"), "source_doc", specs(x).alias("specs"), (F.col("seq") * 2 + k).alias("at"))
+        for k, x in enumerate(("subject", "object"))
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("key", node_key(F.col("name"), F.col("type")))
 
 
-def dedup_edges(triples: DataFrame) -> DataFrame:
+def nodes(triples: DataFrame, *within: str) -> DataFrame:
+    """One row per (name, type) key, for each value of within: the node seen first, all its sources, and of its specs the value seen
+    first for each name."""
+    both = sides(triples, *within)
+    first = F.min_by(F.struct("id", "name", "type"), "at").alias("n")
+    found = both.groupBy(*within, "key").agg(first, F.array_join(F.array_sort(F.collect_set("source_doc")), ",").alias("source_doc"), F.min("at").alias("at"))
+    said = both.where("specs is not null").select(*within, "key", "at", F.explode("specs").alias("spec", "value"))
+    said = said.groupBy(*within, "key", "spec").agg(F.min_by("value", "at").alias("value"))
+    said = said.groupBy(*within, "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("spec", "value")))).alias("specs"))
+    found = found.join(said, [*within, "key"], "left")
+    return found.select(*within, "key", "n.id", "n.name", "n.type", "source_doc", "at", "specs")
+
+
+def canonical(triples: DataFrame, *within: str) -> DataFrame:
+    """triples whose subjects and objects are the nodes that their keys were first seen as, with the specs of all that share the key."""
+    known = nodes(triples, *within)
+    out = triples
+    for x in ("subject", "object"):
+        named = known.select(*within, F.col("key").alias(f"{x}_key"), *(F.col(c).alias(f"new_{c}") for c in ("id", "name", "type", "specs")))
+        out = out.withColumn(f"{x}_key", node_key(F.col(f"{x}_name"), F.col(f"{x}_type"))).join(named, [*within, f"{x}_key"])
+        out = out.withColumns({f"{x}_{c}": F.col(f"new_{c}") for c in ("id", "name", "type", "specs")}).drop(f"{x}_key", *(f"new_{c}" for c in ("id", "name", "type", "specs")))
+    return out
+
+
+def dedup(triples: DataFrame, *within: str) -> DataFrame:
+    """Canonical triples, of those with equal subject, predicate and object the heaviest, in the order in which each was first seen."""
+    return dedup_edges(canonical(triples, *within), *within)
+
+
+def dedup_edges(triples: DataFrame, *within: str) -> DataFrame:
     """Of each (subject, predicate, object) the heaviest row, the earliest of equals, by partial aggregation."""
-    rest = [c for c in triples.columns if c not in ("subject_id", "predicate", "object_id")]
+    key = [*within, "subject_id", "predicate", "object_id"]
+    rest = [c for c in triples.columns if c not in key]
     best = F.max_by(F.struct(*rest), F.struct("weight", -F.col("seq"))).alias("best")
-    return triples.groupBy("subject_id", "predicate", "object_id").agg(best, F.min("seq").alias("first_seq")).select("subject_id", "predicate", "object_id", *(F.col(f"best.{c}").alias(c) for c in rest), "first_seq")
+    found = triples.groupBy(*key).agg(best, F.min("seq").alias("first_seq"))
+    return found.select(*key, *(F.col(f"best.{c}").alias(c) for c in rest), "first_seq")
 
 
 def like(name: Column, pattern: str | Column) -> Column:
@@ -58,10 +93,33 @@ def filter_triples(triples: DataFrame, source_doc: str | None = None, subject_na
 
 
 def nested(triples: DataFrame) -> DataFrame:
-    side = lambda x: F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type"), F.col("source_doc"))
+    """Triples with subject and object as structs; specs come from their JSON, if stored."""
+
+    def side(x: str) -> Column:
+        specs = F.lit(None).cast("map<string,string>")
+        if f"{x}_specs" in triples.columns:
+            specs = F.from_json(f"{x}_specs", "map<string,string>") if dict(triples.dtypes)[f"{x}_specs"] == "string" else F.col(f"{x}_specs")
+        return F.struct(F.col(f"{x}_id").alias("id"), F.col(f"{x}_name").alias("name"), F.col(f"{x}_type").alias("type"), F.col("source_doc"), specs.alias("specs"))
+
     return triples.select("triple_id", side("subject").alias("subject"), "predicate", side("object").alias("object"), "weight", "source_doc", F.coalesce("method", F.lit("unknown")).alias("method"))
 
 
+#: The triple table at rest: specs are JSON.
+STORED = (*TRIPLE, "subject_specs", "object_specs")
+
+
+def stored(triples: DataFrame) -> DataFrame:
+    """Triples as rows of the table: names with single spaces, ids, specs as JSON."""
+    names = {f"{x}_name": normalise_space(F.col(f"{x}_name")) for x in ("subject", "object")}
+    specs = {f"{x}_specs": F.to_json(F.col(f"{x}_specs")) if f"{x}_specs" in triples.columns else F.lit(None).cast("string") for x in ("subject", "object")}
+    out = triples.withColumns(names | specs)
+    return out.withColumn("triple_id", triple_id(F.coalesce("method", F.lit("unknown")), F.col("subject_id"), F.col("predicate"), F.col("object_id"))).select(*STORED)
+
+
+def to_edges(triples: DataFrame) -> DataFrame:
+    return triples.select(F.col("subject_id").alias("source_id"), F.col("object_id").alias("target_id"), "predicate", "weight", "source_doc")
+
+
 def upsert(existing: DataFrame, new: DataFrame, key: tuple[str, ...] = ("triple_id",)) -> DataFrame:
     return existing.join(new.select(*key).distinct(), list(key), "left_anti").unionByName(new)
 
@@ -75,10 +133,24 @@ def format_triple() -> Column:
     return F.format_string("%s [%s] —%s→ %s [%s] (weight=%.2f)", "subject_name", "subject_type", "predicate", "object_name", "object_type", F.coalesce("weight", F.lit(1.0)))
 
 
-def context_rows(entities: DataFrame, triples: DataFrame) -> DataFrame:
+def context_rows(entities: DataFrame, triples: DataFrame, most: int = 10_000) -> DataFrame:
     """Triples whose subject or object name holds an entity (entity, pos): each once, ordered by entity, side and seq. The
-    entities are a question's few words, so they are broadcast."""
+    entities are a question's words; they are broadcast, and more than `most` of them are refused."""
+    if entities.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} entities")
     few = F.broadcast(entities)
     found = [few.join(triples, like(F.col(f"{x}_name"), F.col("entity"))).withColumn("side", F.lit(k)) for k, x in enumerate(("subject", "object"))]
     first = Window.partitionBy("triple_id").orderBy("pos", "side", "seq")
     return found[0].unionByName(found[1]).withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+
+
+def entity_names(triples: DataFrame) -> DataFrame:
+    """(name) of all subjects and objects, each once."""
+    names = triples.select(F.col("subject_name").alias("name")).union(triples.select("object_name"))
+    return names.where("name is not null").distinct()
+
+
+def nearest_names(names: DataFrame, query: Column, vector: str = "vector", k: int = 5, least: float = 0.5) -> DataFrame:
+    """(pos, entity) of the k names whose vectors are nearest to the query's by cosine, without those below least."""
+    near = names.withColumn("sim", cosine(F.col(vector), query)).orderBy(F.desc("sim"), "name").limit(k).where(F.col("sim") >= least)
+    return near.select((F.row_number().over(Window.orderBy(F.desc("sim"), "name")) - 1).alias("pos"), F.col("name").alias("entity"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules, tables, text, vectors
-from ..operators import chunking, delta, graph, search
+from ..operators import chunking, delta, documents, extraction, graph, search
+from ..operators import tables as grids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -124,7 +125,17 @@ def element_grouping(spark, d):
     return e.groupBy("conv_id", "grp").agg(F.min("role").alias("section_title"), F.count("*").alias("elements"), chunking.ordered_join("turn", "text", "\n").alias("text"))
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text AS raw, {STRIP.format('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+s AS (SELECT *, length(t) < 80 AND NOT contains(t, chr(10)) AS small FROM c),
+f AS (
+  SELECT conv_id, k, turn AS first, 1 AS merged, length(t)::BIGINT AS total, small, role FROM s WHERE k = 1
+  UNION ALL
+  SELECT s.conv_id, s.k, CASE WHEN j THEN f.first ELSE s.turn END, CASE WHEN j THEN f.merged + 1 ELSE 1 END, CASE WHEN j THEN f.total ELSE 0 END + length(s.t), s.small, s.role
+  FROM (SELECT s.*, s.small AND f.small AND s.role IS NOT DISTINCT FROM f.role AND f.total + 3 * f.merged + length(s.t) < 400 AS j FROM s JOIN f ON s.conv_id = f.conv_id AND s.k = f.k + 1) s
+  JOIN f ON s.conv_id = f.conv_id AND s.k = f.k + 1)
+SELECT f.conv_id, f.first::BIGINT AS first, CASE WHEN count(*) = 1 THEN min(s.raw) ELSE string_agg(s.t, ' | ' ORDER BY s.k) END AS text, count(*)::BIGINT AS merged
+FROM f JOIN s ON f.conv_id = s.conv_id AND f.k = s.k GROUP BY f.conv_id, f.first""")
 def short_chunk_merge(spark, d):
     return chunking.merge_short(t(spark, d, "conversations"), "conv_id", "turn", "text", "role")
 
@@ -197,13 +208,32 @@ def table_markdown_parse(spark, d):
 KINDS = "CASE r_regionkey WHEN 0 THEN replace(md, 'nation', 'question') WHEN 1 THEN replace(md, 'N', '?') WHEN 2 THEN replace(md, 'NATION', repeat('long', 20)) ELSE md END"
 
 
-@query(f"""WITH {NATION_TABLE} SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'faq' WHEN 1 THEN 'faq' WHEN 2 THEN 'general' ELSE 'spec' END AS table_type FROM rendered""")
+@query(rf"""WITH {NATION_TABLE}, kinds AS (SELECT r_regionkey, {KINDS} AS md FROM rendered),
+lines AS (SELECT r_regionkey, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM kinds),
+content AS (SELECT r_regionkey, line, row_number() OVER (PARTITION BY r_regionkey ORDER BY i) AS k FROM lines WHERE contains(line, '|') AND NOT (regexp_matches(line, '^[|\-:+ ]+$') AND contains(line, '-'))),
+cells AS (SELECT r_regionkey, k, line, list_filter(list_transform(string_split(line, '|'), lambda x: trim(x)), lambda x: x <> '') AS cells FROM content),
+told AS (SELECT r_regionkey, max(len(cells)) AS cols, bool_or(k = 1 AND regexp_matches(lower(line), 'question|answer|q&a|faq|\| q \||\| a \|')) AS asks,
+  avg(CASE WHEN k > 1 THEN contains(line, '?')::INT END) AS share, avg(CASE WHEN k > 1 THEN list_avg(list_transform(cells[2:], lambda x: length(x))) END) AS mean FROM cells GROUP BY r_regionkey)
+SELECT r_regionkey, CASE WHEN asks THEN 'faq' WHEN share > 0.3 THEN 'faq' WHEN cols >= 3 AND mean < 30 THEN 'spec' ELSE 'general' END AS table_type FROM told""")
 def table_type_classify(spark, d):
     r = rendered(spark, d).withColumn("md", F.expr(KINDS))
     return r.select("r_regionkey", tables.table_type(F.col("md"), tables.dimensions(F.col("md"))[1]).alias("table_type"))
 
 
-@query()
+SUPPLIERS = """
+cells AS (SELECT s_nationkey, '| ' || s_suppkey || ' | ' || s_name || ' |' AS line, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS k FROM supplier),
+whole AS (SELECT s_nationkey, count(*) AS n, 31 + sum(length(line) + 1) AS long FROM cells GROUP BY s_nationkey)"""
+
+
+@query(f"""
+WITH RECURSIVE {SUPPLIERS},
+f AS (
+  SELECT s_nationkey, k, 0 AS part, 33 + length(line) + 1 AS size FROM cells WHERE k = 1
+  UNION ALL
+  SELECT c.s_nationkey, c.k, CASE WHEN f.size + length(c.line) + 1 > 180 THEN f.part + 1 ELSE f.part END, CASE WHEN f.size + length(c.line) + 1 > 180 THEN 33 ELSE f.size END + length(c.line) + 1
+  FROM cells c JOIN f ON c.s_nationkey = f.s_nationkey AND c.k = f.k + 1)
+SELECT s_nationkey, (CASE WHEN long <= 180 OR n < 2 THEN 0 ELSE f.part END)::INT AS part, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(c.line, chr(10) ORDER BY c.k) AS md
+FROM f JOIN cells c USING (s_nationkey, k) JOIN whole USING (s_nationkey) GROUP BY ALL""")
 def table_split_rows(spark, d):
     s = t(spark, d, "supplier").groupBy("s_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: F.array(x["s_suppkey"].cast("string"), x["s_name"])).alias("rows"))
     md = tables.rows_to_markdown(F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), "rows"))
@@ -230,7 +260,9 @@ def ascii_table_detect(spark, d):
 METRIC = "CASE p_partkey % 4 WHEN 0 THEN 'Delay (Hybrid Shutdown, Unit second)' WHEN 1 THEN 'Weight unit: kg, net' WHEN 2 THEN 'Size UNIT = mm)' ELSE p_name END"
 
 
-@query(f"SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Hybrid Shutdown, second' WHEN 1 THEN 'kg' WHEN 2 THEN 'mm' END AS unit FROM part")
+@query(rf"""WITH m AS (SELECT p_partkey, {METRIC} AS s FROM part),
+h AS (SELECT *, trim(regexp_extract(s, '(?i)unit\s*[:=]\s*([^)\],;]+)', 1)) AS named, trim(regexp_replace(regexp_extract(s, '(?i)\(([^)]*unit[^)]*)\)', 1), '(?i)unit\s*[:=]?\s*', '', 'g')) AS around FROM m)
+SELECT p_partkey, CASE WHEN named <> '' THEN named WHEN around <> '' THEN around END AS unit FROM h""")
 def unit_hint(spark, d):
     return t(spark, d, "part").select("p_partkey", text.unit_hint(F.expr(METRIC)).alias("unit"))
 
@@ -240,20 +272,23 @@ brands AS (SELECT p_brand, dense_rank() OVER (ORDER BY p_brand) - 1 AS entity FR
 cells AS (SELECT entity, p_brand, p_type AS metric, dense_rank() OVER (ORDER BY p_type) - 1 AS m, count(*)::VARCHAR AS value FROM part JOIN brands USING (p_brand) GROUP BY entity, p_brand, p_type)"""
 
 
-def cells(spark, d) -> DataFrame:
-    """A wide grid as cells: brands are entities, part types are metrics, values are counts. Few brands and types."""
-    g = t(spark, d, "part").groupBy("p_brand", F.col("p_type").alias("metric")).agg(F.count("*").cast("string").alias("value"))
-    rank = lambda c: (F.dense_rank().over(Window.orderBy(c)) - 1).alias("n")
-    e, m = g.select("p_brand").distinct().select("p_brand", rank("p_brand")), g.select("metric").distinct().select("metric", rank("metric"))
-    return g.join(F.broadcast(e.withColumnRenamed("n", "entity")), "p_brand").join(F.broadcast(m.withColumnRenamed("n", "m")), "metric")
+def wide(spark, d) -> DataFrame:
+    """One wide table as a model: brands are entities, part types are metrics, values are counts. A part's brand and type are of small
+    sets, whatever the number of parts."""
+    g = t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.count("*").cast("string").alias("value"))
+    by_type = g.groupBy("p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_brand", "value"))).alias("values"))
+    brands = g.agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
+    line = F.concat(F.array("p_type"), F.transform("brands", lambda b: F.coalesce(F.try_element_at("values", b), F.lit(""))))
+    lines = by_type.crossJoin(F.broadcast(brands)).select("brands", F.struct("p_type", line.alias("line")).alias("x"))  # one row
+    grid = lines.groupBy("brands").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
+    return grid.select(F.lit("part").alias("sheet_name"), grids.canonical(F.concat(F.array(F.concat(F.array(F.lit("")), "brands")), "lines")).alias("model"))
 
 
 @query(f"""WITH {CELLS}, p AS (SELECT *, (row_number() OVER (PARTITION BY entity ORDER BY m) - 1) // 5 AS part FROM cells)
 SELECT entity::BIGINT AS entity, part::BIGINT AS part, 'Entity Profile: ' || min(p_brand) || chr(10) || 'Sheet: part' || chr(10) || 'Source: (unknown)' || chr(10) || chr(10) || string_agg('- ' || metric || ': ' || value, chr(10) ORDER BY m) AS text FROM p GROUP BY entity, part""")
 def massive_entity_profile(spark, d):
-    c = cells(spark, d).withColumn("part", F.floor((F.row_number().over(Window.partitionBy("entity").orderBy("m")) - 1) / 5))
-    head = F.concat(F.lit("Entity Profile: "), F.min("p_brand"), F.lit("\nSheet: part\nSource: (unknown)\n\n"))
-    return c.groupBy(F.col("entity").cast("long"), "part").agg(F.concat(head, chunking.ordered_join("m", F.concat(F.lit("- "), "metric", F.lit(": "), "value"), "\n")).alias("text"))
+    out = grids.profiles(wide(spark, d), ["sheet_name"], grids.TableOptions(profile=5))
+    return out.select(F.col("entity_index").cast("long").alias("entity"), F.col("part").cast("long").alias("part"), "text")
 
 
 @query(f"""WITH {CELLS}, n AS (SELECT max(entity) + 1 AS n FROM brands), win AS (SELECT s, unnest(range(s, least(s + 4, n))) AS entity FROM n, range(0, n, 3) r(s) WHERE least(s + 4, n) - s >= 2),
@@ -262,30 +297,55 @@ metrics AS (SELECT DISTINCT m, metric FROM cells WHERE m < 36),
 grid AS (SELECT s, m, metric, string_agg(coalesce(value, ''), ' | ' ORDER BY entity) AS vals, bool_or(value IS NOT NULL) AS filled FROM win CROSS JOIN metrics LEFT JOIN cells USING (entity, m, metric) GROUP BY s, m, metric)
 SELECT (row_number() OVER (ORDER BY s) - 1)::BIGINT AS comparison, h || chr(10) || body AS text FROM (SELECT s, string_agg('| ' || metric || ' | ' || vals || ' |', chr(10) ORDER BY m) AS body FROM grid WHERE filled GROUP BY s) JOIN header USING (s)""")
 def massive_comparison_windows(spark, d):
-    c = cells(spark, d).where("m < 36")
-    brands = c.select("entity", "p_brand").distinct().agg(F.array_sort(F.collect_list(F.struct("entity", "p_brand"))).alias("b"))
-    win = brands.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("b") - 1, F.lit(3)), lambda s: F.struct(s.alias("s"), F.slice("b", s + 1, F.lit(4)).alias("w")))).alias("x")).select("x.s", "x.w").where("size(w) >= 2")
-    by_metric = c.groupBy("m", "metric").agg(F.map_from_entries(F.collect_list(F.struct("entity", "value"))).alias("values"))
-    names = F.transform("w", lambda x: x["p_brand"])
-    vals = F.transform("w", lambda x: F.coalesce(F.try_element_at("values", x["entity"]), F.lit("")))
-    rows = by_metric.crossJoin(F.broadcast(win)).withColumn("vals", vals).where(F.exists("vals", lambda v: v != ""))  # windows are a few rows
-    body = chunking.ordered_join("m", tables.row_line(F.concat(F.array("metric"), "vals")), "\n")
-    out = rows.groupBy("s", "w").agg(body.alias("body"))
-    head = F.concat(tables.row_line(F.concat(F.array(F.lit("Metric")), names)), F.lit("\n"), tables.row_line(F.array_repeat(F.lit("---"), F.size("w") + 1)))
-    return out.select((F.row_number().over(Window.orderBy("s")) - 1).cast("long").alias("comparison"), F.concat(head, F.lit("\n"), "body").alias("text"))
-
-
-@query("SELECT r_regionkey, (CASE WHEN r_regionkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS header_index FROM region")
+    out = grids.comparisons(wide(spark, d), ["sheet_name"], grids.TableOptions())
+    return out.select(F.col("comparison").cast("long").alias("comparison"), "text")
+
+
+@query(f"""WITH {CELLS}, n AS (SELECT max(entity) + 1 AS n FROM brands)
+SELECT m::BIGINT AS m, metric, count(*)::BIGINT AS filled, (SELECT n FROM n)::BIGINT AS entities, (SELECT n >= 8 FROM n) AND (SELECT count(DISTINCT m) >= 6 FROM cells) AS massive FROM cells GROUP BY m, metric""")
+def canonical_table_rows(spark, d):
+    w = wide(spark, d)
+    rows = w.select("model", grids.is_massive(F.col("model")).alias("massive"), F.posexplode("model.data").alias("m", "row"))
+    return rows.select(F.col("m").cast("long").alias("m"), F.col("row.metric").alias("metric"), F.size(F.filter("row.values", lambda v: v != "")).cast("long").alias("filled"), F.size("model.entities").cast("long").alias("entities"), "massive")
+
+
+TITLED = """
+lines AS (SELECT n_regionkey AS r_regionkey, list([n_nationkey::VARCHAR, n_name, CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE n_name END] ORDER BY n_nationkey) AS body FROM nation GROUP BY n_regionkey),
+grid AS (SELECT r_regionkey, list_concat([[r_name, '', ''], CASE WHEN r_regionkey % 2 = 0 THEN ['', 'name', 'again'] ELSE ['', '', 'again'] END], body) AS g FROM lines JOIN region USING (r_regionkey))"""
+
+
+@query(f"""WITH {TITLED}, filled AS (SELECT r_regionkey, list_transform(g[1:4], lambda r: len(list_filter(r[2:], lambda c: c <> ''))) AS f FROM grid)
+SELECT r_regionkey, (list_position(f, list_max(f)) - 1)::BIGINT AS header_index FROM filled""")
 def header_row_pick(spark, d):
-    grid = F.expr("CASE WHEN r_regionkey % 2 = 0 THEN array(array('', '', ''), array('', 'A', 'B'), array('x', '1', '2')) ELSE array(array('', 'A', 'B'), array('x', '1', '2')) END")
-    filled = F.transform(F.slice(grid, 1, 4), lambda r: F.size(F.filter(F.slice(r, 2, 1 << 20), lambda c: c != "")))
-    return t(spark, d, "region").select("r_regionkey", (F.array_position(filled, F.array_max(filled)) - 1).cast("long").alias("header_index"))
+    again = F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name"))
+    line = F.array(F.col("n_nationkey").cast("string"), "n_name", again)
+    body = t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", line.alias("line")))), lambda x: x["line"]).alias("body"))
+    second = F.when(F.col("r_regionkey") % 2 == 0, F.array(F.lit(""), F.lit("name"), F.lit("again"))).otherwise(F.array(F.lit(""), F.lit(""), F.lit("again")))
+    grid = F.concat(F.array(F.array(F.col("r_name"), F.lit(""), F.lit("")), second), "body")
+    return t(spark, d, "region").join(F.broadcast(body), "r_regionkey").select("r_regionkey", grids.header_index(grids.padded(grid)).cast("long").alias("header_index"))
+
+
+QA = "'| No | Question | Answer |' || chr(10) || '|---|:-:|' || chr(10) || '| 1 | ' || replace(role, '|', ' ') || ' | yes |' || chr(10) || 'goes on' || chr(10) || '| 2 |' || chr(10) || turn || ' more ||' || chr(10) || '| 3 | q | a | spare |'"
+
+
+@query("""WITH q AS (SELECT conv_id, turn, replace(role, '|', ' ') AS role FROM conversations)
+SELECT conv_id, turn, 0::BIGINT AS r, '1;' || trim(role) || ';yes' || chr(10) || 'goes on' AS cells FROM q
+UNION ALL SELECT conv_id, turn, 1, '2' || chr(10) || turn || ' more;;' FROM q
+UNION ALL SELECT conv_id, turn, 2, '3;q;a' FROM q""")
+def faq_row_parse(spark, d):
+    """Rows of a table whose cells go on over lines: as wide as the header, the lines added to the last filled cell."""
+    c = t(spark, d, "conversations").select("conv_id", "turn", tables.faq_rows(F.expr(QA.replace("chr(10)", "char(10)"))).alias("faq"))
+    return c.select("conv_id", "turn", F.posexplode("faq.rows").alias("r", "c")).select("conv_id", "turn", F.col("r").cast("long").alias("r"), F.array_join("c", ";").alias("cells"))
 
 
 CAPTION = "CASE p_partkey % 6 WHEN 0 THEN 'This is a flowchart.' WHEN 1 THEN 'A photograph of a pump' WHEN 2 THEN 'System Diagram' WHEN 3 THEN 'This is a certification badge.' WHEN 4 THEN 'a product photo' ELSE p_name END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN CASE WHEN p_size * 2000 < 50000 THEN 'default' ELSE 'flowchart' END WHEN 1 THEN CASE WHEN p_size * 2000 < 50000 THEN 'default' ELSE 'chart' END WHEN 2 THEN CASE WHEN p_size * 2000 < 50000 THEN 'default' ELSE 'architecture' END WHEN 3 THEN 'badge' WHEN 4 THEN 'photo' ELSE 'default' END AS image_type FROM part")
+CAPTION_SQL = " ".join("WHEN " + " OR ".join(f"contains(low, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in rules.CAPTION_RULES)
+
+
+@query(f"""WITH c AS (SELECT p_partkey, p_size, lower({CAPTION}) AS low FROM part), k AS (SELECT *, CASE {CAPTION_SQL} ELSE 'default' END AS kind FROM c)
+SELECT p_partkey, CASE WHEN kind IN {rules.COMPLEX_TYPES!r} AND p_size * 2000 < {rules.LEAST_AREA} THEN 'default' ELSE kind END AS image_type FROM k""")
 def caption_type_rules(spark, d):
     return t(spark, d, "part").select("p_partkey", rules.size_guard(rules.caption_type(F.expr(CAPTION)), F.col("p_size"), F.lit(2000)).alias("image_type"))
 
@@ -406,7 +466,7 @@ def triple_build(spark, d):
 @query(f"""WITH {STAR}, b AS (SELECT subject_id AS id, subject_name AS name, subject_type AS type, source_doc, seq * 2 AS ord FROM star UNION ALL SELECT object_id, object_name, object_type, source_doc, seq * 2 + 1 FROM star)
 SELECT lower(name) || '::' || lower(type) AS key, arg_min(id, ord) AS id, arg_min(name, ord) AS name, arg_min(type, ord) AS type, array_to_string(list_sort(list_distinct(list(source_doc))), ',') AS source_doc FROM b GROUP BY key""")
 def triple_node_dedup(spark, d):
-    return graph.nodes(star_triples(spark, d)).drop("at")
+    return graph.nodes(star_triples(spark, d)).drop("at", "specs")
 
 
 @query(f"""WITH {ORDER} SELECT subject_id, predicate, object_id, triple_id, weight, seq, min(seq) OVER k AS first_seq FROM orderly WINDOW k AS (PARTITION BY subject_id, predicate, object_id)
@@ -417,7 +477,7 @@ def triple_edge_dedup(spark, d):
 
 @query(f"WITH {STAR} SELECT subject_id AS source_id, object_id AS target_id, predicate, weight, source_doc FROM star")
 def triple_to_edge(spark, d):
-    return star_triples(spark, d).select(F.col("subject_id").alias("source_id"), F.col("object_id").alias("target_id"), "predicate", "weight", "source_doc")
+    return graph.to_edges(star_triples(spark, d))
 
 
 @query(f"WITH {STAR} SELECT triple_id, subject_name FROM star WHERE source_doc = 'customer' AND method = 'tabular' AND lower(subject_type) = 'organization'")
@@ -455,8 +515,7 @@ def triple_delete_source_method(spark, d):
 
 @query(f"WITH {STAR} SELECT DISTINCT name FROM (SELECT subject_name AS name FROM star UNION ALL SELECT object_name FROM star) WHERE name IS NOT NULL")
 def entity_names_distinct(spark, d):
-    s = star_triples(spark, d)
-    return s.select(F.col("subject_name").alias("name")).union(s.select("object_name")).where("name is not null").distinct()
+    return graph.entity_names(star_triples(spark, d))
 
 
 ASKED = "which red widget parts ship from NATION_3 today"
@@ -478,31 +537,30 @@ def graph_context_like(spark, d):
     return context(spark, d).select((F.col("pos") + 1).cast("long").alias("pos"), F.col("side").cast("long").alias("side"), "seq", graph.format_triple().alias("line"))
 
 
+FALLBACK = "reddish widgetry"
+
+
 @query()
 def graph_context_fallback(spark, d):
     """Only where no name matches: the entity names nearest to the question, and their triples."""
     from .providers import HashEmbedder
 
-    asked, triples = "zzz unheard-of question", star_triples(spark, d)
-    e = spark.range(1).select(F.posexplode(text.query_tokens(F.lit(asked))).alias("pos", "entity"))
+    triples, embed = star_triples(spark, d), HashEmbedder()
+    e = spark.range(1).select(F.posexplode(text.query_tokens(F.lit(FALLBACK))).alias("pos", "entity"))
     direct = graph.context_rows(e, triples)
     if not direct.isEmpty():
         return direct.select("triple_id", "pos")
-    embed = HashEmbedder()
-    names = entity_names_distinct(spark, d).withColumn("vector", embed.column(F.col("name")))
-    q = literal(embed.embed([asked])[0])
-    near = names.withColumn("sim", vectors.cosine(F.col("vector"), q)).orderBy(F.desc("sim"), "name").limit(5).where("sim >= 0.5")
-    found = near.select((F.row_number().over(Window.orderBy(F.desc("sim"), "name")) - 1).alias("pos"), F.col("name").alias("entity"))
-    return graph.context_rows(found, triples).select("triple_id", "pos")
+    names = graph.entity_names(triples).withColumn("vector", embed.column(F.col("name")))
+    return graph.context_rows(graph.nearest_names(names, literal(embed.embed([FALLBACK])[0])), triples).select("triple_id", "pos")
 
 
 @query(f"""WITH {CONTEXT}, v AS (SELECT e.vec_id, row_number() OVER (ORDER BY {DOT} DESC, e.vec_id) AS rank FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q QUALIFY rank <= 5),
-g AS (SELECT {LINES} AS line, pos, side, seq FROM context ORDER BY pos, side, seq LIMIT 50)
+g AS (SELECT {LINES} AS line, pos, side, seq FROM context)
 SELECT 'Vector Search Results:' || chr(10) || (SELECT string_agg('vector ' || vec_id, chr(10) || chr(10) ORDER BY rank) FROM v) || chr(10) || chr(10) || 'Graph Search Results:' || chr(10) || (SELECT string_agg(line, chr(10) ORDER BY pos, side, seq) FROM g) AS context""")
 def hybrid_context(spark, d):
     top = search.top_k(t(spark, d, "embeddings"), literal(question(spark, d))).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
     v = top.agg(chunking.ordered_join("rank", F.concat(F.lit("vector "), F.col("vec_id").cast("string")), "\n\n").alias("v"))
-    g = context(spark, d).select("pos", "side", "seq", graph.format_triple().alias("line")).orderBy("pos", "side", "seq").limit(50)
+    g = context(spark, d).select("pos", "side", "seq", graph.format_triple().alias("line"))
     g = g.agg(chunking.ordered_join(F.struct("pos", "side", "seq"), F.col("line"), "\n").alias("g"))
     return v.crossJoin(F.broadcast(g)).select(F.concat(F.lit("Vector Search Results:\n"), "v", F.lit("\n\nGraph Search Results:\n"), "g").alias("context"))  # one row each
 
@@ -554,12 +612,13 @@ def embedding_cache_hit(spark, d):
     return delta.cache_hits(c.where("name % 4 <> 0").select("name", ids.content_hash(F.col("chunk_text")).alias("chunk_hash")), c.select("name", ids.content_hash(changed).alias("chunk_hash")))
 
 
-@query(f"WITH {CHAR_WINDOWS} SELECT 'doc_' || doc_id || '.txt' AS doc_id, count(*)::BIGINT AS n, max(chunk_index)::BIGINT AS last_index FROM char_windows GROUP BY ALL")
+@query(f"""WITH {CHAR_WINDOWS} SELECT 'doc_' || doc_id || '.txt#' || chunk_index AS id, 'doc_' || doc_id || '.txt' AS doc_id, chunk_text AS text, chunk_index::BIGINT AS chunk_index, sha256(chunk_text) AS chunk_hash FROM char_windows""")
 def rebuild_from_cache(spark, d):
     """The chunk table from cached payloads, one array of chunks a file."""
-    cached = stored_rows(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.get_json_object("metadata", "$.chunk_index").cast("int").alias("i"), F.col("text").alias("t")))).alias("chunks"))
+    payload = F.struct(F.get_json_object("metadata", "$.chunk_index").cast("int").alias("i"), F.col("text").alias("text"), F.get_json_object("metadata", "$.chunk_hash").alias("chunk_hash"))
+    cached = stored_rows(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(payload)).alias("chunks"))
     back = cached.select("doc_id", F.posexplode("chunks").alias("i", "c"))
-    return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("i").cast("long").alias("last_index"))
+    return back.select(F.concat_ws("#", "doc_id", "i").alias("id"), "doc_id", "c.text", F.col("i").cast("long").alias("chunk_index"), "c.chunk_hash")
 
 
 @query("SELECT avg(CASE WHEN doc_id % 5 <> 0 THEN quality END) AS quality, avg(CASE WHEN doc_id % 3 <> 0 THEN toxic END) AS toxic, avg(CASE WHEN doc_id < 0 THEN quality END) AS none FROM labels")
@@ -588,4 +647,125 @@ def stream_incremental_chunks(spark, d):
 def rule_svo_triples(spark, d):
     from .providers import RuleExtractor
 
-    return RuleExtractor().extract(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_doc"), "text"))
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_doc"), F.lit(0).alias("chunk_index"), F.col("text").alias("chunk_text"))
+    return extraction.extracted(docs, RuleExtractor())
+
+
+@query()
+def rule_graph_pipeline(spark, d):
+    """Documents to triples by rules: windows, extraction, canonical nodes, the heaviest of equal edges, counts by document."""
+    from .providers import RuleExtractor
+
+    steps = extraction.Pipeline("rules", lambda chunks: extraction.extracted(chunks, RuleExtractor()), 400, 80)
+    none = spark.createDataFrame([], ", ".join(f"{c} {'double' if c == 'weight' else 'string'}" for c in graph.STORED))
+    return steps.run(t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_doc"), "text"), none)[1]
+
+
+CASED = "CASE WHEN seq % 2 = 0 THEN upper({0}) ELSE ' ' || {0} || ' ' END"
+
+
+@query(f"""WITH {STAR}, c AS (SELECT * REPLACE ({CASED.format('object_name')} AS object_name), {CASED.format('object_name')} AS raw FROM star),
+b AS (SELECT lower(trim(subject_name)) || '::' || lower(subject_type) AS key, subject_name AS name, seq * 2 AS ord, seq FROM c UNION ALL SELECT lower(trim(object_name)) || '::' || lower(object_type), object_name, seq * 2 + 1, seq FROM c),
+n AS (SELECT key, arg_min(name, ord) AS name FROM b GROUP BY key),
+s AS (SELECT key, arg_min('v' || seq, ord) AS first_value FROM b WHERE ord % 2 = 1 GROUP BY key)
+SELECT c.seq, c.subject_name, n.name AS object_name, s.first_value FROM c JOIN n ON n.key = lower(trim(c.object_name)) || '::' || lower(c.object_type) JOIN s ON s.key = n.key""")
+def triple_canonical_nodes(spark, d):
+    """Triples rewritten to the node that each key was first seen as, with the specs first seen."""
+    spelt = F.when(F.col("seq") % 2 == 0, F.upper("object_name")).otherwise(F.concat(F.lit(" "), "object_name", F.lit(" ")))
+    s = star_triples(spark, d).withColumns({"object_name": spelt, "object_specs": F.create_map(F.lit("k"), F.concat(F.lit("v"), "seq"))})
+    return graph.canonical(s).select("seq", "subject_name", "object_name", F.col("object_specs")["k"].alias("first_value"))
+
+
+ITEM = "to_json(named_struct('subject', concat(' ', role, ' '), 'relation', if(turn % 2 = 0, 'governs', null), 'object', concat('turn ', turn), 'confidence', if(turn % 5 = 0, 'sure', cast(turn / 4.0 as string))))"
+
+
+@query("""SELECT conv_id, turn, trim(role) AS subject, 'Other' AS subject_type, CASE WHEN turn % 2 = 0 THEN 'governs' ELSE 'related_to' END AS predicate, 'turn ' || turn AS object, 'Other' AS object_type, least(greatest(turn / 4.0, 0.0), 1.0)::DOUBLE AS weight
+FROM conversations WHERE turn % 5 <> 0 AND turn % 7 <> 3""")
+def reply_triple_parse(spark, d):
+    """Triples of a model's replies: fences, talk around the array, an item without an object, numbers that are none, no array at all."""
+    c = t(spark, d, "conversations").withColumn("item", F.expr(ITEM))
+    reply = F.when(F.col("turn") % 7 == 3, F.concat(F.lit('{"facts": ['), "item", F.lit("]}"))).when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n["), "item", F.lit("]\n```")))
+    reply = reply.otherwise(F.concat(F.lit('Here they are: [{"subject": "x"}, '), "item", F.lit("] as asked.")))
+    return extraction.reply_triples(c.withColumn("reply", reply), "reply", "conv_id", "turn").drop("seq")
+
+
+PAIRS = """f AS (SELECT o_orderpriority AS source_doc, (o_orderkey % 50)::INT AS chunk, o_orderkey::INT AS seq, 'c' || o_custkey % 30 AS subject, 'p' || o_orderkey % 7 AS object FROM orders),
+k AS (SELECT *, substr(sha256(subject || '::concept'), 1, 16) AS a, substr(sha256(object || '::concept'), 1, 16) AS b FROM f),
+p AS (SELECT source_doc, chunk, least(a, b) AS x, greatest(a, b) AS y, min(seq) AS first, arg_min(subject, seq) AS subject, arg_min(object, seq) AS object FROM k GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY source_doc, chunk ORDER BY first) - 1 AS place FROM p)"""
+
+
+@query(f"WITH {PAIRS} SELECT source_doc, chunk, (place // 10)::BIGINT AS call, place::INT AS place, subject, object FROM r WHERE place < 20")
+def candidate_pair_batches(spark, d):
+    """Pairs that a model is asked about, ten at a time, at most twenty a chunk; either way round is one pair."""
+    o = t(spark, d, "orders")
+    f = o.select(F.col("o_orderpriority").alias("source_doc"), (F.col("o_orderkey") % 50).cast("int").alias("chunk"), F.col("o_orderkey").cast("int").alias("seq"), F.concat(F.lit("c"), F.col("o_custkey") % 30).alias("subject"), F.concat(F.lit("p"), F.col("o_orderkey") % 7).alias("object"))
+    p = extraction.candidate_pairs(f.withColumns({"subject_type": F.lit("Concept"), "object_type": F.lit("Concept")}))
+    return p.select("source_doc", "chunk", "call", F.col("at").alias("place"), "subject", "object")
+
+
+@query(rf"""WITH {STAR}, n AS (SELECT DISTINCT name FROM (SELECT CASE WHEN seq % 4 = 0 THEN (seq * 7)::VARCHAR WHEN seq % 4 = 1 THEN '#' || subject_name WHEN seq % 4 = 2 THEN object_name || '|' ELSE object_name END AS name FROM star))
+SELECT name, length({STRIP.format('name')}) < 3 OR starts_with({STRIP.format('name')}, '#') OR contains(name, '|') OR length(regexp_replace(name, '[^A-Za-z]', '', 'g')) < 2 OR regexp_matches(regexp_replace({STRIP.format('name')}, '[,.\-]', '', 'g'), '^[0-9]+$') AS garbage FROM n""")
+def garbage_entity_flags(spark, d):
+    n = star_triples(spark, d).selectExpr("CASE WHEN seq % 4 = 0 THEN CAST(seq * 7 AS STRING) WHEN seq % 4 = 1 THEN concat('#', subject_name) WHEN seq % 4 = 2 THEN concat(object_name, '|') ELSE object_name END AS name").distinct()
+    return n.select("name", text.is_garbage_entity(F.col("name")).alias("garbage"))
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Read all text in this image. ' || text || ' NO EXPLANATIONS' WHEN 1 THEN text || ' nothing else' ELSE text END AS reply FROM conversations)
+SELECT conv_id, turn, {' + '.join(f"contains(lower(reply), '{e}')::INT" for e in text.ECHOES)} >= 2 AS echo FROM r""")
+def prompt_echo_flags(spark, d):
+    c = t(spark, d, "conversations")
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Read all text in this image. "), "text", F.lit(" NO EXPLANATIONS"))).when(F.col("turn") % 3 == 1, F.concat("text", F.lit(" nothing else"))).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", text.is_echo(reply).alias("echo"))
+
+
+@query(rf"SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format('x')}), lambda x: x <> '')[1:3], chr(10)) AS lines FROM documents")
+def first_reply_lines(spark, d):
+    return t(spark, d, "documents").select("doc_id", F.array_join(text.first_lines(F.col("text"), 3), "\n").alias("lines"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN NULL ELSE text END AS text FROM conversations")
+def data_uri_decode(spark, d):
+    c = t(spark, d, "conversations")
+    code = F.base64(F.encode("text", "UTF-8"))
+    uri = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("data;base64 "), code)).otherwise(F.concat(F.lit("data:image/png;base64,"), code))
+    return c.select("conv_id", "turn", F.decode(text.data_uri_bytes(uri), "UTF-8").alias("text"))
+
+
+@query("""SELECT page_id::BIGINT AS page_id, CASE page_id % 3 WHEN 0 THEN 'picture of ' || page_id WHEN 1 THEN '[Image on page ' || page_id || ']' ELSE '[Image]' END AS text FROM pages""")
+def picture_summary_lookup(spark, d):
+    """Pictures in words: their summary, else the page that they stand on."""
+    p = t(spark, d, "pages").select(F.lit("f").alias("name"), F.concat(F.lit("e"), "page_id").alias("id"), "page_id", F.lit("picture").alias("type"), F.lit("").alias("text"), F.when(F.col("page_id") % 3 == 2, None).otherwise(F.col("page_id")).cast("int").alias("page"))
+    said = p.where("page_id % 3 = 0").select("name", "id", F.concat(F.lit(" picture of "), "page_id").alias("summary"))
+    return documents.with_summaries(p, said).select(F.col("page_id").cast("long").alias("page_id"), "text")
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'picture' WHEN 1 THEN 'procedure_step' ELSE 'text' END AS chunk_type FROM conversations""")
+def preliminary_types(spark, d):
+    kind = F.when(F.col("turn") % 4 == 0, "picture").when(F.col("turn") % 4 == 3, "paragraph").otherwise("list_item")
+    return t(spark, d, "conversations").select("conv_id", "turn", rules.preliminary_type(kind, F.when(F.col("turn") % 4 != 2, F.col("turn") % 4 == 1)).alias("chunk_type"))
+
+
+@query()
+def chunk_separator_window(spark, d):
+    """Long texts cut at the best separator; tests/test_documents.py holds it against a plain statement of the rule."""
+    c = chunking.exploded(t(spark, d, "documents"), chunking.separator_windows(F.col("text")), "doc_id")
+    return c.withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+@query()
+def document_chunks_unified(spark, d):
+    """Conversations as documents: a heading, paragraphs, a table; chunks of text and tables in one schema."""
+    c = t(spark, d, "conversations")
+    e = c.select(
+        F.concat(F.lit("conv_"), "conv_id", F.lit(".docx")).alias("name"), F.concat(F.lit("conv_"), "conv_id").alias("stem"), F.col("turn").cast("int").alias("seq"), F.concat(F.lit("e"), "turn").alias("id"),
+        F.when(F.col("turn") % 6 == 5, "table").when(F.col("turn") % 6 == 0, "heading").otherwise("paragraph").alias("type"),
+        F.when(F.col("turn") % 6 == 5, F.concat(F.lit("| Question | Answer |\n| --- | --- |\n| "), "role", F.lit(" | "), F.regexp_replace("text", r"[|\n]", " "), F.lit(" |"))).otherwise(F.col("text")).alias("text"),
+        F.lit(1).alias("page"), F.array("role").alias("section_path"), F.lit(None).cast("boolean").alias("ordered"), F.lit(None).cast("string").alias("sheet_name"), F.lit(None).cast("array<array<string>>").alias("table_rows"),
+    )
+    return documents.unified(documents.text_chunks(e), grids.table_chunks(e))
+
+
+@query()
+def detected_languages(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.language_tag(text.detect_language(F.col("text"))).alias("language"))

@@ -4,25 +4,24 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import rows_to_markdown
-from ..functions.text import stem, suffix
+from ..functions.text import stem, strip, suffix
 
 #: Suffixes by the way that they are read.
 IMAGES = (".png", ".jpg", ".jpeg", ".tiff", ".tif", ".bmp", ".webp")
 PIPELINE = (".pdf", ".docx", ".xlsx", ".csv", ".pptx", *IMAGES)
-PASSTHROUGH = (".md", ".markdown", ".adoc", ".asciidoc", ".tex", ".html", ".htm", ".xhtml", ".txt", ".text", ".vtt", ".wav", ".mp3", ".m4a", ".aac", ".ogg", ".flac", ".mp4", ".avi", ".mov")
+SOUND = (".wav", ".mp3", ".m4a", ".aac", ".ogg", ".flac", ".mp4", ".avi", ".mov")
+PASSTHROUGH = (".md", ".markdown", ".adoc", ".asciidoc", ".tex", ".html", ".htm", ".xhtml", ".txt", ".text", ".vtt", *SOUND)
 SUPPORTED = PIPELINE + PASSTHROUGH
 
 
-def scan(spark: SparkSession, folder: str, names: DataFrame | None = None) -> DataFrame:
-    """(name, path, route, content) of all supported files below folder; of equal names the one of the largest path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+def scan(spark: SparkSession, folder: str, names: DataFrame | None = None, recursive: bool = True) -> DataFrame:
+    """(name, path, route, content) of all supported files in folder and, if recursive, below; of equal names the one of the largest path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
     files = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).where(suffix(F.col("name")).isin(*SUPPORTED))
     if names is not None:
         files = files.join(names.select("name").distinct(), "name", "left_semi")
@@ -31,44 +30,36 @@ def scan(spark: SparkSession, folder: str, names: DataFrame | None = None) -> Da
     return files.join(last, ["name", "path"], "left_semi").select("name", "path", route.alias("route"), "content")
 
 
-def manifest(files: DataFrame) -> DataFrame:
-    return files.select("name", F.sha2("content", 256).alias("sha256"))
-
-
-def texts(files: DataFrame) -> DataFrame:
-    """(name, stem, text) of passthrough files; markup loses its tags; blank ones go."""
-    raw = F.decode("content", "UTF-8")
-    bare = F.when(suffix(F.col("name")).isin(".html", ".htm", ".xhtml"), F.regexp_replace(F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")).otherwise(raw)
-    t = F.regexp_replace(bare, r"^\s+|\s+$", "")
-    return files.where("route = 'passthrough'").select("name", stem(F.col("name")).alias("stem"), t.alias("text")).where("text <> ''")
-
+def route(name: str) -> str:
+    """pipeline or passthrough; a file of neither kind is refused."""
+    kind = "." + name.lower().rpartition(".")[2]
+    if kind not in SUPPORTED:
+        raise ValueError(f"unsupported file {name}")
+    return "pipeline" if kind in PIPELINE else "passthrough"
 
-ELEMENTS = "name string, seq int, type string, text string, sheet_name string, table_rows array<array<string>>"
 
-
-def csv_elements(files: DataFrame) -> DataFrame:
-    """A heading and a table for each CSV file; the dialect is guessed from its first 4096 characters."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for name, content in zip(f["name"], f["content"], strict=True):
-                text = bytes(content).decode("utf-8-sig", "replace")
-                try:
-                    dialect = csv.Sniffer().sniff(text[:4096])
-                except csv.Error:
-                    dialect = csv.excel
-                title = name.rpartition(".")[0]
-                rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), dialect)]
-                rows = [r for r in rows if any(r)]
-                out.append((name, 0, "heading", title, title, None))
-                if rows:
-                    out.append((name, 1, "table", "\n".join(" | ".join(r) for r in rows), title, rows))
-            yield pd.DataFrame(out, columns=["name", "seq", "type", "text", "sheet_name", "table_rows"])
-
-    return files.where(suffix(F.col("name")) == ".csv").select("name", "content").mapInPandas(run, ELEMENTS)
+def manifest(files: DataFrame) -> DataFrame:
+    return files.select("name", F.sha2("content", 256).alias("sha256"))
 
 
-def csv_texts(files: DataFrame) -> DataFrame:
-    """(name, stem, text) of CSV files with rows: their table in Markdown."""
-    return csv_elements(files).where("type = 'table'").select("name", stem(F.col("name")).alias("stem"), rows_to_markdown(F.col("table_rows")).alias("text"))
+def texts(files: DataFrame, transcribe: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(name, stem, text) of passthrough files; markup loses its tags; blank ones go. Bytes that aren't UTF-8 become replacement
+    characters. Sound and video need transcribe (name, content); without it they give nothing and are tried again."""
+    heard = suffix(F.col("name")).isin(*SOUND)
+    told = F.lit(None).cast("string") if transcribe is None else transcribe(F.col("name"), F.col("content"))
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
+    bare = F.regexp_replace(F.regexp_replace(raw, r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")
+    read = F.when(heard, told).when(suffix(F.col("name")).isin(".html", ".htm", ".xhtml"), bare).otherwise(raw)
+    out = files.where("route = 'passthrough'").select("name", stem(F.col("name")).alias("stem"), strip(read).alias("text"))
+    return out.where("text <> ''")
+
+
+def csv_rows(content: bytes) -> list[list[str]]:
+    """Stripped cells of a CSV file's rows that aren't blank; the dialect is guessed from its first 4096 characters."""
+    text = content.decode("utf-8-sig", "replace")
+    try:
+        dialect = csv.Sniffer().sniff(text[:4096])
+    except csv.Error:
+        dialect = csv.excel
+    rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), dialect)]
+    return [r for r in rows if any(r)]

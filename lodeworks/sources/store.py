@@ -11,14 +11,24 @@ from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder of spark.checkpoint.dir; in local mode one of our own where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodeworks-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df, worked out once and kept in the shared folder: what a model said stays said, whatever executors are lost."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(scratch(spark))
+    return df.checkpoint()
+
+
 class Files:
     """Small files and renames through Spark's own file systems."""
 
@@ -33,21 +43,44 @@ class Files:
     def exists(self, name: str = ".") -> bool:
         return self.fs.exists(self.at(name) if name != "." else self.path)
 
-    def read(self, name: str) -> str | None:
+    def read_bytes(self, name: str) -> bytes | None:
         if not self.exists(name):
             return None
         stream = self.fs.open(self.at(name))
         try:
-            return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+            return bytes(stream.readAllBytes())
         finally:
             stream.close()
 
-    def write(self, name: str, text: str) -> None:
+    def read(self, name: str) -> str | None:
+        data = self.read_bytes(name)
+        return None if data is None else data.decode("utf-8", "replace")
+
+    def list(self, folders: bool = False) -> list[tuple[str, int]]:
+        """(name, size) of the files, or folders, right here, by name."""
+        if not self.exists():
+            return []
+        found = [(x.getPath().getName(), x.getLen()) for x in self.fs.listStatus(self.path) if x.isDirectory() == folders]
+        return sorted(found)
+
+    def make(self) -> None:
+        self.fs.mkdirs(self.path)
+
+    def move(self, to: str) -> None:
+        """The whole folder, if there is one."""
+        if self.exists():
+            self.fs.rename(self.path, self.jvm.org.apache.hadoop.fs.Path(to))
+
+    def remove(self) -> None:
+        if self.exists():
+            self.fs.delete(self.path, True)
+
+    def write(self, name: str, text: str | bytes) -> None:
         """Beside its place, then moved there."""
         spare = self.at(f".{name}.{uuid.uuid4().hex}")
         self.fs.mkdirs(self.path)
         out = self.fs.create(spare, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(text if isinstance(text, bytes) else text.encode()))
         out.close()
         if self.exists(name):
             self.fs.delete(self.at(name), False)
@@ -94,8 +127,7 @@ class Table:
             df.select(*self.schema.names).write.mode("append").parquet(f"{self.path}/{now}")
 
     def drop(self) -> None:
-        if self.files.exists():
-            self.files.fs.delete(self.files.path, True)
+        self.files.remove()
 
 
 class State:

@@ -1,10 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-sys.path[:0] = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
+HERE = [str(Path(__file__).parent.parent), str(Path(__file__).parent)]
+sys.path[:0] = HERE
+os.environ["PYTHONPATH"] = os.pathsep.join([*HERE, os.environ.get("PYTHONPATH", "")])  # workers read the stubs of the tests there
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.operators import graph
 from lodeworks.plans.engine import TRIPLES, Collection
-from lodeworks.sources import files
+from lodeworks.sources import convert, files
 
 
 def test_collection(spark, tmp_path):
@@ -31,7 +31,7 @@ def test_collection(spark, tmp_path):
 
 def test_csv(spark, tmp_path):
     (tmp_path / "massive.csv").write_text("Metric;A;B\nx; 1 ;2\n\ny;3;4\n")
-    rows = files.csv_elements(files.scan(spark, f"file://{tmp_path}")).orderBy("seq").collect()
+    rows = convert.elements(files.scan(spark, f"file://{tmp_path}")).orderBy("seq").collect()
     assert [r["type"] for r in rows] == ["heading", "table"]
     assert rows[1]["table_rows"] == [["Metric", "A", "B"], ["x", "1", "2"], ["y", "3", "4"]]
 
@@ -48,7 +48,7 @@ def test_index_failed(spark, tmp_path):
     assert c.index() == {"new": 2, "failed": 2}
     rows = {r["doc_id"]: r for r in c.chunks.read().collect()}
     assert set(rows) == {"a.txt", "t.csv"}
-    assert all(x in rows["t.csv"]["text"] for x in ("pump", "beta", "19")) and '"table"' in rows["t.csv"]["metadata"]
+    assert all(x in rows["t.csv"]["text"] for x in ("pump", "beta", "19")) and '"parts_table"' in rows["t.csv"]["metadata"]
     assert sorted(r["name"] for r in c.manifest.read().collect()) == ["a.txt", "t.csv"]
     assert c.index() == {"failed": 2}
     (data / "blank.txt").write_text("Not blank.")
@@ -61,5 +61,5 @@ def test_graph_context_whole(spark, tmp_path):
     c = Collection(spark, f"file://{tmp_path}/root", f"file://{tmp_path}")
     n = F.col("id").cast("string")
     rows = spark.range(300).select(*({"triple_id": n, "subject_name": F.concat(F.lit("sensor "), n), "predicate": F.lit("has"), "object_name": F.concat(F.lit("x"), n), "weight": F.lit(1.0)}.get(f.name, F.lit("c")).cast(f.dataType).alias(f.name) for f in TRIPLES))
-    c.triples.replace(rows.select(*graph.TRIPLE))
+    c.triples.replace(rows.select(*graph.STORED))
     assert len(c.graph_context("which sensor").split("\n")) == 300
