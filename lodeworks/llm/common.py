@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, computed once and written to the shared folder as Parquet. In loops of joins this is the way to cut: the optimiser then
+    knows the real size, where a checkpoint's is the product of what was joined, which grows beyond all numbers."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of what df reads."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -152,24 +161,24 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     live = edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     labels = None
     for turn in range(rounds):
-        dealt = cut(live.distinct())
+        dealt = written(live.distinct())
         left = dealt.count()
         if not left:
             break
-        live = cut(dealt.coalesce(-(-left // FOREST_EDGES)).mapInArrow(_forest, "u long, v long"))
+        live = written(dealt.coalesce(-(-left // FOREST_EDGES)).mapInArrow(_forest, "u long, v long"))
         rank = (lambda c: F.struct(c.alias("k"), c.alias("x"))) if turn % 2 == 0 else (lambda c, s=turn: F.struct(F.xxhash64(c, F.lit(s)).alias("k"), c.alias("x")))
         both = live.union(live.select("v", "u"))
         up = both.groupBy("u").agg(F.min(rank(F.col("v"))).alias("best")).select(F.col("u").alias("node"), F.least(F.col("best"), rank(F.col("u")))["x"].alias("p"))
-        up = cut(up)
+        up = written(up)
         if labels is None:
             labels = up.select("node", F.col("p").alias("comp"))
         else:
-            labels = cut(labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
+            labels = written(labels.join(up.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("p", "comp").alias("comp")))
         a, b = up.select(F.col("node").alias("u"), F.col("p").alias("pu")), up.select(F.col("node").alias("v"), F.col("p").alias("pv"))
         live = live.join(a, "u").join(b, "v").where("pu <> pv").select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v"))
     else:
         raise RuntimeError("components did not settle")
     if labels is None:
         return live.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    low = labels.groupBy("comp").agg(F.min("node").alias("low"))
+    low = written(labels.groupBy("comp").agg(F.min("node").alias("low")))  # written first, so that a join on a large component is split
     return labels.join(low, "comp").select("node", F.col("low").alias("comp"))

@@ -297,9 +297,9 @@ def lowest(rows: DataFrame, comp: DataFrame, first: Column) -> DataFrame:
     """(cls, low) for each class of rows with shingles: the least value of first in its component. Copies are folded into
     their class by partial aggregation before anything is joined."""
     own = rows.where("n > 0").groupBy("cls").agg(F.min(first).alias("own"))
-    placed = own.join(comp, F.expr("cls = node"), "left").select("cls", "own", F.coalesce("comp", "cls").alias("comp"))
-    low = placed.groupBy("comp").agg(F.min("own").alias("low"))
-    return placed.join(low, "comp").select("cls", "low")
+    placed = cut(own.join(comp, F.expr("cls = node"), "left").select("cls", "own", F.coalesce("comp", "cls").alias("comp")))
+    low = cut(placed.groupBy("comp").agg(F.min("own").alias("low")))
+    return cut(placed.join(low, "comp").select("cls", "low"))  # written first, as then a join on a hot class is split
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, **options) -> DataFrame:

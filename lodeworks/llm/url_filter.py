@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for the end of a path among the segments; no path has it, as a path is cut at ?.
@@ -63,13 +63,14 @@ def grow(live: DataFrame, tree: Tree) -> DataFrame:
     Branches that don't differ from their siblings are one wildcard, if their node has labels or its segment is a variable; those that do
     differ are one wildcard a direction where they agree with each other, else they keep their segment."""
     live = live.withColumn("s", F.coalesce(F.get("parts", F.col("depth")), F.lit(END)))
-    branch = cut(live.groupBy("host", "t", "p", "s").agg(F.sum("n").alias("n"), F.sum("judged").alias("judged"), F.sum("blocked").alias("blocked")))
+    branch = written(live.groupBy("host", "t", "p", "s").agg(F.sum("n").alias("n"), F.sum("judged").alias("judged"), F.sum("blocked").alias("blocked")))
     sums = [F.sum("judged").alias("j1"), F.sum("blocked").alias("b1")]
-    family = branch.groupBy("host", "t").agg(F.count("*").alias("values"), F.sum("n").alias("rows"), *sums)
+    # what is joined is written first: only then is a join on a hot host's key split at run time
+    family = written(branch.groupBy("host", "t").agg(F.count("*").alias("values"), F.sum("n").alias("rows"), *sums))
     b = branch.join(family, ["host", "t"]).withColumn("far", differs("judged", "blocked", "j1", "b1", tree.differ))
     above = F.col("blocked") * F.col("j1") > F.col("b1") * F.col("judged")
-    b = cut(b.withColumn("way", F.when(F.col("far"), F.when(above, F.lit("*+")).otherwise(F.lit("*-")))))
-    alike = b.where("way is not null").groupBy("host", "t", "way").agg(F.count("*").alias("ways"), F.sum("judged").alias("j2"), F.sum("blocked").alias("b2"))
+    b = written(b.withColumn("way", F.when(F.col("far"), F.when(above, F.lit("*+")).otherwise(F.lit("*-")))))
+    alike = written(b.where("way is not null").groupBy("host", "t", "way").agg(F.count("*").alias("ways"), F.sum("judged").alias("j2"), F.sum("blocked").alias("b2")))
     b = b.join(alike, ["host", "t", "way"], "left")
     variable = (F.col("values") >= tree.values) & (F.col("values") >= tree.share * F.col("rows"))
     own = F.when(F.col("s").isin("*", "*+", "*-"), F.concat(F.lit("\\"), "s")).otherwise(F.col("s"))
@@ -77,8 +78,9 @@ def grow(live: DataFrame, tree: Tree) -> DataFrame:
     name = name.when(F.col("way").isNotNull(), own).when(((F.col("j1") > 0) & (F.col("values") > 1)) | variable, F.lit("*")).otherwise(own)
     b = b.select("host", "t", "p", "s", F.concat("t", F.lit("/"), name).alias("child"), "judged", "blocked")
     purity = (F.sum("blocked") + F.lit(tree.prior) * F.col("p")) / (F.sum("judged") + F.lit(tree.prior))
-    node = b.groupBy("host", "t", "p", "child").agg(purity.alias("q")).select("host", "child", "q")
-    place = b.select("host", "t", "s", "child").join(node, ["host", "child"])
+    b = written(b)
+    node = written(b.groupBy("host", "t", "p", "child").agg(purity.alias("q")).select("host", "child", "q"))
+    place = written(b.select("host", "t", "s", "child").join(node, ["host", "child"]))
     went = live.join(place, ["host", "t", "s"])
     return went.select("host", "path", "parts", "n", "judged", "blocked", (F.col("depth") + 1).alias("depth"), F.col("child").alias("t"), F.col("q").alias("p"))
 
@@ -97,22 +99,22 @@ def judge(pages: DataFrame, rules=RULES, tree: Tree = Tree()) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     blocked = F.sum((F.coalesce(F.col("ruled"), F.lit("")) == "block").cast("long")).alias("blocked")
-    urls = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("ruled").alias("judged"), blocked))
+    urls = written(rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count("ruled").alias("judged"), blocked))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     every = urls.agg(((total("blocked") + 1) / (total("judged") + 2)).alias("every"))
     root = urls.groupBy("host").agg(F.sum("judged").alias("j"), F.sum("blocked").alias("b")).crossJoin(F.broadcast(every))  # one row
-    root = root.select("host", ((F.col("b") + F.lit(tree.prior) * F.col("every")) / (F.col("j") + F.lit(tree.prior))).alias("p"))
+    root = written(root.select("host", ((F.col("b") + F.lit(tree.prior) * F.col("every")) / (F.col("j") + F.lit(tree.prior))).alias("p")))
     parts = F.split(F.regexp_replace("path", r"^/", ""), "/")
-    live = cut(urls.join(root, "host").select("host", "path", parts.alias("parts"), "n", "judged", "blocked", F.lit(0).alias("depth"), F.lit("").alias("t"), "p"))
+    live = written(urls.join(root, "host").select("host", "path", parts.alias("parts"), "n", "judged", "blocked", F.lit(0).alias("depth"), F.lit("").alias("t"), "p"))
     done = []
     while not live.isEmpty():
-        live = cut(grow(live, tree))
-        many = live.groupBy("host", "t").agg((F.count("*") > 1).alias("many"))
-        live = cut(live.join(many, ["host", "t"]))
+        live = written(grow(live, tree))
+        many = written(live.groupBy("host", "t").agg((F.count("*") > 1).alias("many")))
+        live = written(live.join(many, ["host", "t"]))
         on = F.col("many") & (F.col("depth") <= F.size("parts"))
         done.append(live.where(~on).select("host", "path", "t", "p"))
         live = live.where(on).drop("many")
     found = reduce(DataFrame.union, done) if done else live.select("host", "path", "t", "p")
-    out = rows.join(found, ["host", "path"])
+    out = rows.join(written(found), ["host", "path"])
     method = F.when(F.col("p") >= tree.block, F.lit("block")).otherwise(F.lit("allow"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), F.col("t").alias("template"), F.col("p").alias("purity"))

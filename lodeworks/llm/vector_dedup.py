@@ -202,7 +202,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, block_ro
     counts = linked.groupBy("node").agg(F.sum("n").alias("n"))
     comp = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     told = distinct.select("h1", "h2", F.col("vec_id").alias("node"), "copies").join(counts, "node", "left").join(comp, "node", "left")
-    told = told.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("comp", "node").alias("comp"))
+    told = cut(told.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("comp", "node").alias("comp")))  # written first, as then a join on a hot copy is split
     known = good.select("vec_id", "h1", "h2").join(told, ["h1", "h2"]).select("vec_id", "n", "comp")
     out = vectors.select("vec_id").join(known, "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", F.col("vec_id").cast("long")).alias("component_id"))
