@@ -135,6 +135,8 @@ WORDS = len(HINTS) + BUCKETS
 WIDTH = COUNTS + len(TAGS) + 2 * WORDS
 
 
+#: Tags that say what their box is for; they count as attribute tokens, so that what is below them knows of them.
+NAMED = frozenset("nav header footer aside article main form".split())
 TAG_AT = {t: COUNTS + i for i, t in enumerate(TAGS)}
 HINT_AT = {w: COUNTS + len(TAGS) + i for i, w in enumerate(HINTS)}
 
@@ -174,7 +176,7 @@ def features(nodes: list[Node]) -> np.ndarray:
         at = TAG_AT.get(node.tag)
         if at:
             x[k, at] = 1
-        for w in node.words:
+        for w in (*node.words, node.tag) if node.tag in NAMED else node.words:
             x[k, token_place(w)] = 1
     own, above = slice(COUNTS + len(TAGS), COUNTS + len(TAGS) + WORDS), slice(WIDTH - WORDS, WIDTH)
     if x[:, own].any():
@@ -203,33 +205,33 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 24, ridge: float = 1.0) -> Trees:
-    """Newton boosting with quantile histograms."""
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, rate: float = 0.25, bins: int = 24, ridge: float = 1.0) -> Trees:
+    """Newton boosting with quantile histograms of all features at once."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
-    code = np.column_stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
+    used = [j for j, e in enumerate(edges) if len(e)]
+    place = np.column_stack([np.searchsorted(edges[j], x[:, j], side="left") + bins * k for k, j in enumerate(used)])
     base = float(np.log(max(y.mean(), 1e-6) / max(1 - y.mean(), 1e-6)))
     f, inner = np.full(len(y), base), 2**depth - 1
     feature, cuts, leaves = np.zeros((rounds, inner), np.int64), np.full((rounds, inner), np.inf), np.zeros((rounds, inner + 1))
+
+    def upto(rows: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Sums of value over the rows up to each bin of each feature."""
+        sums = np.bincount(place[rows].ravel(), np.repeat(value[rows], len(used)), bins * len(used))
+        return np.cumsum(sums.reshape(len(used), bins), axis=1)
+
     for t in range(rounds):
         p = 1 / (1 + np.exp(-f))
         g, h = y - p, p * (1 - p)
         at = np.zeros(len(y), np.int64)
         for node in range(inner):
             here = np.flatnonzero(at == node)
-            best = (1e-6, 0, np.inf, 0)
             if len(here) > 10:
-                for j, e in enumerate(edges):
-                    if not len(e):
-                        continue
-                    c = code[here, j]
-                    gs, hs = np.cumsum(np.bincount(c, g[here], len(e) + 1))[:-1], np.cumsum(np.bincount(c, h[here], len(e) + 1))[:-1]
-                    G, H = g[here].sum(), h[here].sum()
-                    gain = gs**2 / (hs + ridge) + (G - gs) ** 2 / (H - hs + ridge) - G**2 / (H + ridge)
-                    k = int(gain.argmax())
-                    if gain[k] > best[0]:
-                        best = (float(gain[k]), j, float(e[k]), k)
-            _, feature[t, node], cuts[t, node], k = best
-            at[here] = 2 * node + 1 + (x[here, best[1]] > best[2])
+                gs, hs, G, H = upto(here, g), upto(here, h), g[here].sum(), h[here].sum()
+                gain = gs**2 / (hs + ridge) + (G - gs) ** 2 / (H - hs + ridge) - G**2 / (H + ridge)
+                j, k = divmod(int(gain.argmax()), bins)
+                if gain[j, k] > 1e-6 and k < len(edges[used[j]]):
+                    feature[t, node], cuts[t, node] = used[j], edges[used[j]][k]
+            at[here] = 2 * node + 1 + (x[here, feature[t, node]] > cuts[t, node])
         at -= inner
         for k in range(inner + 1):
             here = at == k
@@ -324,8 +326,9 @@ def sample_page(rnd: random.Random) -> tuple[str, set[str]]:
 
 
 @lru_cache(maxsize=2)
-def train(pages: int = 400, seed: int = 3) -> Trees:
-    """Trees fitted on invented pages, a documented and fixed sample: the table has no marked pages to learn from."""
+def train(pages: int = 600, seed: int = 3) -> Trees:
+    """Trees fitted on invented pages, a documented and fixed sample: the table has no marked pages to learn from. What they tell of
+    a node is whether all of its text is of the article."""
     rnd, xs, ys = random.Random(seed), [], []
     for _ in range(pages):
         page, kept = sample_page(rnd)
@@ -339,25 +342,25 @@ def train(pages: int = 400, seed: int = 3) -> Trees:
             good[id(node)] = (a, b)
         with_text = [k for k, node in enumerate(nodes) if good[id(node)][1]]
         xs.append(features(nodes)[with_text])
-        ys.append(np.array([2 * good[id(nodes[k])][0] >= good[id(nodes[k])][1] for k in with_text], float))
+        ys.append(np.array([good[id(nodes[k])][0] == good[id(nodes[k])][1] for k in with_text], float))
     return boost(np.concatenate(xs), np.concatenate(ys))
 
 
 OPEN, IN, OUT = 0, 1, 2
-#: Log odds that a part of an article isn't of it, and that a box without text of its own opens a smaller article.
-LEAVE, PASS = -4.5, 0.0
+#: Log odds that a part of an article isn't of it.
+LEAVE = -4.5
 
 
 def decode(nodes: list[Node], logits: np.ndarray) -> list[int]:
     """The best states of all nodes: OPEN above the article, IN the article, OUT elsewhere. Below OUT all is OUT; below IN there is
-    IN or, at a price, OUT; only OPEN has any below it, and text of its own counts as OUT. So no dropped node has a kept one below
+    IN or, at a price, OUT; only OPEN has any below it, and counts as not of the article, as its own text isn't. So no dropped node has a kept one below
     it, and the article's parts stand together unless their own evidence is strong."""
     kept, lost = (-np.logaddexp(0, -logits)).tolist(), (-np.logaddexp(0, logits)).tolist()
     n = len(nodes)
     opened, inside, out = [0.0] * n, [0.0] * n, [0.0] * n
     for k in range(n - 1, -1, -1):
         node = nodes[k]
-        o, i, x = (PASS if not node.text else lost[k]), kept[k], lost[k]
+        o, i, x = lost[k], kept[k], lost[k]
         if node.tag in NEVER:
             o = i = -1e9
         for c in node.children:

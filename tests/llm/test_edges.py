@@ -1,5 +1,6 @@
 """Cases at the edge: tiny slices, repeated and missing ids, clashing columns, empty tables, hot groups."""
 
+import html
 import math
 import random
 import re
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeworks.llm import ngram_join, queries, source_mixing, toxicity, url_filter, vector_dedup, vector_search
+from lodeworks.llm import html_extraction, ngram_join, queries, source_mixing, toxicity, url_filter, vector_dedup, vector_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -232,3 +233,45 @@ def test_url_tree(spark):
     by = {r["path"]: r for r in got if r["host"] == "shop.com"}
     assert by["/xx/1/p"]["rule"] is None and by["/xx/1/p"]["verdict"] == "block"
     assert any(r["template"].startswith("/a/b/c/d/e/f/g/*") for r in got if r["host"] == "deep.net")
+
+
+def test_html_held_out():
+    """On invented pages that the trees have not seen nearly all blocks of the article are kept, and hardly any other."""
+    rnd, trees, kept_, missed, extra = random.Random(99), html_extraction.train(), 0, 0, 0
+    for _ in range(200):
+        page, kept = html_extraction.sample_page(rnd)
+        nodes = html_extraction.walk(html_extraction.parse(page))
+        got = set(re.findall(r"m\d+q", html_extraction.blocks(nodes, html_extraction.decode(nodes, trees.logits(html_extraction.features(nodes))))))
+        kept_, missed, extra = kept_ + len(kept), missed + len(kept - got), extra + len(got - kept)
+    print("held-out blocks", kept_, "missed", missed, "extra", extra)
+    assert missed <= 0.05 * kept_ and extra <= 0.02 * kept_
+
+
+def test_html_real_pages(spark):
+    """The text of every page of a table is that of its article element, told by a plain reading of the tags."""
+    got = {r["page_id"]: r["text"] for r in queries.QUERIES["op5_html_extraction"](spark, "/root/testdata/sf0.001").collect()}
+    rows, wrong = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect(), 0
+    for r in rows:
+        inner = re.search(r"(?s)<article>(.*?)(?:</article>|<footer|$)", r["html"])[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "<br" in b else "", b)).split()) for b in re.split(r"</?(?:h1|p|article|ul|li|div)[^>]*>", inner)]
+        wrong += got[r["page_id"]] != "\n\n".join(b for b in blocks if b)
+    assert rows and wrong <= 0.01 * len(rows)
+
+
+def test_html_inline():
+    """Formulas, drawings, frames and unknown elements inside a paragraph keep their text."""
+    page = "<html><body><nav><a href='/a'>a</a></nav><article><h1>A title of some words</h1><p>The area is <math><mi>x</mi></math>, <svg><text>y</text></svg> and <iframe>z</iframe><template>t</template> <odd>w</odd>, and prose goes on for long enough.</p><script>no</script></article></body></html>"
+    nodes = html_extraction.walk(html_extraction.parse(page))
+    text = html_extraction.blocks(nodes, html_extraction.decode(nodes, html_extraction.train().logits(html_extraction.features(nodes))))
+    assert text.split("\n\n")[1] == "The area is x, y and zt w, and prose goes on for long enough."
+
+
+def test_html_tokens():
+    """Unknown attribute tokens fall into hash buckets, known ones have features of their own."""
+    assert html_extraction.token_place("nav") != html_extraction.token_place("footer")
+    place = html_extraction.token_place("zzz-unknown")
+    first = html_extraction.COUNTS + len(html_extraction.TAGS) + len(html_extraction.HINTS)
+    assert first <= place < first + html_extraction.BUCKETS
+    nodes = html_extraction.walk(html_extraction.parse("<div class='zzzunknown'><p>x</p></div>"))
+    x = html_extraction.features(nodes)
+    assert x[1, html_extraction.token_place("zzzunknown")] == 1 and x[2].sum() > 0
