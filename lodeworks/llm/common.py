@@ -47,18 +47,25 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimiser's estimate of what df reads."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def input_bytes(df: DataFrame, column: str = "text") -> int:
+    """The optimiser's estimate of what df reads; where it has none, the bytes of column, counted."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0)
 
 
 def bucket_count(size: int, each: int, least: int = 24, knee: int = 4096) -> int:
     """Buckets for size bytes of input: one for each bytes up to knee buckets, then growing with the root of the size, so that a
-    slice's share of a bucket doesn't shrink to nothing. There is no upper limit. Where the optimiser has no estimate, knee."""
-    wanted = max(least, size // each) if size < 1 << 60 else knee
+    slice's share of a bucket doesn't shrink to nothing. There is no upper limit."""
+    wanted = max(least, size // each)
     return int(wanted if wanted <= knee else (knee * wanted) ** 0.5)
 
 
+def dealt(df: DataFrame, number: str, many: int, most: int = 1 << 15) -> DataFrame:
+    """df with the rows of each number 0 .. many - 1 in a partition of its own, so that a task's share is one bucket at any size of
+    the input; beyond `most` partitions a task goes through several buckets, one after the other."""
+    return df.repartitionById(min(many, most), F.col(number))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Slices of batch with about limit bytes of text each; a longer text stands alone. Null texts become empty."""
     at = batch.schema.get_field_index(column)

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, components, cut, hashes_of, input_bytes, mix, split_words, text_slices
+from .common import bucket_count, components, cut, dealt, hashes_of, input_bytes, mix, split_words, text_slices
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: One salt for each place in a shingle.
@@ -284,7 +284,7 @@ def classes(docs: DataFrame, words: int = 5, threshold: int = 80, bucket_bytes:
     marked = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
     buckets = bucket_count(input_bytes(docs), bucket_bytes)
     posted = marked.mapInArrow(post(buckets, words), POSTED)
-    gathered = cut(posted.groupBy("bucket").applyInArrow(gather, GATHERED))
+    gathered = cut(dealt(posted, "bucket", buckets).groupBy("bucket").applyInArrow(gather, GATHERED))
     shared = gathered.where("codes is not null")
     # a prefix reaches shared shingles only if the class shares all but one of those that a partner needs
     may = shared.groupBy("cls").agg(F.sum(F.length("freqs") / 4).alias("m"), F.max("n").alias("n"))

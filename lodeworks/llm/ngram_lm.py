@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, hashes_of, input_bytes, shared_dir, split_words, text_slices
+from .common import bucket_count, dealt, hashes_of, input_bytes, shared_dir, split_words, text_slices
 from .ngram_join import packed, unpacked
 
 #: The end of a text is a token of its own; no word has a space in it.
@@ -395,13 +395,21 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
         store.put(f"1-{b}.count", counts)
         return pa.table({"bucket": [b], "n": [len(keys)], "total": [int(counts.sum())], "most": [0]}, schema=DONE)
 
+    def merged_counts(counts: DataFrame) -> DataFrame:
+        """Counts of all slices, merged by bucket and slot."""
+        whole = counts.withColumn("place", F.col("bucket") * SLOTS + F.col("slot"))
+        return dealt(whole, "place", buckets * SLOTS).groupBy("place").applyInArrow(merge, COUNTED)
+
+    def by_bucket(counts: DataFrame, write) -> DataFrame:
+        return dealt(counts, "bucket", buckets).groupBy("bucket").applyInArrow(write, DONE_DDL)
+
     def offsets(done: dict[int, int]) -> tuple[int, ...]:
         return tuple(np.concatenate([[0], np.cumsum([done.get(b, 0) for b in range(buckets)])]).tolist())
 
     def collect(df: DataFrame) -> list:
         return df.groupBy("bucket").agg(F.max("n").alias("n"), F.max("total").alias("total"), F.max("most").alias("most")).collect()
 
-    words = collect(texts.mapInArrow(count_words, COUNTED).groupBy("bucket", "slot").applyInArrow(merge, COUNTED).groupBy("bucket").applyInArrow(write_words, DONE_DDL))
+    words = collect(by_bucket(merged_counts(texts.mapInArrow(count_words, COUNTED)), write_words))
     levels = Levels(levels.uri, buckets, offsets({r["bucket"]: r["n"] for r in words}), sum(r["total"] for r in words))
     if not levels.tokens:
         return levels
@@ -424,7 +432,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
 
     # every bucket with words has a shard, if an empty one
     none = spark.createDataFrame([(b, 0, packed(np.zeros(0, np.uint64), 8), small(np.zeros(0))) for b in range(buckets) if levels.words[b + 1] > levels.words[b]], COUNTED)
-    pairs = collect(texts.mapInArrow(count_pairs, COUNTED).groupBy("bucket", "slot").applyInArrow(merge, COUNTED).unionByName(none).groupBy("bucket").applyInArrow(write_pairs, DONE_DDL))
+    pairs = collect(by_bucket(merged_counts(texts.mapInArrow(count_pairs, COUNTED)).unionByName(none), write_pairs))
     levels = Levels(levels.uri, buckets, levels.words, levels.tokens, offsets({r["bucket"]: r["n"] for r in pairs}), 1 + max(r["most"] for r in pairs))
 
     def count_triples(batches):
@@ -444,7 +452,7 @@ def learn(docs: DataFrame, bucket_bytes: int = 16 << 20) -> Levels:
         write_level(Store(levels.uri), f"3-{b}", keys, counts, len(pair_counts), levels.span, pair_counts)
         return pa.table({"bucket": [b], "n": [len(keys)], "total": [0], "most": [0]}, schema=DONE)
 
-    collect(texts.mapInArrow(count_triples, COUNTED).groupBy("bucket", "slot").applyInArrow(merge, COUNTED).unionByName(none).groupBy("bucket").applyInArrow(write_triples, DONE_DDL))
+    collect(by_bucket(merged_counts(texts.mapInArrow(count_triples, COUNTED)).unionByName(none), write_triples))
     return levels
 
 

@@ -319,8 +319,11 @@ def test_components(spark):
 
 
 def test_pipeline(spark):
+    """run() gives the pieces of what its stages give; tests of each stage are in test_queries."""
     import corpus_pipeline
 
-    pieces = corpus_pipeline.run(spark, SF)
-    assert pieces.count() > 0
+    pieces = corpus_pipeline.run(spark, SF).collect()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "source_mixing", "packing"]
+    assert all(0 < r["length"] <= 2048 and r["start"] + r["length"] <= r["doc_tokens"] for r in pieces)
+    ids = {r["doc_id"] for r in pieces}
+    assert ids <= {r["doc_id"] for r in queries.table(spark, SF, "documents").select("doc_id").collect()} and len(ids) > 100
