@@ -103,12 +103,16 @@ def stages(spark):
     return out
 
 
-def test_toxicity_stage(spark, stages):
-    docs, kept = stages[0]
-    bad = {r["doc_id"] for r in queries.op4_toxicity(spark, SF).collect() if r["predicted"]}
+def test_toxicity_stage(spark):
+    """What op4 predicts to be toxic goes, all else stays as it was. On sf0.01, as sf0.001 has too few labels to learn from."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.toxicity_stage(spark, docs, sf)
+    bad = {r["doc_id"] for r in queries.op4_toxicity(spark, sf).collect() if r["predicted"]}
     assert bad and kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in docs.collect() if r["doc_id"] not in bad)
-    assert all(docs.where(f"doc_id = {r['doc_id']}").first() == r for r in kept.limit(5).collect())
+    assert sorted(map(repr, kept.collect())) == sorted(repr(r) for r in docs.collect() if r["doc_id"] not in bad)
 
 
 def test_join_stage(stages):
