@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,16 +29,24 @@ def rerank(candidates: DataFrame, score: Column, k: int | None = None, order: st
 
 
 def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096, most_queries: int = 20_000) -> DataFrame:
-    """query_id, vec_id, score, rank: k best vectors for each of a bounded set of queries (query_id, embedding).
-
-    The queries go to every task; each task multiplies blocks of its vectors with all of them and keeps k a query, so only
-    k rows a query and task are shuffled. More queries than most_queries are refused: they would have to be split by the caller.
-    """
-    asked = queries.select("query_id", "embedding").limit(most_queries + 1).toPandas()
-    if len(asked) > most_queries:
-        raise ValueError(f"more than {most_queries} queries at once")
+    """query_id, vec_id, score, rank: k best vectors for each query (query_id, embedding).
+
+    The queries go to every task; each task multiplies blocks of its vectors with all of them and keeps k a query, so only k rows a
+    query and task are shuffled. More than most_queries are dealt by a hash into parts of about half as many, one pass over the
+    vectors for each part, so that what goes to a task stays bounded."""
+    many = queries.count()
+    parts = 1 if many <= most_queries else -(-2 * many // most_queries)
+    dealt = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    found = [_top_of_part(queries.where(dealt == p) if parts > 1 else queries, vectors, k, block) for p in range(parts)]
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _top_of_part(queries: DataFrame, vectors: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score) of each task's k best for each of the queries, which fit in memory."""
+    asked = queries.select("query_id", "embedding").toPandas()
     if asked.empty:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     ids, q = asked["query_id"].to_numpy(), np.array(asked["embedding"].tolist(), np.float64)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -52,9 +61,7 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int =
         out = pd.DataFrame({"query_id": np.repeat(ids, k), "vec_id": best_v.ravel(), "score": best_s.ravel()})
         yield out[np.isfinite(out["score"])]
 
-    found = vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, score double")
 
 
 def first_seen(df: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:

@@ -78,3 +78,34 @@ def test_rerank(spark):
     assert search.over_fetch(5) == 15
     assert search.over_fetch(30) == 50
     assert math.isclose(one(spark, rules.clamp(F.lit(1.7))), 1.0)
+
+
+def test_batch_top_k(spark):
+    """Many queries are split into parts; each has its k nearest all the same."""
+    import numpy as np
+
+    x = np.random.default_rng(2).standard_normal((120, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    got = {}
+    for r in search.batch_top_k(asked, df, 3, block=50, most_queries=40).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    assert all([got[i][k] for k in (1, 2, 3)] == sorted(range(120), key=lambda j: (-float(x[i] @ x[j]), j))[:3] for i in range(120))
+    assert search.batch_top_k(asked.limit(0), df).count() == 0
+
+
+def test_time_grows_with_length(spark):
+    """Windows, stripped lines and preambles of a text four times as long take far less than sixteen times as long."""
+    import time
+
+    def took(column, n):
+        df = spark.createDataFrame([("word " * n,)], "t string")
+        runs = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.select(F.xxhash64(column)).collect()
+            runs.append(time.perf_counter() - start)
+        return min(runs)
+
+    for column in (chunking.word_windows(F.col("t"), 400, 80), chunking.char_windows(text.strip(F.col("t"))), text.dedup_lines(F.regexp_replace("t", " ", "\n"))):
+        assert took(column, 160_000) < 10 * took(column, 40_000) + 0.5
