@@ -426,6 +426,8 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
                 for p, n in zip(parsed, sizes, strict=True):
                     texts.append(blocks(p, decode(p, logits[at : at + n])) if n else "")
                     at += n
-                yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+                told = [part.column("page_id").cast(pa.int64()), part.column("url").cast(pa.string())]
+                cols = [*told, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -189,6 +189,10 @@ def parities(code: np.ndarray) -> list[int]:
 
 
 SIGNED = "cls long, n int, m int, matches int, codes binary, prefix array<long>, bits array<long>, common double"
+SIGNED_ARROW = pa.schema([
+    ("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()),
+    ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("common", pa.float64()),
+])
 
 
 def sign(threshold: int):
@@ -199,11 +203,11 @@ def sign(threshold: int):
         freq = np.concatenate([np.frombuffer(f, "<u4") for f in group.column("freqs").to_pylist()])
         order = np.lexsort((code, freq))
         matches, k = prefix_length(n, n - len(code), freq[order], threshold)
-        schema = pa.schema([("cls", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("matches", pa.int32()), ("codes", pa.binary()), ("prefix", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())), ("common", pa.float64())])
         if not k:
-            return schema.empty_table()
+            return SIGNED_ARROW.empty_table()
         head = code[order[:k]].astype(np.int64).tolist()
-        return pa.table([pa.array([group.column("cls")[0].as_py()], pa.int64()), pa.array([n], pa.int32()), pa.array([len(code)], pa.int32()), pa.array([matches], pa.int32()), pa.array([packed(np.sort(code), 6)], pa.binary()), pa.array([head], pa.list_(pa.int64())), pa.array([parities(code)], pa.list_(pa.int64())), pa.array([float(freq.sum()) / n])], schema=schema)
+        told = {"cls": group.column("cls")[0].as_py(), "n": n, "m": len(code), "matches": matches, "codes": packed(np.sort(code), 6)}
+        return pa.Table.from_pylist([told | {"prefix": head, "bits": parities(code), "common": float(freq.sum()) / n}], schema=SIGNED_ARROW)
 
     return run
 
@@ -244,7 +248,9 @@ def link_classes(sets: DataFrame, threshold: int, rounds: int = 1, looks: int =
         # that it meets most often
         by_hash = Window.partitionBy("code").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
         some = [F.first("cls").over(by_common), F.lag("cls").over(by_common), *(F.lag("cls", k).over(by_hash) for k in (1, 2, 3))]
-        near = listed.select("cls", *(c.alias(f"c{k}") for k, c in enumerate(some))).select("cls", F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(len(some)))))).alias("x")).where("x <> cls")
+        near = listed.select("cls", *(c.alias(f"c{k}") for k, c in enumerate(some)))
+        each = F.explode(F.array_distinct(F.array(*(f"c{k}" for k in range(len(some))))))
+        near = near.select("cls", each.alias("x")).where("x <> cls")
         met = near.groupBy("cls", "x").agg(F.count("*").alias("met"))
         best = Window.partitionBy("cls").orderBy(F.desc("met"), "x")
         pairs = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= looks).select(F.least("cls", "x").alias("u"), F.greatest("cls", "x").alias("v")).distinct()

@@ -178,7 +178,10 @@ def write_level(store: Store, name: str, keys: np.ndarray, counts: np.ndarray, c
     code, book = quantised(np.log10(share))
     left_code, left_book = quantised(np.log10(np.clip(left, 1e-9, 1)))
     parts = {f"keys.{k}": v for k, v in EliasFano.of(keys).arrays().items()} | {f"pointers.{k}": v for k, v in EliasFano.of(pointers).arrays().items()}
-    for k, v in (parts | {"code": code, "book": book, "left_code": left_code, "left_book": left_book} | ({"counts": counts.astype(np.min_scalar_type(counts.max(initial=0)))} if keep_counts else {})).items():
+    parts |= {"code": code, "book": book, "left_code": left_code, "left_book": left_book}
+    if keep_counts:
+        parts["counts"] = counts.astype(np.min_scalar_type(counts.max(initial=0)))
+    for k, v in parts.items():
         store.put(f"{name}.{k}", v)
 
 
@@ -499,7 +502,9 @@ def score(docs: DataFrame, levels: Levels, held_out: Column) -> DataFrame:
                 many = len(part)
                 cols = [np.bincount(doc, minlength=many), np.bincount(doc, seen > 0, many).astype(np.int64)]
                 sums = [np.bincount(doc, np.log10(x), many) for x in (word, p)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("held_out"), *(pa.array(c.astype(np.int64)) for c in cols), pa.array(np.full(many, n, np.int64)), *(pa.array(s) for s in sums)], names=SCORED)
+                told = [part.column("doc_id").cast(pa.int64()), part.column("held_out")]
+                numbers = [*(c.astype(np.int64) for c in cols), np.full(many, n, np.int64), *sums]
+                yield pa.RecordBatch.from_arrays([*told, *map(pa.array, numbers)], names=SCORED)
 
     return docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

@@ -77,7 +77,13 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dup, op2_source_mixing, op3_lm_scoring, op4_toxicity, op5_html_extraction, op6_ann_search, op7_url_filter, op8_token_counts, op9_ngram_jaccard_join, op10_packing, pipeline)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dup, op2_source_mixing, op3_lm_scoring, op4_toxicity, op5_html_extraction, op6_ann_search,
+        op7_url_filter, op8_token_counts, op9_ngram_jaccard_join, op10_packing, pipeline,
+    )
+}
 
 ORACLES = {
     "op2_source_mixing": r"""

@@ -117,6 +117,8 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
                 codes, distinct = word_codes(words)
                 total = np.concatenate([[0], np.cumsum(counts_of.of(distinct)[codes])])
                 ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array((total[ends] - total[ends - counts]).astype(np.int64))], names=["doc_id", "n_words", "n_tokens"])
+                pieces = (total[ends] - total[ends - counts]).astype(np.int64)
+                cols = [part.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(pieces)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -192,7 +192,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.93, block_ro
     kind = np.float32 if isinstance(distinct.schema["embedding"].dataType.elementType, T.FloatType) else np.float64
     celled = cut(in_cells(distinct.drop("h1", "h2"), threshold, kind, salt_rows))
     place = ["label", "dim", "cell"]
-    blocks = celled.groupBy(*place).agg(F.ceil(F.sum(F.col("inner").cast("int")) / F.lit(block_rows)).cast("int").alias("lefts"), F.ceil(F.count("*") / F.lit(2 * block_rows)).cast("int").alias("rights"))
+    lefts = F.ceil(F.sum(F.col("inner").cast("int")) / F.lit(block_rows)).cast("int").alias("lefts")
+    rights = F.ceil(F.count("*") / F.lit(2 * block_rows)).cast("int").alias("rights")
+    blocks = celled.groupBy(*place).agg(lefts, rights)
     dealt = celled.join(blocks, place)
     home = lambda seed, parts: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
