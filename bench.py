@@ -11,7 +11,11 @@ from pyspark.sql import SparkSession
 
 from lodeworks.plans import catalogue
 
-HEADLINE = ("chunk_char_window", "chunk_word_window", "chunk_passthrough_rows", "knn_topk_cosine", "knn_batch_per_query", "triple_build", "triple_node_dedup", "triple_edge_dedup", "graph_context_like", "hybrid_context", "manifest_delta", "embedding_cache_hit", "massive_entity_profile")
+HEADLINE = (
+    "chunk_char_window", "chunk_word_window", "chunk_passthrough_rows", "chunk_sentence_window", "consecutive_line_dedup", "knn_topk_cosine",
+    "knn_batch_per_query", "triple_build", "triple_node_dedup", "triple_canonical_nodes", "triple_edge_dedup", "graph_context_like",
+    "hybrid_context", "manifest_delta", "embedding_cache_hit", "massive_entity_profile", "short_chunk_merge", "reply_triple_parse",
+)
 
 
 def main() -> None:

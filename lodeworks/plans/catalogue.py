@@ -746,6 +746,13 @@ def preliminary_types(spark, d):
     return t(spark, d, "conversations").select("conv_id", "turn", rules.preliminary_type(kind, F.when(F.col("turn") % 4 != 2, F.col("turn") % 4 == 1)).alias("chunk_type"))
 
 
+@query(f"""WITH {STAR}, n AS (SELECT DISTINCT lower(replace(object_name, ' ', '_')) AS name FROM star)
+SELECT name, array_to_string(list_transform(string_split(replace(name, '_', ' '), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS label FROM n""")
+def title_labels(spark, d):
+    n = star_triples(spark, d).select(F.lower(F.regexp_replace("object_name", " ", "_")).alias("name")).distinct()
+    return n.select("name", text.title_label(F.col("name")).alias("label"))
+
+
 @query()
 def chunk_separator_window(spark, d):
     """Long texts cut at the best separator; tests/test_documents.py holds it against a plain statement of the rule."""

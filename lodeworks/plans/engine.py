@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.ids import content_hash
 from ..functions.text import normalise_space, query_tokens, stem, strip
 from ..operators import chunking, delta, documents, extraction, graph, search, tables
 from ..sources import convert, files, store

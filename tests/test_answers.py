@@ -159,6 +159,7 @@ def test_search_modes(spark, folder):
     assert len(keys) == len(set(keys)) and len(out["rewrite"].queries) == 3 and 2 <= len(keys) <= 6
     out = c.answer("Gateway", "hybrid", 2, "step_back", self_rag=True)
     assert out["self_rag_meta"]["relevant_chunks"] == 2 and out["rewrite"].mode == "step_back"
+    assert c.hybrid_search("Gateway", 2) and collection(spark, folder / "none").hybrid_search("zzz") == engine.NO_CONTEXT
     assert c.generate("q", "c") and collection(spark, folder, model=TemplateModel(down)).generate("q", "c") == ""
     near = c.graph_rows("gatewayy gatewai").collect()
     assert not near or near[0]["pos"] is not None
