@@ -222,7 +222,7 @@ def test_url_tree(spark):
     rnd = random.Random(8)
     urls = [f"http://h{rnd.randrange(3)}.example.org/{rnd.choice(['es', 'en', 'fr', 'it'])}/{rnd.choice(['1', '2', 'a'])}{rnd.randrange(40)}/{rnd.choice(['x', 'y'])}" for _ in range(600)]
     urls += [f"http://shop.com/de/{k}/p" for k in range(60)] + ["http://shop.com/xx/1/p", "http://shop.com/xx/2/p"]
-    urls += [f"http://deep.net/a/b/c/d/e/f/g/{k}/h" for k in range(30)] + ["http://deep.net/a/b", "http://deep.net/a/b/", "http://shop.com/*/1", None, "x"]
+    urls += [f"http://deep.net/a/b/c/d/{k}/h" for k in range(30)] + ["http://deep.net/a/b", "http://deep.net/a/b/", "http://shop.com/*/1", None, "x"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": F.lit(1), "t": F.lit(2), "p": F.lit(3)})
     got = url_filter.judge(df).collect()
     rows = [(r["host"], r["path"], r["verdict"] if r["rule"] else None) for r in got]
@@ -232,7 +232,7 @@ def test_url_tree(spark):
         assert r["rule"] or r["verdict"] == ("block" if r["purity"] >= 0.8 else "allow")
     by = {r["path"]: r for r in got if r["host"] == "shop.com"}
     assert by["/xx/1/p"]["rule"] is None and by["/xx/1/p"]["verdict"] == "block"
-    assert any(r["template"].startswith("/a/b/c/d/e/f/g/*") for r in got if r["host"] == "deep.net")
+    assert any(r["template"].startswith("/a/b/c/d/*") for r in got if r["host"] == "deep.net")
 
 
 def test_html_held_out():
