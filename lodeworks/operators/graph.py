@@ -38,6 +38,8 @@ def nodes(triples: DataFrame, *within: str) -> DataFrame:
     both = sides(triples, *within)
     first = F.min_by(F.struct("id", "name", "type"), "at").alias("n")
     found = both.groupBy(*within, "key").agg(first, F.array_join(F.array_sort(F.collect_set("source_doc")), ",").alias("source_doc"), F.min("at").alias("at"))
+    if not {"subject_specs", "object_specs"} & set(triples.columns):
+        return found.select(*within, "key", "n.id", "n.name", "n.type", "source_doc", "at", F.lit(None).cast("map<string,string>").alias("specs"))
     said = both.where("specs is not null").select(*within, "key", "at", F.explode("specs").alias("spec", "value"))
     said = said.groupBy(*within, "key", "spec").agg(F.min_by("value", "at").alias("value"))
     said = said.groupBy(*within, "key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("spec", "value")))).alias("specs"))
