@@ -20,10 +20,13 @@ def row_line(cells: Column) -> Column:
 
 def rows_to_markdown(rows: Column) -> Column:
     """Rows padded to the widest; the first is the header."""
-    width = F.array_max(F.transform(rows, F.size))
-    lines = F.transform(rows, lambda r: row_line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
-    rule = row_line(F.array_repeat(F.lit("---"), width))
-    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))), "\n"))
+
+    def render(width: Column) -> Column:
+        lines = F.transform(rows, lambda r: row_line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+        rule = row_line(F.array_repeat(F.lit("---"), width))
+        return let(lines, lambda x: F.array_join(F.concat(F.slice(x, 1, 1), F.array(rule), F.slice(x, 2, F.greatest(F.size(x), F.lit(1)))), "\n"))
+
+    return F.when(F.size(rows) == 0, "").otherwise(let(F.array_max(F.transform(rows, F.size)), render))
 
 
 def grid_to_markdown(item: dict) -> str:
@@ -128,23 +131,33 @@ def has_box_drawing(text: Column) -> Column:
     return text.rlike("[─-╿]{3}") | ((F.length(text) > 0) & (boxes / F.length(text) > 0.15))
 
 
-def split_rows(md: Column, limit: int) -> Column:
-    """Parts of a table of at most limit characters where rows allow, each with header and separator."""
-    lines = F.filter(F.split(md, "\n"), lambda x: strip(x) != "")
-    head, rows = F.slice(lines, 1, 2), F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1)))
-    fixed = F.length(F.element_at(lines, 1)) + F.length(F.try_element_at(lines, F.lit(2))) + 2
+def split_rows(md: Column, limit: int, spare: int = 0, spare_whole: int = 0) -> Column:
+    """Parts of a table of at most limit characters where rows allow, each with header and separator. spare characters of each part
+    are left free, spare_whole of a table that stays whole."""
     empty = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("now"), fixed.cast("int").alias("size"))
-
-    def add(s: Column, row: Column) -> Column:
-        cost = F.length(row) + 1
-        full = (s["size"] + cost > limit) & (F.size(s["now"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
-            F.when(full, F.array(row)).otherwise(F.concat(s["now"], F.array(row))).alias("now"),
-            F.when(full, fixed + cost).otherwise(s["size"] + cost).cast("int").alias("size"),
-        )
-
-    groups = F.aggregate(rows, start, add, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
-    parts = F.transform(groups, lambda g: F.array_join(F.concat(head, g), "\n"))
-    return F.when((F.length(md) <= limit) | (F.lit(limit) <= 0) | (F.size(lines) <= 3), F.array(md)).otherwise(parts)
+
+    def parts(lines: Column, fixed: Column) -> Column:
+        start = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("now"), fixed.alias("size"))
+
+        def add(s: Column, row: Column) -> Column:
+            cost = F.length(row) + 1
+            full = (s["size"] + cost > limit) & (F.size(s["now"]) > 0)
+            return F.struct(
+                F.when(full, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
+                F.when(full, F.array(row)).otherwise(F.concat(s["now"], F.array(row))).alias("now"),
+                F.when(full, fixed + cost).otherwise(s["size"] + cost).cast("int").alias("size"),
+            )
+
+        rows = F.slice(lines, 3, F.greatest(F.size(lines), F.lit(1)))
+        groups = F.aggregate(rows, start, add, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]))
+        return let(F.slice(lines, 1, 2), lambda head: F.transform(groups, lambda g: F.array_join(F.concat(head, g), "\n")))
+
+    def split(whole: Column) -> Column:
+        def cut(lines: Column) -> Column:
+            fixed = (F.length(F.element_at(lines, 1)) + F.length(F.try_element_at(lines, F.lit(2))) + 2 + spare).cast("int")
+            return F.when(F.size(lines) <= 3, F.array(whole)).otherwise(let(fixed, lambda n: parts(lines, n)))
+
+        lines = F.filter(F.split(whole, "\n"), lambda x: strip(x) != "")
+        return F.when((F.length(whole) + spare_whole <= limit) | (F.lit(limit) <= 0), F.array(whole)).otherwise(let(lines, cut))
+
+    return let(md, split)
