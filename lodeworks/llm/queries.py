@@ -22,9 +22,14 @@ def fold(parts: int):
     return F.crc32(F.col("doc_id").cast("string")) % parts
 
 
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels outside the held-out fold."""
+    return table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(4) != 2)
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learnt from the labelled rows of documents outside the held-out fold."""
-    return toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(4) != 2))
+    return toxicity.fit(docs, toxicity_labels(spark, sf_dir))
 
 
 def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +45,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scored = toxicity.score_texts(docs, toxicity_model(spark, docs, sf_dir))
+    scored = toxicity.learn_and_score(table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir))
     return scored.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hashes_of, split_words, text_slices, word_codes
+from .common import cut, hashes_of, split_words, text_slices, word_codes, written
 from .ngram_join import shingles
 
 #: What a disguised character may stand for, besides itself (fixed values).
@@ -25,6 +25,10 @@ LEET = {
 #: said twice or more often.
 STAND_IN, INSERTED, LOST, REPEATED = 0.6, 0.7, 4.0, 0.5
 START, END = "\x02", "\x03"
+#: Numbers of evidence of a text, see text_evidence.
+EVIDENCE = ["top", "second", "many", "size"]
+#: Bytes of text whose features a worker counts at a time, and rows of evidence in a task of the regression.
+FIT_BYTES, STEP_ROWS = 3 << 20, 500_000
 #: Letters at the start of a word that are features, and the beam of the decoder.
 PREFIXES, BEAM, BEST = (3, 4, 5, 6), 16, 5
 MASKED = re.compile(r"[^\w\s]|[\d_]|(\w)\1\1")
@@ -229,7 +233,7 @@ def text_evidence(part: pa.RecordBatch, evidence: Evidence) -> np.ndarray:
 def _signatures(batches):
     """The least shingle of each text, alike for near copies."""
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, limit=FIT_BYTES):
             words, counts = split_words(part.column("text"))
             both = shingles(hashes_of(words), counts, 5)
             doc, first = np.unique((both & np.uint64(0xFFFF)).astype(np.int64), return_index=True)
@@ -239,72 +243,95 @@ def _signatures(batches):
 
 
 def _feature_counts(batches):
-    """Of a slice: texts of each class that have a feature, and character trigrams."""
+    """Of a slice: texts of each class that have a feature, and how often a word is said."""
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, limit=FIT_BYTES):
             words, counts = split_words(part.column("text"))
+            if not len(words):
+                continue
             codes, distinct = word_codes(words)
-            toxic = np.array(part.column("toxic").to_pylist(), np.int64)
-            cores = [w.lower().strip(EDGE) for w in distinct]
-            names: dict[str, int] = {}
-            feats = [[names.setdefault(f, len(names)) for f in features(c)] if c else [] for c in cores]
-            sizes = np.array([len(f) for f in feats], np.int64)
-            flat = np.fromiter((f for x in feats for f in x), np.int64, int(sizes.sum()))
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
+            lowered = [w.lower().strip(EDGE) for w in distinct]
+            cores = sorted(set(lowered))  # words that begin alike stand together
+            place = {c: k for k, c in enumerate(cores)}
+            code = np.fromiter((place[c] for c in lowered), np.int64, len(lowered))[codes]
+            said = np.bincount(code, minlength=len(cores))
             doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
-            pair = np.unique(doc * len(distinct) + codes) if len(codes) else np.zeros(0, np.int64)
-            doc, code = pair // max(1, len(distinct)), pair % max(1, len(distinct))
-            many = sizes[code]
-            inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)  # place among a word's features
-            at = np.repeat((np.cumsum(sizes) - sizes)[code], many) + inside
-            both = np.unique(np.repeat(doc, many) * max(1, len(names)) + flat[at])
-            doc, feat = both // max(1, len(names)), both % max(1, len(names))
-            pos = np.bincount(feat[toxic[doc] == 1], minlength=len(names))
-            every = np.bincount(feat, minlength=len(names))
-            grams: dict[str, int] = {}
-            for c, n in zip(cores, np.bincount(codes, minlength=len(distinct)).tolist(), strict=True):
-                if c.isalpha() and len(c) <= 24:
-                    s = START + START + c + END
-                    for i in range(2, len(s)):
-                        grams[s[i - 2 : i + 1]] = grams.get(s[i - 2 : i + 1], 0) + n
-            keys = [*names, *("~" + g for g in grams)]
-            zero = np.zeros(len(grams), np.int64)
-            neg = np.concatenate([every - pos, np.fromiter(grams.values(), np.int64, len(grams))])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(np.concatenate([pos, zero])), pa.array(neg)], names=["feature", "pos", "neg"])
-
-
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features: int = 20_000, most_trigrams: int = 200_000, least_texts: int = 6) -> Model:
-    """A model from at most `sample` labelled texts, chosen by a hash of doc_id; one of near copies counts.
-
-    sample bounds what the driver holds: that many ids and numbers of evidence. Of the word features the most_features that tell
-    most stay, and of the trigrams the most_trigrams most frequent, each kind by its own limit; a warning tells where one binds.
-    Rows without a label or an id teach nothing; without labelled rows of both kinds every score is the share of toxic ones.
+            doc, code = np.divmod(np.unique(doc * len(cores) + code), len(cores))
+            for size in (0, *PREFIXES):
+                long = [k for k, c in enumerate(cores) if len(c) >= max(1, size)]
+                heads = [cores[k][:size] if size else cores[k] for k in long]
+                names = list(dict.fromkeys(heads))
+                number = np.full(len(cores), -1, np.int64)
+                number[long] = np.cumsum([0, *(a != b for a, b in zip(heads, heads[1:], strict=False))])[: len(long)]
+                feat = number[code]
+                has = feat >= 0
+                d, f = doc[has], feat[has]
+                first = (np.diff(d, prepend=-1) != 0) | (np.diff(f, prepend=-1) != 0)
+                d, f = d[first], f[first]
+                pos, every = np.bincount(f[toxic[d]], minlength=len(names)), np.bincount(f, minlength=len(names))
+                times = np.zeros(len(names), np.int64) if size else said[long]
+                marked = pa.array([("^" if size else "=") + x for x in names], pa.string())
+                yield pa.RecordBatch.from_arrays([marked, pa.array(pos), pa.array(every - pos), pa.array(times)], names=["feature", "pos", "neg", "said"])
+
+
+def _trigram_counts(batches):
+    """Of a batch of words and how often each is said: how often three characters stand together."""
+    for batch in batches:
+        grams: dict[str, int] = {}
+        for f, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if f[1:].isalpha() and len(f) <= 25:
+                s = START + START + f[1:] + END
+                for i in range(2, len(s)):
+                    grams[s[i - 2 : i + 1]] = grams.get(s[i - 2 : i + 1], 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], names=["gram", "n"])
+
+
+def likely(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """docs without most of those whose doc_id isn't among the `many` ids: bits of hashed ids, 16 an id and 8 MB at most, are broadcast,
+    so that few other texts are read or shuffled. An exact join must follow."""
+    key = "xxhash64(cast(doc_id as long))"
+    word, bit = F.expr(f"pmod({key} div 64, {max(1, min(1 << 20, many // 4))}L)"), F.expr(f"cast(pmod({key}, 64) as int)")
+    bits = ids.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("bits"))
+    near = docs.join(F.broadcast(bits), word == F.col("word")).where(F.getbit("bits", bit) == 1)
+    return near.select(*docs.columns)
+
+
+def among(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
+    """docs of a doc_id that is among the `many` ids, with the columns of both. The join is one by sorting at any size."""
+    return likely(docs, ids, many).join(ids.hint("merge"), "doc_id")
+
+
+def words_of(docs: DataFrame, labels: DataFrame, most_features: int = 20_000, most_trigrams: int = 200_000, least_texts: int = 6) -> tuple[Model, DataFrame, int]:
+    """A model without its logit, from all labelled texts; which texts it learnt from (doc_id, toxic), and how many.
+
+    One of near copies counts. Of the word features the most_features that tell most stay, and of the trigrams the most_trigrams most
+    frequent, each kind by its own limit; a warning tells where one binds. Rows without a label or an id teach nothing; without
+    labelled rows of both kinds every score is the share of toxic ones.
     """
-    chosen = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.sparkSession.createDataFrame(chosen.toPandas().astype("int64"), "doc_id long, toxic long")
+    known = written(labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")))
     texts = docs.select("doc_id", "text")
-    signed = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(_signatures, "doc_id long, sig long")
+    signed = likely(texts, known, known.count()).mapInArrow(_signatures, "doc_id long, sig long").join(known, "doc_id")
     group = F.when(F.col("sig") >= 0, F.col("sig")).otherwise(-F.col("doc_id") - 2)
-    firsts = signed.groupBy(group).agg(F.min("doc_id").alias("doc_id"))
-    picked = firsts.join(chosen, "doc_id").select("doc_id", "toxic").toPandas()
-    n, p = len(picked), int(picked["toxic"].sum())
+    picked = written(signed.groupBy(group).agg(F.min("doc_id").alias("doc_id")).select("doc_id").join(known, "doc_id"))
+    n, p = map(int, picked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first())
     base = (p + 0.5) / (n + 1)
-    prior = np.array([log(base / (1 - base)), 0.0, 0.0, 0.0, 0.0])
     if not 0 < p < n:
-        return Model({}, {}, prior)
-    picked = texts.join(F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, toxic long")), "doc_id")
-    counts = picked.mapInArrow(_feature_counts, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return Model({}, {}, np.array([log(base / (1 - base)), 0.0, 0.0, 0.0, 0.0])), picked, n
+    counts = among(texts, picked, n).mapInArrow(_feature_counts, "feature string, pos long, neg long, said long")
+    counts = counts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("said").alias("said"))
     # a lower bound of the share among toxic texts against an upper bound of that among the others
     gain = F.log(((F.col("pos") - F.sqrt("pos")) / p) / ((F.col("neg") + F.lit(2) + F.sqrt("neg")) / (n - p)))
-    counts = cut(counts.withColumn("gain", gain))
-    gram = F.col("feature").startswith("~")
-    kept = counts.where(~gram & (F.col("pos") >= least_texts) & (F.col("gain") > 0.7)).orderBy(F.desc("gain"), F.desc("neg"), "feature")
+    counts = written(counts)
+    kept = counts.withColumn("gain", gain).where((F.col("pos") >= least_texts) & (F.col("gain") > 0.7)).orderBy(F.desc("gain"), F.desc("neg"), "feature")
     words = kept.limit(most_features + 1).toPandas()
-    found = counts.where(gram).orderBy(F.desc("neg"), "feature").limit(most_trigrams + 1).toPandas()
+    found = counts.where("said > 0").select("feature", "said").mapInArrow(_trigram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = found.orderBy(F.desc("n"), "gram").limit(most_trigrams + 1).toPandas()
     for what, have, most in (("word features", words, most_features), ("trigrams", found, most_trigrams)):
         if len(have) > most:
             warnings.warn(f"toxicity: more than {most} {what}; the rest is left out", stacklevel=2)
     words, found = words[:most_features], found[:most_trigrams]
-    grams = {f[1:]: c for f, c in zip(found["feature"], found["neg"], strict=True)}
+    grams = dict(zip(found["gram"], found["n"].tolist(), strict=True))
     pairs: dict[str, int] = {}
     singles: dict[str, int] = {}
     for g, c in grams.items():
@@ -315,32 +342,71 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_features:
         heads[g[0]] = heads.get(g[0], 0) + c
     trigrams = {g: log(c / pairs[g[:2]]) - 1e-9 for g, c in grams.items()}
     trigrams |= {g: log(c / heads[g[0]]) - 1e-9 for g, c in singles.items()}
-    model = Model(dict(zip(words["feature"], words["gain"].astype(float), strict=True)), trigrams)
-    at = picked.mapInArrow(_evidence(model, "toxic"), "toxic long, top double, second double, many double, size double").toPandas()
-    model.logit = logistic(at[["top", "second", "many", "size"]].to_numpy(), at["toxic"].to_numpy())
+    return Model(dict(zip(words["feature"], words["gain"].astype(float), strict=True)), trigrams), picked, n
+
+
+def fit(docs: DataFrame, labels: DataFrame, **limits: int) -> Model:
+    """A model from all labelled texts; limits: those of words_of."""
+    model, picked, n = words_of(docs, labels, **limits)
+    if model.logit is None:
+        told = evidence_of(among(docs.select("doc_id", "text"), picked, n), model, ["toxic"])
+        model.logit = logistic(told, n)
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
-    """Newton's method for a ridge logistic regression; the first weight is the constant."""
-    x = np.column_stack([np.ones(len(x)), x])
-    w, keep = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+def learn_and_score(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and score of each row of docs by a model of its labelled texts: fit and score_texts with one pass for the evidence."""
+    model, picked, n = words_of(docs, labels)
+    if model.logit is not None:
+        return score_texts(docs, model)
+    told = written(evidence_of(docs.select("doc_id", "text"), model, ["doc_id"]))
+    model.logit = logistic(told.join(picked, "doc_id"), n)
+    z = sum((F.col(c) * float(w) for c, w in zip(EVIDENCE, model.logit[1:], strict=True)), F.lit(float(model.logit[0])))
+    return told.select("doc_id", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
+
+
+def _slopes(w: np.ndarray):
+    """Of the rows of a partition: slope and curvature of a logistic regression's likelihood at w."""
+
+    def run(batches):
+        slope, curve = np.zeros(len(w)), np.zeros((len(w), len(w)))
+        for batch in batches:
+            x = np.column_stack([np.ones(len(batch)), *(batch.column(c).to_numpy(zero_copy_only=False) for c in EVIDENCE)])
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (batch.column("toxic").to_numpy(zero_copy_only=False) - p)
+            curve += x.T @ (x * (p * (1 - p))[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array([slope.tolist()]), pa.array([curve.ravel().tolist()])], names=["slope", "curve"])
+
+    return run
+
+
+def logistic(told: DataFrame, many: int, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Newton's method for a ridge logistic regression of toxic on the evidence of about `many` rows; the first weight is the constant.
+    The rows stay where they are: each partition sends the sums of a step."""
+    told = cut(told.select("toxic", *EVIDENCE)).coalesce(-(-many // STEP_ROWS))
+    w, keep = np.zeros(len(EVIDENCE) + 1), ridge * np.eye(len(EVIDENCE) + 1)
     keep[0, 0] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w += np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + keep, x.T @ (y - p) - keep @ w)
+        sums = told.mapInArrow(_slopes(w), "slope array<double>, curve array<double>").collect()
+        slope, curve = (np.sum([r[k] for r in sums], axis=0) for k in ("slope", "curve"))
+        move = np.linalg.solve(curve.reshape(len(w), len(w)) + keep, slope - keep @ w)
+        w = w + move
+        if np.abs(move).max() < 1e-12:
+            break
     return w
 
 
-def _evidence(model: Model, keep: str):
+def evidence_of(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns named in keep and the evidence of each row's text."""
+
     def run(batches):
         evidence = Evidence(model)
         for batch in batches:
             for part in text_slices(batch):
                 x = text_evidence(part, evidence)
-                yield pa.RecordBatch.from_arrays([part.column(keep).cast(pa.int64()), *(pa.array(x[:, k]) for k in range(4))], names=[keep, "top", "second", "many", "size"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x[:, k]) for k in range(len(EVIDENCE)))], names=[*keep, *EVIDENCE])
 
-    return run
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, T.DoubleType()) for c in EVIDENCE)]))
 
 
 def score_texts(docs: DataFrame, model: Model, extra: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,48 @@ def test_toxicity_many_letters(spark):
     assert all((r["score"] >= 0.3) == (r["doc_id"] % 4 == 0) for r in toxicity.score_texts(docs, model).collect())
 
 
+def test_toxicity_learns_from_all(spark):
+    """A word that only six of 20,400 labelled texts say is learnt, wherever the hash of their ids puts them."""
+    ids = [r["id"] for r in spark.range(20_400).orderBy(F.xxhash64("id")).collect()]
+    last = set(ids[-6:])
+    rows = [(k, f"plain w{k} x{k % 997} y{k % 13}" + (" grobian" if k in last else " idiot" if k % 10 == 0 else ""), int(k in last or k % 10 == 0)) for k in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model, picked, n = toxicity.words_of(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    assert {"=grobian", "=idiot"} <= set(model.weights)
+    assert n == picked.count() == 20_400
+
+
+def test_toxicity_counts():
+    """Texts that have a word or a beginning are counted once each, words as often as they are said."""
+    texts, toxic = ["Bad bad, badly batten", None, "bat ... bad", "ba", "!!"], [1, 0, 0, 1, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(toxic, pa.int64())], names=["text", "toxic"])
+    got = {r["feature"]: (r["pos"], r["neg"], r["said"]) for b in toxicity._feature_counts([batch]) for r in b.to_pylist()}
+    words_ = [[w.strip(toxicity.EDGE) for w in (t or "").lower().split()] for t in texts]
+    have = [{f for w in ws if w for f in toxicity.features(w)} for ws in words_]
+    want = {f: (sum(f in h for h, x in zip(have, toxic, strict=True) if x), sum(f in h for h, x in zip(have, toxic, strict=True) if not x)) for f in set().union(*have)}
+    assert {f: x[:2] for f, x in got.items()} == want
+    assert {f[1:]: x[2] for f, x in got.items() if f[0] == "="} == {w: sum(ws.count(w) for ws in words_) for ws in words_ for w in ws if w}
+
+
+def test_toxicity_among(spark):
+    """Rows whose id is among others, whatever the ids' types; ids that only share a bit stay out."""
+    docs = spark.createDataFrame([(k, f"t{k}") for k in [None, *range(-3000, 3000)]], "doc_id int, text string")
+    ids = spark.createDataFrame([(k, k % 2) for k in range(-2999, 3500, 7)], "doc_id long, toxic long")
+    got = toxicity.among(docs, ids, 1).collect()
+    assert sorted((r["doc_id"], r["text"], r["toxic"]) for r in got) == [(k, f"t{k}", k % 2) for k in range(-2999, 3000, 7)]
+
+
+def test_logistic(spark):
+    """Sums by partition give the weights of the plain method."""
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(900, 4))
+    y = (x @ [1.0, -2, 0.5, 0] + rnd.normal(size=900) > 0.3).astype(int)
+    told = spark.createDataFrame([(int(t), *map(float, r)) for t, r in zip(y, x, strict=True)], "toxic long, top double, second double, many double, size double").repartition(5)
+    w, a = toxicity.logistic(told, 900), np.column_stack([np.ones(900), x])
+    slope = a.T @ (y - 1 / (1 + np.exp(-a @ w))) - np.array([1e-6, 1, 1, 1, 1]) * w
+    assert np.abs(slope).max() < 1e-8
+
+
 def test_drop_toxic_columns(spark):
     """Any column names and types; null texts stay null."""
     model = toxicity.Model({"=idiot": 5.0}, {}, np.array([-3.0, 1, 0, 0, 0]))
