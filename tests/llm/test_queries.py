@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.llm import ngram_join, packing, queries, source_mixing, token_counts, toxicity
 
@@ -103,6 +104,22 @@ def stages(spark):
     return out
 
 
+def test_toxicity_stage_learns_from_all(spark, tmp_path):
+    """A word that only six labelled texts say counts, though over 20,000 other labels come before them by the hash of doc_id."""
+    import corpus_pipeline
+
+    ids = [r["doc_id"] for r in spark.range(27_400).select(F.col("id").alias("doc_id")).where(queries.fold(4) != 2).orderBy(F.xxhash64("doc_id")).collect()]
+    assert len(ids) > 20_100
+    last = set(ids[-6:])
+    rows = [(k, f"plain w{k} x{k % 997} y{k % 13}" + (" grobian" if k in last else " idiot" if k % 10 == 0 else ""), int(k in last or k % 10 == 0)) for k in ids]
+    more = [(-1, "no label and a grobian here", None), (-2, "no label here", None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, toxic int")
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("toxic is not null").select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.toxicity_stage(spark, queries.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert [r["doc_id"] for r in kept.where("doc_id < 0").collect()] == [-2]
+
+
 def test_toxicity_stage(spark):
     """What op4 predicts to be toxic goes, all else stays as it was. On sf0.01, as sf0.001 has too few labels to learn from."""
     import corpus_pipeline
