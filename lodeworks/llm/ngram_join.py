@@ -24,8 +24,8 @@ BITMAP_WORDS = 4
 MOST_MATCHES, VERIFY_COST = 4, 16.0
 
 
-def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
-    """Distinct (shingle << 16 | text) of texts that hold counts[k] of the word hashes in a row, sorted.
+def shingle_codes(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of texts that hold counts[k] of the word hashes in a row, in the order of the words, and the text of each.
 
     A text of fewer than n words gives its whole sequence as one shingle; one without words gives none.
     """
@@ -39,8 +39,13 @@ def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         code[: len(hashes) - k] += np.where(here[: len(hashes) - k], mix(hashes[k:] + SALTS[k]), np.uint64(0))
     size = np.minimum(rest, n).astype(np.uint64)
     keep = (rest >= n) | first
-    code = mix(code[keep] + ODD * size[keep]) >> np.uint64(64 - SHINGLE_BITS)
-    return np.unique((code << np.uint64(DOC_BITS)) | doc[keep])
+    return mix(code[keep] + ODD * size[keep]) >> np.uint64(64 - SHINGLE_BITS), doc[keep]
+
+
+def shingles(hashes: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
+    """Distinct (shingle << 16 | text) of shingle_codes, sorted."""
+    code, doc = shingle_codes(hashes, counts, n)
+    return np.unique((code << np.uint64(DOC_BITS)) | doc)
 
 
 def packed(x: np.ndarray, width: int) -> bytes:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import warnings
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import log
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, hashes_of, split_words, text_slices, word_codes, written
-from .ngram_join import shingles
+from .ngram_join import shingle_codes
 
 #: What a disguised character may stand for, besides itself (fixed values).
 LEET = {
@@ -34,9 +35,12 @@ PREFIXES, BEAM, BEST = (3, 4, 5, 6), 16, 5
 MASKED = re.compile(r"[^\w\s]|[\d_]|(\w)\1\1")
 NOISE = re.compile(r"([^\w\s])\1{2,}")
 PARTS = re.compile(r"[^\W_]+|[\W_]")
+DOUBLE = re.compile(r"(.)\1")
 EDGE = ".,;:?!\"'()[]{}<>|%#&*~`^=/\\-_…«»„“”‘’"
 #: Edges that stand for no letter.
 OUTER = EDGE.replace("!", "").replace("|", "").replace("(", "")
+#: Readings of a character inside a spelled word.
+SPELLED = {c: [(x, STAND_IN) for x in letters] for c, letters in LEET.items()}
 
 
 @dataclass
@@ -56,9 +60,9 @@ def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
-def lattice(word: str) -> list[list[tuple[str, float]]]:
+def lattice(word: str) -> Iterator[list[tuple[str, float]]]:
     """For each run of a character its readings, (letters, cost)."""
-    out, i = [], 0
+    i = 0
     while i < len(word):
         c, j = word[i], i
         while j < len(word) and word[j] == c:
@@ -69,8 +73,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             reads += [(x, STAND_IN)] if n == 1 else [(x, STAND_IN + REPEATED), (x + x, STAND_IN * 2)]
         if not c.isalpha():
             reads.append(("", LOST * n if c in LEET else INSERTED * min(n, 3)))
-        out.append(reads)
-    return out
+        yield reads
 
 
 def decode(word: str, model: Model, beam: int = BEAM, best: int = BEST) -> list[str]:
@@ -120,76 +123,93 @@ def readings(raw: str, model: Model) -> list[str]:
 
 
 class Evidence:
-    """Weight of each raw word: the largest of its readings' features. Words stay in a bounded cache."""
+    """Weight of each raw word: the largest of its readings' features. Words and runs of pieces stay in a bounded cache."""
 
     def __init__(self, model: Model, limit: int = 700_000):
-        self.model, self.limit, self.known, self.parts = model, limit, {}, {}
+        self.model, self.limit, self.known, self.parts, self.runs = model, limit, {}, {}, {}
         known = [f[1:] for f, w in model.weights.items() if f[0] == "=" and w > 0 and len(f) > 3]
         self.heads = {w[:k] for w in known for k in range(1, len(w) + 1)}
         self.inner = {w[a:b] for w in known for a in range(len(w)) for b in range(a, len(w) + 1)}
+        self.begin = {f[1 : 1 + PREFIXES[0]] for f in model.weights}
 
     def word(self, text: str) -> float:
+        if text[: PREFIXES[0]] not in self.begin:
+            return 0.0
         get = self.model.weights.get
-        return max((get(f, 0.0) for f in features(text)), default=0.0)
+        return max(get(f, 0.0) for f in features(text))
 
     def of(self, distinct: list[str]) -> np.ndarray:
         if len(self.known) > self.limit:
             self.known.clear()
             self.parts.clear()
-        known, out = self.known, np.zeros(len(distinct))
-        for k, raw in enumerate(distinct):
-            w = known.get(raw)
+        known, out = self.known, list(map(self.known.get, distinct))
+        for k, w in enumerate(out):
             if w is None:
-                raw_ = raw.lower()
-                w = max((self.word(t) for t in readings(raw_, self.model)), default=0.0)
-                pieces = [] if raw_.strip(EDGE).isalpha() else PARTS.findall(raw_)
-                if len(pieces) > 2:  # words joined by symbols
-                    w = max(w, max((x for _, _, x in self.spelled(pieces, 1)), default=0.0))
-                known[raw] = w
-            out[k] = w
-        return out
+                out[k] = known[distinct[k]] = self.weigh(distinct[k])
+        return np.array(out, float)
+
+    def weigh(self, raw: str) -> float:
+        """The weight of a raw word; also notes whether it may be a piece of another one where that is as easily told."""
+        low = raw.lower()
+        core = low.strip(EDGE)
+        plain = core.isalpha()
+        if plain and not DOUBLE.search(core) and low.strip(OUTER) == core:  # is read as itself alone
+            self.parts[raw] = core in self.inner
+            return self.word(core)
+        w = max((self.word(t) for t in readings(low, self.model)), default=0.0)
+        pieces = [] if plain else PARTS.findall(low)
+        if len(pieces) > 2:  # words joined by symbols
+            w = max(w, max((x for _, _, x in self.spelled(pieces, 1)), default=0.0))
+        return w
 
     def part(self, raw: str) -> bool:
         """Whether a raw word, or some reading of it, may be a piece of a word that weighs something."""
         known = self.parts.get(raw)
         if known is None:
-            word, alive = raw.lower().strip(OUTER), {""}
-            start = word[:4]
-            if start.isalpha() and start not in self.inner and all(a != b for a, b in zip(start, word[1:5], strict=False)):
-                self.parts[raw] = False
-                return False
-            for reads in lattice(NOISE.sub("", word)):
+            alive = {""}
+            for reads in lattice(NOISE.sub("", raw.lower().strip(OUTER))):
                 alive = {t + x for t in alive for x, _ in reads if t + x in self.inner}
                 if not alive:
                     break
             known = self.parts[raw] = bool(alive)
         return known
 
-    def spelled(self, pieces: list[str], least: int = 2) -> list[tuple[int, int, float]]:
+    def run(self, pieces: tuple[str, ...]) -> list[tuple[int, int, float]]:
+        """spelled of neighbouring words."""
+        found = self.runs.get(pieces)
+        if found is None:
+            if len(self.runs) > self.limit // 8:
+                self.runs.clear()
+            found = self.spelled(pieces)
+            if len(pieces) <= 8:
+                self.runs[pieces] = found
+        return found
+
+    def spelled(self, pieces: Sequence[str], least: int = 2) -> list[tuple[int, int, float]]:
         """Words that weigh something and that at least `least` neighbouring pieces spell together: first piece, last piece, weight.
 
         The lattice runs over the pieces with nothing between them. A walk keeps for each start of a known word the cheapest
         way there, so its time is linear in the pieces; what costs more than a nat a letter must be a reading of decode too."""
-        found, last = [], ""
+        found, last, heads = [], "", self.heads
         alive: dict[tuple[str, bool], tuple[float, int]] = {}  # (start of a word, whether the last character was read as its end): cost, first piece
         for k, piece in enumerate(pieces):
             alive[("", False)] = (0.0, k)
             for c in piece:
                 nxt: dict[tuple[str, bool], tuple[float, int]] = {}
-
-                def keep(key: tuple[str, bool], cost: float, first: int, nxt=nxt) -> None:
-                    if key not in nxt or (cost, -first) < (nxt[key][0], -nxt[key][1]):
-                        nxt[key] = (cost, first)
-
+                reads = [(c, 0.0), *SPELLED.get(c, ())] if c.isalpha() else SPELLED.get(c, ())
                 for (text, read), (cost, first) in alive.items():
-                    for x, fee in [(c, 0.0)] * c.isalpha() + [(x, STAND_IN) for x in LEET.get(c, "")]:
-                        if text + x in self.heads:
-                            keep((text + x, True), cost + fee, first)
+                    to = [((text + x, True), cost + fee) for x, fee in reads if text + x in heads]
                     if text and read and c == last:
-                        keep((text, True), cost + REPEATED, first)
+                        to.append(((text, True), cost + REPEATED))
                     elif text and not c.isalpha():
-                        keep((text, False), cost + (LOST if c in LEET else INSERTED), first)
+                        to.append(((text, False), cost + (LOST if c in LEET else INSERTED)))
+                    for key, paid in to:
+                        if key not in nxt or (paid, -first) < (nxt[key][0], -nxt[key][1]):
+                            nxt[key] = (paid, first)
                 alive, last = nxt, c
+                if not alive:
+                    last = piece[-1]
+                    break
             for (text, read), (cost, first) in alive.items():
                 weight = self.model.weights.get("=" + text, 0.0) if len(text) >= 3 else 0.0
                 if weight > 0 and read and k - first + 1 >= least:
@@ -206,13 +226,14 @@ def text_evidence(part: pa.RecordBatch, evidence: Evidence) -> np.ndarray:
     weight = evidence.of(distinct)[codes]
     out = np.zeros((len(counts), 4))
     starts = np.cumsum(counts) - counts
-    part = np.fromiter((evidence.part(w) for w in distinct), bool, len(distinct))[codes]
+    part = list(map(evidence.parts.get, distinct))
+    part = np.fromiter((evidence.part(w) if p is None else p for w, p in zip(distinct, part, strict=True)), bool, len(distinct))[codes]
     if part.any():  # neighbouring pieces may spell a word
         doc = np.repeat(np.arange(len(counts)), counts)
         run = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])]))
         size = np.diff(np.append(run, len(part)))
         for a, n in zip(run[part[run] & (size > 1)].tolist(), size[part[run] & (size > 1)].tolist(), strict=True):
-            for first, last, w in evidence.spelled([distinct[c].lower().strip(OUTER) for c in codes[a : a + n].tolist()]):
+            for first, last, w in evidence.run(tuple(distinct[c].lower().strip(OUTER) for c in codes[a : a + n].tolist())):
                 if w > weight[a + first : a + last + 1].max():
                     weight[a + first] = w
     heavy = np.flatnonzero(weight > 0)
@@ -235,10 +256,11 @@ def _signatures(batches):
     for batch in batches:
         for part in text_slices(batch, limit=FIT_BYTES):
             words, counts = split_words(part.column("text"))
-            both = shingles(hashes_of(words), counts, 5)
-            doc, first = np.unique((both & np.uint64(0xFFFF)).astype(np.int64), return_index=True)
+            code, doc = shingle_codes(hashes_of(words), counts, 5)
+            first = np.flatnonzero(np.diff(doc.astype(np.int64), prepend=-1))
             sig = np.full(len(counts), -1, np.int64)
-            sig[doc] = (both[first] >> np.uint64(16)).astype(np.int64)
+            if len(first):
+                sig[doc[first].astype(np.int64)] = np.minimum.reduceat(code, first).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sig)], names=["doc_id", "sig"])
 
 

@@ -318,3 +318,25 @@ def test_html_tokens():
     nodes = html_extraction.walk(html_extraction.parse("<div class='zzzunknown'><p>x</p></div>"))
     x = html_extraction.features(nodes)
     assert x[1, html_extraction.token_place("zzzunknown")] == 1 and x[2].sum() > 0
+
+
+def test_toxicity_weights_of_words():
+    """A word weighs what its heaviest reading, or a word spelled by its parts, weighs; what neighbouring words spell is worked out once."""
+    model = toxicity.Model({"=idiot": 5.0, "=stupid": 4.0, "^idi": 2.0, "=ab": 1.0}, {})
+    rnd = random.Random(8)
+    marks = ["", "", "", ".", "!", "!!", "(", "|", "...", "$$$", "%%%", "«", "d", "1", "t", "idi", "İ"]
+    inside = ["idiot", "IDIOT", "idioot", "idiooot", "1d10t", "i.d.i.o.t", "stupid", "st", "upid", "ab", "aab", "plain", "no", "n", "", "id-iot", "ß", "Σ"]
+    raws = sorted({rnd.choice(marks) + rnd.choice(inside) + rnd.choice(marks) for _ in range(3000)})
+    evidence, other = toxicity.Evidence(model), toxicity.Evidence(model)
+    weights = evidence.of(raws).tolist()
+    for raw, weight in zip(raws, weights, strict=True):
+        low = raw.lower()
+        want = max((model.weights.get(f, 0.0) for t in toxicity.readings(low, model) for f in toxicity.features(t)), default=0.0)
+        parts = [] if low.strip(toxicity.EDGE).isalpha() else toxicity.PARTS.findall(low)
+        want = max([want, *(w for _, _, w in other.spelled(parts, 1))]) if len(parts) > 2 else want
+        assert (weight, evidence.part(raw)) == (want, other.part(raw)), raw
+    calls, plain = [], evidence.spelled
+    evidence.spelled = lambda *a: calls.append(a) or plain(*a)
+    got = toxicity.text_evidence(pa.RecordBatch.from_arrays([pa.array(["st upid , one", "a st upid , two"] * 50)], names=["text"]), evidence)
+    assert got[:, 0].tolist() == [4.0] * 100
+    assert len(calls) <= 4
