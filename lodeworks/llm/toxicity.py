@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hashes_of, split_words, text_slices, word_codes, written
-from .ngram_join import shingle_codes
+from .common import cut, split_words, text_slices, word_codes, written
 
 #: What a disguised character may stand for, besides itself (fixed values).
 LEET = {
@@ -251,19 +250,6 @@ def text_evidence(part: pa.RecordBatch, evidence: Evidence) -> np.ndarray:
     return out
 
 
-def _signatures(batches):
-    """The least shingle of each text, alike for near copies."""
-    for batch in batches:
-        for part in text_slices(batch, limit=FIT_BYTES):
-            words, counts = split_words(part.column("text"))
-            code, doc = shingle_codes(hashes_of(words), counts, 5)
-            first = np.flatnonzero(np.diff(doc.astype(np.int64), prepend=-1))
-            sig = np.full(len(counts), -1, np.int64)
-            if len(first):
-                sig[doc[first].astype(np.int64)] = np.minimum.reduceat(code, first).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(sig)], names=["doc_id", "sig"])
-
-
 def _feature_counts(batches):
     """Of a slice: texts of each class that have a feature, and how often a word is said."""
     for batch in batches:
@@ -325,22 +311,19 @@ def among(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
 
 
 def words_of(docs: DataFrame, labels: DataFrame, most_features: int = 20_000, most_trigrams: int = 200_000, least_texts: int = 6) -> tuple[Model, DataFrame, int]:
-    """A model without its logit, from all labelled texts; which texts it learnt from (doc_id, toxic), and how many.
+    """A model without its logit, from all labelled texts; the labels (doc_id, toxic), and how many texts have one.
 
-    One of near copies counts. Of the word features the most_features that tell most stay, and of the trigrams the most_trigrams most
-    frequent, each kind by its own limit; a warning tells where one binds. Rows without a label or an id teach nothing; without
+    Every row counts, copies too. Of the word features the most_features that tell most stay, and of the trigrams the most_trigrams
+    most frequent, each kind by its own limit; a warning tells where one binds. Rows without a label or an id teach nothing; without
     labelled rows of both kinds every score is the share of toxic ones.
     """
-    known = written(labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")))
-    texts = docs.select("doc_id", "text")
-    signed = likely(texts, known, known.count()).mapInArrow(_signatures, "doc_id long, sig long").join(known, "doc_id")
-    group = F.when(F.col("sig") >= 0, F.col("sig")).otherwise(-F.col("doc_id") - 2)
-    picked = written(signed.groupBy(group).agg(F.min("doc_id").alias("doc_id")).select("doc_id").join(known, "doc_id"))
-    n, p = map(int, picked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first())
+    picked = written(labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")))
+    texts, many = docs.select("doc_id", "text"), picked.count()
+    n, p = map(int, among(docs.select("doc_id"), picked, many).agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first())
     base = (p + 0.5) / (n + 1)
     if not 0 < p < n:
         return Model({}, {}, np.array([log(base / (1 - base)), 0.0, 0.0, 0.0, 0.0])), picked, n
-    counts = among(texts, picked, n).mapInArrow(_feature_counts, "feature string, pos long, neg long, said long")
+    counts = among(texts, picked, many).mapInArrow(_feature_counts, "feature string, pos long, neg long, said long")
     counts = counts.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("said").alias("said"))
     # a lower bound of the share among toxic texts against an upper bound of that among the others
     gain = F.log(((F.col("pos") - F.sqrt("pos")) / p) / ((F.col("neg") + F.lit(2) + F.sqrt("neg")) / (n - p)))

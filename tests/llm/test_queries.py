@@ -120,6 +120,24 @@ def test_toxicity_stage_learns_from_all(spark, tmp_path):
     assert [r["doc_id"] for r in kept.where("doc_id < 0").collect()] == [-2]
 
 
+def test_toxicity_stage_learns_from_near_copies(spark, tmp_path):
+    """Texts that share a long passage all teach: a word that tells the toxic ones among them is learnt, copies count as often as they are."""
+    import corpus_pipeline
+
+    passage = " ".join(f"w{k}" for k in range(300))
+    ids = [r["doc_id"] for r in spark.range(400).select(F.col("id").alias("doc_id")).where(queries.fold(4) != 2).collect()]
+    rows = [(k, f"{passage} {'grobian' if k % 10 == 0 else 'gentle'} n{k}", int(k % 10 == 0)) for k in ids]
+    more = [(-1, "no label and a grobian here", None), (-2, "no label here", None)]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, toxic int")
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    docs.where("toxic is not null").select("doc_id", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    documents, labels = queries.table(spark, str(tmp_path), "documents"), queries.toxicity_labels(spark, str(tmp_path))
+    kept = corpus_pipeline.toxicity_stage(spark, documents, str(tmp_path))
+    assert [r["doc_id"] for r in kept.where("doc_id < 0").collect()] == [-2]
+    _, known, many = toxicity.words_of(documents.union(documents.where("doc_id >= 0")), labels)
+    assert (known.count(), many) == (len(ids), 2 * len(ids))
+
+
 def test_toxicity_stage(spark):
     """What op4 predicts to be toxic goes, all else stays as it was. On sf0.01, as sf0.001 has too few labels to learn from."""
     import corpus_pipeline
