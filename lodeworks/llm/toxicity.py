@@ -10,11 +10,12 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, split_words, text_slices, word_codes, written
+from .common import cut, hashes_of, mix, split_words, text_slices, word_codes, written
+from .ngram_join import SALTS, shingle_codes
 
 #: What a disguised character may stand for, besides itself (fixed values).
 LEET = {
@@ -283,6 +284,47 @@ def _feature_counts(batches):
                 yield pa.RecordBatch.from_arrays([marked, pa.array(pos), pa.array(every - pos), pa.array(times)], names=["feature", "pos", "neg", "said"])
 
 
+def _witnesses(known: frozenset[str]):
+    """Which of the known features each text has, with two hashes: the least one of the five words around where it has it, and that
+    of the text's least shingle. Copies have equal ones; near copies have few of the latter, texts that share a passage many of the
+    former."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, limit=FIT_BYTES):
+                words, counts = split_words(part.column("text"))
+                if not len(words):
+                    continue
+                codes, distinct = word_codes(words)
+                names: dict[str, int] = {}
+                of = np.full((len(distinct), 1 + len(PREFIXES)), -1, np.int64)
+                for k, w in enumerate(distinct):
+                    core = w.lower().strip(EDGE)
+                    for j, f in enumerate(features(core) if core else []):
+                        if f in known:
+                            of[k, j] = names.setdefault(f, len(names))
+                doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
+                h = hashes_of(words)
+                code, of_text = shingle_codes(h, counts, 5)
+                least = np.zeros(len(counts), np.int64)
+                begin = np.flatnonzero(np.diff(of_text.astype(np.int64), prepend=-1))
+                least[of_text[begin].astype(np.int64)] = np.minimum.reduceat(code, begin).astype(np.int64)
+                around = mix(h + SALTS[2])
+                for d in (1, 2):
+                    same = doc[d:] == doc[:-d]
+                    around[:-d] += np.where(same, mix(h[d:] + SALTS[2 + d]), np.uint64(0))
+                    around[d:] += np.where(same, mix(h[:-d] + SALTS[2 - d]), np.uint64(0))
+                at, slot = np.nonzero(of[codes] >= 0)
+                f, d, a = of[codes[at], slot], doc[at], mix(around[at]).view(np.int64)
+                order = np.lexsort((a, d, f))
+                f, d, a = f[order], d[order], a[order]
+                first = (np.diff(f, prepend=-1) != 0) | (np.diff(d, prepend=-1) != 0)
+                told = pa.array(list(names), pa.string()).take(pa.array(f[first]))
+                yield pa.RecordBatch.from_arrays([told, pa.array(a[first]), pa.array(least[d[first]])], names=["feature", "around", "least"])
+
+    return run
+
+
 def _trigram_counts(batches):
     """Of a batch of words and how often each is said: how often three characters stand together."""
     for batch in batches:
@@ -313,9 +355,10 @@ def among(docs: DataFrame, ids: DataFrame, many: int) -> DataFrame:
 def words_of(docs: DataFrame, labels: DataFrame, most_features: int = 20_000, most_trigrams: int = 200_000, least_texts: int = 6) -> tuple[Model, DataFrame, int]:
     """A model without its logit, from all labelled texts; the labels (doc_id, toxic), and how many texts have one.
 
-    Every row counts, copies too. Of the word features the most_features that tell most stay, and of the trigrams the most_trigrams
-    most frequent, each kind by its own limit; a warning tells where one binds. Rows without a label or an id teach nothing; without
-    labelled rows of both kinds every score is the share of toxic ones.
+    Every row counts, copies too. A word feature must be said by least_texts different toxic texts: each time between other words in a
+    text of another least shingle (exact copies aside), or nearly always between other words. Of these the most_features that tell
+    most stay, and of the trigrams the most_trigrams most frequent, each kind by its own limit; a warning tells where one binds. Rows
+    without a label or an id teach nothing; without labelled rows of both kinds every score is the share of toxic ones.
     """
     picked = written(labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic")))
     texts, many = docs.select("doc_id", "text"), picked.count()
@@ -328,8 +371,17 @@ def words_of(docs: DataFrame, labels: DataFrame, most_features: int = 20_000, mo
     # a lower bound of the share among toxic texts against an upper bound of that among the others
     gain = F.log(((F.col("pos") - F.sqrt("pos")) / p) / ((F.col("neg") + F.lit(2) + F.sqrt("neg")) / (n - p)))
     counts = written(counts)
-    kept = counts.withColumn("gain", gain).where((F.col("pos") >= least_texts) & (F.col("gain") > 0.7)).orderBy(F.desc("gain"), F.desc("neg"), "feature")
-    words = kept.limit(most_features + 1).toPandas()
+    kept = counts.withColumn("gain", gain).where((F.col("pos") >= least_texts) & (F.col("gain") > 0.7))
+    # copies count as often as they are, but copies of one text alone, edited or not, teach none of its words
+    known = frozenset(r["feature"] for r in kept.select("feature").collect())
+    told = among(texts, picked.where("toxic = 1").select("doc_id"), p).select("text").mapInArrow(_witnesses(known), "feature string, around long, least long")
+    told = told.groupBy("feature", "around", "least").agg(F.count("*").alias("have"))
+    alike = {c: F.count("*").over(Window.partitionBy("feature", c)) for c in ("around", "least")}
+    alone, own = (alike["around"] == 1) & (alike["least"] == 1), (alike["around"] == 1) & (F.col("have") == 1)
+    told = told.select("feature", "have", alone.cast("long").alias("alone"), own.cast("long").alias("own"))
+    told = told.groupBy("feature").agg(F.sum("have").alias("have"), F.sum("alone").alias("alone"), F.sum("own").alias("own"))
+    told = told.where((F.col("alone") >= least_texts) | ((F.col("own") >= least_texts) & (10 * F.col("own") >= 9 * F.col("have"))))
+    words = kept.join(told, "feature", "left_semi").orderBy(F.desc("gain"), F.desc("neg"), "feature").limit(most_features + 1).toPandas()
     found = counts.where("said > 0").select("feature", "said").mapInArrow(_trigram_counts, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     found = found.orderBy(F.desc("n"), "gram").limit(most_trigrams + 1).toPandas()
     for what, have, most in (("word features", words, most_features), ("trigrams", found, most_trigrams)):
